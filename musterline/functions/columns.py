@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, functions as F
 
 # The characters that count as blank around a text.
@@ -12,15 +14,20 @@ def strip(col: Column | str) -> Column:
     return F.btrim(_col(col), F.lit(BLANKS))
 
 
-def total(col: Column | str) -> Column:
+def total(name: str) -> Column:
     """Sum that is 0 on an empty group."""
-    return F.coalesce(F.sum(_col(col)), F.lit(0.0))
+    return F.expr(f"coalesce(sum(`{name}`), 0D)")
 
 
-def percent(part: Column | str, whole: Column | str) -> Column:
+def percent(part: str, whole: str) -> Column:
     """`part / whole * 100`, 0 where `whole` is not positive."""
-    whole = _col(whole)
-    return F.when(whole > 0, _col(part) / whole * 100).otherwise(F.lit(0.0))
+    return F.expr(f"CASE WHEN `{whole}` > 0 THEN `{part}` / `{whole}` * 100 ELSE 0D END")
+
+
+def sql_list(values: Iterable[str]) -> str:
+    """Text literals for an IN list."""
+    quoted = (value.replace("\\", "\\\\").replace("'", "\\'") for value in values)
+    return ", ".join(f"'{value}'" for value in quoted)
 
 
 def round_half_even(col: Column | str, places: int = 2) -> Column:

@@ -1,21 +1,31 @@
-"""The digamma function, for columns and for numpy arrays alike."""
+"""The digamma function, as an SQL expression and for numpy arrays."""
 
 from __future__ import annotations
 
-# Shift by the recurrence psi(x) = psi(x + 1) - 1 / x, then the asymptotic series.
+import numpy as np
+
+# psi(x) = psi(x + SHIFT) - sum of 1 / (x + i), then the asymptotic
+# series ln(y) - 1 / 2y - sum of coefficient / y^power.
 SHIFT = 6
+SERIES = ((2, 1 / 12), (4, -1 / 120), (6, 1 / 252), (8, -1 / 240), (10, 1 / 132))
 
 
-def digamma(x, log):
-    """psi(x) for x > 0; `log` is the natural logarithm of the operand's kind."""
+def digamma(x):
+    """psi(x) for x > 0."""
     shifted = x + SHIFT
-    below = 1.0 / x
-    for step in range(1, SHIFT):
-        below = below + 1.0 / (x + step)
-    inv = 1.0 / shifted
-    sq = inv * inv
-    series = sq * (
-        1.0 / 12
-        - sq * (1.0 / 120 - sq * (1.0 / 252 - sq * (1.0 / 240 - sq * (1.0 / 132))))
-    )
-    return log(shifted) - 0.5 * inv - series - below
+    value = np.log(shifted) - 0.5 / shifted
+    for power, coefficient in SERIES:
+        value = value - coefficient / shifted**power
+    for step in range(SHIFT):
+        value = value - 1.0 / (x + step)
+    return value
+
+
+def digamma_sql(name: str) -> str:
+    """psi of a positive double column."""
+    inverse_square = f"(1D / (({name} + {SHIFT}) * ({name} + {SHIFT})))"
+    series = "0D"
+    for _, coefficient in reversed(SERIES):
+        series = f"({inverse_square} * ({coefficient!r}D + {series}))"
+    below = " + ".join(f"1D / ({name} + {step})" for step in range(SHIFT))
+    return f"(ln({name} + {SHIFT}) - 0.5D / ({name} + {SHIFT}) - {series} - ({below}))"

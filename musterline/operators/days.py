@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from musterline.functions.codes import AS_OBSERVED, CodeBook
-from musterline.functions.columns import strip
+from musterline.functions.columns import sql_list, strip
 
 
 def split_days(days: DataFrame) -> DataFrame:
@@ -28,13 +28,14 @@ def split_days(days: DataFrame) -> DataFrame:
 
 def score_days(days: DataFrame, book: CodeBook = AS_OBSERVED) -> DataFrame:
     """Add the daily metrics: each part of a day counts with its weight."""
-    parts = split_days(days)
-    metrics = {name: _weight(codes) for name, codes in book.day_metrics().items()}
-    return parts.withColumns(metrics).drop("first_part", "second_part", "part_weight")
+    metrics = [f"{_weight(codes)} AS `{name}`" for name, codes in book.day_metrics().items()]
+    kept = [f"`{name}`" for name in days.columns]
+    return split_days(days).selectExpr(*kept, *metrics)
 
 
-def _weight(codes: tuple[str, ...]) -> Column:
-    weight = F.col("part_weight")
-    return F.when(F.col("first_part").isin(*codes), weight).otherwise(F.lit(0.0)) + F.when(
-        F.col("second_part").isin(*codes), weight
-    ).otherwise(F.lit(0.0))
+def _weight(codes: tuple[str, ...]) -> str:
+    wanted = sql_list(codes)
+    return (
+        f"CASE WHEN first_part IN ({wanted}) THEN part_weight ELSE 0D END"
+        f" + CASE WHEN second_part IN ({wanted}) THEN part_weight ELSE 0D END"
+    )

@@ -44,10 +44,14 @@ def kept_terms(
     min_docs: int = 2,
     max_share: float = 0.9,
 ) -> DataFrame:
-    """Terms in at least `min_docs` and at most `max_share` of the documents, with idf."""
+    """Terms in at least `min_docs` and at most `max_share` of the documents, with idf.
+
+    Reading `tf` here keeps the counts the same as for the weights, so that Spark
+    reuses their shuffle and reads the texts once.
+    """
     frequencies = (
         counts.groupBy(*TERM_KEYS)
-        .agg(F.count(F.lit(1)).alias("df"))
+        .agg(F.count_if(F.col("tf") > 0).alias("df"))
         .withColumn("docs", corpus_size(docs, corpora))
     )
     idf = F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1

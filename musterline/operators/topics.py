@@ -13,8 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from musterline.functions.special import digamma
-from musterline.operators.skew import copy_per_split
+from musterline.functions.special import digamma, digamma_sql
 from musterline.operators.terms import TERM_KEYS
 from musterline.session import durable
 
@@ -30,6 +29,7 @@ KEYWORDS = 5
 ASSIGN_ABOVE = 0.2
 # Shape of the random start, a gamma distribution with mean 1.
 START_SHAPE = 100.0
+TINY = float(np.finfo(float).eps)
 
 
 def fit_topics(
@@ -45,23 +45,22 @@ def fit_topics(
     Returns the term table (corpus, term, topic_0 ..) and the mixtures of the
     documents (corpus, key, mixture: array of probabilities).
     """
-    prior = 1.0 / topics
     names = [f"topic_{i}" for i in range(topics)]
     weights = weights.select("corpus", key, "term", "weight", "split", "splits")
     vocabulary = weights.select(*TERM_KEYS, "splits").distinct()
-    hot = durable(vocabulary.where(F.col("splits") > 1))
     terms = durable(
         vocabulary.select(
-            *TERM_KEYS, *[_start(i, seed).alias(name) for i, name in enumerate(names)]
+            *TERM_KEYS,
+            "splits",
+            *[_start(i, seed).alias(name) for i, name in enumerate(names)],
         )
     )
     for _ in range(passes):
-        fitted = _with_mixture(weights, terms, hot, key, corpora, names, prior)
-        terms = durable(_collect_terms(fitted, names, prior))
-    fitted = _with_mixture(weights, terms, hot, key, corpora, names, prior)
-    whole = F.aggregate("gamma", F.lit(0.0), lambda acc, g: acc + g)
+        terms = durable(_gather_terms(_fit_documents(weights, terms, key, corpora, names), names))
+    fitted = _fit_documents(weights, terms, key, corpora, names)
+    whole = F.aggregate("fit.gamma", F.lit(0.0), lambda acc, g: acc + g)
     mixtures = fitted.select(
-        "corpus", key, F.transform("gamma", lambda g: g / whole).alias("mixture")
+        "corpus", key, F.transform("fit.gamma", lambda g: g / whole).alias("mixture")
     )
     return terms, mixtures
 
@@ -82,7 +81,7 @@ def _start(topic: int, seed: int) -> Column:
 
 
 def _term_factors(terms: DataFrame, corpora: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """exp E[log beta] per term and topic.
+    """exp E[log beta] per term and topic, repeated for every split of the term.
 
     The topic totals are one row per corpus, of which there are as many as names in
     `corpora`; they enter as constants."""
@@ -91,106 +90,88 @@ def _term_factors(terms: DataFrame, corpora: Sequence[str], names: Sequence[str]
         for row in terms.groupBy("corpus").agg(*[F.sum(n).alias(n) for n in names]).collect()
     }
 
-    def log_total(name: str) -> Column:
-        value = F.lit(0.0)
+    def factor(name: str) -> Column:
+        log_total = F.lit(None).cast("double")
         for corpus in corpora:
             if corpus in totals:
-                psi = float(digamma(totals[corpus][name], np.log))
-                value = F.when(F.col("corpus") == corpus, F.lit(psi)).otherwise(value)
-        return value
+                psi = float(digamma(totals[corpus][name]))
+                log_total = F.when(F.col("corpus") == corpus, F.lit(psi)).otherwise(log_total)
+        return F.exp(F.expr(digamma_sql(name)) - log_total)
 
     return terms.select(
         *TERM_KEYS,
-        *[F.exp(digamma(F.col(n), F.log) - log_total(n)).alias(n) for n in names],
+        "splits",
+        F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"),
+        *[factor(name).alias(name) for name in names],
     )
 
 
-def _with_mixture(
-    weights: DataFrame,
-    terms: DataFrame,
-    hot: DataFrame,
-    key: str,
-    corpora: Sequence[str],
-    names: Sequence[str],
-    prior: float,
+def _fit_documents(
+    weights: DataFrame, terms: DataFrame, key: str, corpora: Sequence[str], names: Sequence[str]
 ) -> DataFrame:
-    """Documents with their terms, the factors of these, and the fitted `gamma`.
+    """Documents with their terms, the factors of these, and the `fit`: gamma, the
+    document's topic weights, and theta = exp E[log topic share].
 
     What is gathered per document is at most its own distinct terms."""
-    factors = copy_per_split(_term_factors(terms, corpora, names), hot, TERM_KEYS)
+    factors = _term_factors(terms, corpora, names)
     documents = (
-        weights.join(factors, [*TERM_KEYS, "split"])
+        weights.drop("splits")
+        .join(factors, [*TERM_KEYS, "split"])
         .groupBy("corpus", key)
-        .agg(F.collect_list(F.struct("term", "weight", *names)).alias("terms"))
+        .agg(F.collect_list(F.struct("term", "splits", "weight", *names)).alias("terms"))
     )
-    fit = F.pandas_udf(_mixture_fit(prior), "array<double>")
+    fit = F.pandas_udf(_document_fit(1.0 / len(names)), "gamma array<double>, theta array<double>")
     arrays = [F.col(f"terms.{name}") for name in ("weight", *names)]
-    return documents.withColumn("gamma", fit(*arrays))
+    return documents.withColumn("fit", fit(*arrays))
 
 
-def _mixture_fit(prior: float):
+def _document_fit(prior: float):
     """Variational topic mixture of each document of an Arrow batch, all at once."""
 
-    def fit(weight: pd.Series, *factors: pd.Series) -> pd.Series:
+    def theta_of(gamma: np.ndarray) -> np.ndarray:
+        return np.exp(digamma(gamma) - digamma(gamma.sum(axis=1, keepdims=True)))
+
+    def fit(weight: pd.Series, *factors: pd.Series) -> pd.DataFrame:
         sizes = weight.map(len).to_numpy()
         owner = np.repeat(np.arange(len(sizes)), sizes)
         counts = np.concatenate(weight.to_list())
         beta = np.column_stack([np.concatenate(f.to_list()) for f in factors])
         gamma = np.ones((len(sizes), beta.shape[1]))
-        open_docs = np.ones(len(sizes), dtype=bool)
+        unsettled = np.ones(len(sizes), dtype=bool)
         for _ in range(MIXTURE_STEPS):
-            rows = open_docs[owner]
+            rows = unsettled[owner]
             own, b = owner[rows], beta[rows]
-            theta = np.exp(
-                digamma(gamma, np.log) - digamma(gamma.sum(axis=1, keepdims=True), np.log)
-            )
-            share = counts[rows] / ((theta[own] * b).sum(axis=1) + np.finfo(float).eps)
-            gained = np.column_stack(
-                [
-                    np.bincount(own, weights=share * b[:, t], minlength=len(sizes))
-                    for t in range(b.shape[1])
-                ]
-            )
-            fresh = prior + theta * gained
+            theta = theta_of(gamma)
+            share = counts[rows] / ((theta[own] * b).sum(axis=1) + TINY)
+            gained = [
+                np.bincount(own, weights=share * b[:, t], minlength=len(sizes))
+                for t in range(b.shape[1])
+            ]
+            fresh = prior + theta * np.column_stack(gained)
             moved = np.abs(fresh - gamma).mean(axis=1)
-            gamma = np.where(open_docs[:, None], fresh, gamma)
-            open_docs &= moved >= MIXTURE_TOLERANCE
-            if not open_docs.any():
+            gamma = np.where(unsettled[:, None], fresh, gamma)
+            unsettled &= moved >= MIXTURE_TOLERANCE
+            if not unsettled.any():
                 break
-        return pd.Series(list(gamma))
+        return pd.DataFrame({"gamma": list(gamma), "theta": list(theta_of(gamma))})
 
     return fit
 
 
-def _collect_terms(fitted: DataFrame, names: Sequence[str], prior: float) -> DataFrame:
+def _gather_terms(fitted: DataFrame, names: Sequence[str]) -> DataFrame:
     """New term-topic weights: prior plus what all documents give to the term."""
-    topics = range(len(names))
-    whole = F.aggregate("gamma", F.lit(0.0), lambda acc, g: acc + g)
-    mixed = fitted.select(
-        "corpus",
-        "terms",
-        whole.alias("whole"),
-        *[F.col("gamma")[i].alias(f"gamma_{i}") for i in topics],
-    ).select(
-        "corpus",
-        F.explode("terms").alias("t"),
-        *[
-            F.exp(
-                digamma(F.col(f"gamma_{i}"), F.log) - digamma(F.col("whole"), F.log)
-            ).alias(f"theta_{i}")
-            for i in topics
-        ],
-    )
-    parts = [F.col(f"theta_{i}") * F.col(f"t.{name}") for i, name in enumerate(names)]
-    norm = sum(parts[1:], parts[0]) + float(np.finfo(float).eps)
+    given = fitted.select("corpus", F.col("fit.theta").alias("theta"), F.explode("terms").alias("t"))
+    parts = [F.expr(f"theta[{i}] * t.{name}") for i, name in enumerate(names)]
+    norm = sum(parts[1:], parts[0]) + TINY
     return (
-        mixed.select(
+        given.select(
             "corpus",
-            F.col("t.term").alias("term"),
-            *[(F.col("t.weight") * p / norm).alias(n) for p, n in zip(parts, names)],
+            "t.term",
+            "t.splits",
+            *[(F.col("t.weight") * part / norm).alias(n) for part, n in zip(parts, names)],
         )
-        .groupBy(*TERM_KEYS)
-        .agg(*[(F.sum(name) + prior).alias(name) for name in names])
+        .groupBy(*TERM_KEYS, "splits")
+        .agg(*[(F.sum(name) + 1.0 / len(names)).alias(name) for name in names])
     )
 
 

@@ -18,42 +18,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _pick(number: Column, divisor: int, *codes: str) -> Column:
-    """Position in CODES of the code at `number % divisor`; the last code for the rest."""
-    rest = number % divisor
-    chosen = F.lit(CODES.index(codes[-1]))
-    for place, code in enumerate(codes[:-1]):
-        chosen = F.when(rest == place, F.lit(CODES.index(code))).otherwise(chosen)
-    return chosen
+def _pick(divisor: int, *codes: str) -> str:
+    """Position in CODES of the code at `event_id % divisor`; the last code for the rest."""
+    whens = " ".join(
+        f"WHEN {place} THEN {CODES.index(code)}" for place, code in enumerate(codes[:-1])
+    )
+    return f"CASE event_id % {divisor} {whens} ELSE {CODES.index(codes[-1])} END"
 
 
-def _event_code() -> Column:
-    kind, number = F.col("event_type"), F.col("event_id")
-    return (
-        F.when(kind == "click", _pick(number, 7, "W*", "H*", "AR", "P"))
-        .when(kind == "view", _pick(number, 5, "W", "H", "P"))
-        .when(kind == "purchase", _pick(number, 4, "CL", "EL", "PL", "BL"))
-        .when(kind == "signup", _pick(number, 4, "SL", "ELec", "RH", "CO"))
-        .otherwise(_pick(number, 5, "A", "LWP", "ABSENT"))
-    )
+EVENT_CODE = f"""CASE event_type
+    WHEN 'click' THEN {_pick(7, "W*", "H*", "AR", "P")}
+    WHEN 'view' THEN {_pick(5, "W", "H", "P")}
+    WHEN 'purchase' THEN {_pick(4, "CL", "EL", "PL", "BL")}
+    WHEN 'signup' THEN {_pick(4, "SL", "ELec", "RH", "CO")}
+    ELSE {_pick(5, "A", "LWP", "ABSENT")} END"""
 
 
 def _code_text(position: str) -> Column:
-    return F.element_at(F.array(*[F.lit(code) for code in CODES]), F.col(position) + 1)
-
-
-def _user_columns() -> list[Column]:
-    user = F.col("user_id")
-    return [
-        F.concat(F.lit("E"), F.lpad(user.cast("string"), 5, "0")).alias("employee_id"),
-        F.concat(F.lit("Emp "), user.cast("string")).alias("employee_name"),
-        F.when(user % 17 == 0, F.lit("N/A"))
-        .otherwise(F.concat(F.lit("MGR_"), (user % 12).cast("string")))
-        .alias("reporting_manager"),
-        F.concat(F.lit("OU_"), (user % 3).cast("string")).alias("ou_name"),
-        F.concat(F.lit("FL_"), (user % 5).cast("string")).alias("functional_lead"),
-        F.when(user % 20 == 0, F.lit("2024-01-20").cast("date")).alias("relieving_date"),
-    ]
+    listed = ", ".join(f"'{code}'" for code in CODES)
+    return F.expr(f"element_at(array({listed}), {position} + 1)")
+
+
+USER_COLUMNS = (
+    "concat('E', lpad(CAST(user_id AS STRING), 5, '0')) AS employee_id",
+    "concat('Emp ', CAST(user_id AS STRING)) AS employee_name",
+    "CASE WHEN user_id % 17 = 0 THEN 'N/A' ELSE concat('MGR_', CAST(user_id % 12 AS STRING)) END"
+    " AS reporting_manager",
+    "concat('OU_', CAST(user_id % 3 AS STRING)) AS ou_name",
+    "concat('FL_', CAST(user_id % 5 AS STRING)) AS functional_lead",
+)
+RELIEVING_DATE = "CASE WHEN user_id % 20 = 0 THEN DATE '2024-01-20' END AS relieving_date"
+
+
+def _user_columns(*more: str) -> list[Column]:
+    return [F.expr(text) for text in (*USER_COLUMNS, *more)]
 
 
 def _day_code() -> Column:
@@ -73,7 +71,7 @@ def _user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
             "user_id",
             F.col("ts").cast("date").alias("date"),
             "event_id",
-            _event_code().alias("code"),
+            F.expr(EVENT_CODE).alias("code"),
         )
         .groupBy("user_id", "date")
         .agg(
@@ -86,7 +84,7 @@ def _user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attendance_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long attendance of one month: a row per user and day of `events`."""
     return _user_days(spark, sf_dir).select(
-        *_user_columns(), "date", _day_code().alias("raw_code")
+        *_user_columns(RELIEVING_DATE), "date", _day_code().alias("raw_code")
     )
 
 
@@ -123,7 +121,7 @@ def attendance_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("ts").cast("date").alias("date"),
             "event_id",
             (F.col("event_id") % 2).alias("half"),
-            _event_code().alias("code"),
+            F.expr(EVENT_CODE).alias("code"),
         )
         .groupBy("user_id", "half", "date")
         .agg(F.min_by("code", "event_id").alias("first_code"))
@@ -133,11 +131,10 @@ def attendance_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
         row["header"]
         for row in halves.select("header", "date").distinct().orderBy("date").collect()
     ]
-    ids = [c for c in _user_columns()[:5]]
     return (
         halves.select(
             "user_id",
-            *ids,
+            *_user_columns(),
             F.when(F.col("half") == 1, F.lit("20-Jan-2024")).alias("relieving_date"),
             "half",
             "header",
