@@ -101,11 +101,15 @@ def lemma_tokens(spark, sf_dir):
     )
 
 
-def _sentiment_sql(key: str, rows: str) -> str:
-    """`rows` has `key` and `text`."""
+BY_LENGTH = "length(x) % 5 - 2"
+BY_LETTERS = "(unicode(x) + unicode(right(x, 1)) + length(x)) % 7 - 3"
+
+
+def _sentiment_sql(key: str, rows: str, valence: str) -> str:
+    """`rows` has `key` and `text`; `valence` is an expression of the token x."""
     return f"""valences AS (
   SELECT {key}, coalesce(list_sum(list_transform({words_sql('text')},
-      lambda x: CASE WHEN length(x) >= 3 THEN length(x) % 5 - 2 ELSE 0 END)), 0)::DOUBLE AS s
+      lambda x: CASE WHEN length(x) >= 3 THEN {valence} ELSE 0 END)), 0)::DOUBLE AS s
   FROM {rows}),
 scored AS (SELECT {key}, s / sqrt(s * s + 15) AS compound FROM valences),
 labelled AS (
@@ -115,11 +119,11 @@ labelled AS (
 
 DOCUMENTS_SENTIMENT = (
     "english AS (SELECT doc_id, text FROM documents WHERE lang = 'en'),\n"
-    + _sentiment_sql("doc_id", "english")
+    + _sentiment_sql("doc_id", "english", BY_LENGTH)
 )
 LEAVERS_SENTIMENT = (
     f"{FEEDBACK},\ntexts AS (SELECT resignationletterdate, full_feedback AS text FROM feedback),\n"
-    + _sentiment_sql("resignationletterdate", "texts")
+    + _sentiment_sql("resignationletterdate", "texts", BY_LETTERS)
 )
 
 
@@ -140,7 +144,7 @@ def leavers(spark, sf_dir) -> DataFrame:
 def lexicon(spark, sf_dir) -> DataFrame:
     feedback = lv.add_feedback(wide(spark, sf_dir))
     return derived.token_lexicon(
-        feedback.select(F.explode(tx.words("full_feedback")).alias("token"))
+        feedback.select(F.explode(tx.words("full_feedback")).alias("token")), derived.BY_LETTERS
     )
 
 

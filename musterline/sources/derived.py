@@ -218,15 +218,19 @@ def english_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(F.col("lang") == "en").select("doc_id", "text")
 
 
-def token_lexicon(tokens: DataFrame) -> DataFrame:
-    """A lexicon for invented texts: valence = token length % 5 - 2, for three letters up.
+# Valences for invented texts, which no real lexicon matches. The second
+# one leaves about as many texts positive as negative.
+BY_LENGTH = "length(token) % 5 - 2"
+BY_LETTERS = "(ascii(token) + ascii(right(token, 1)) + length(token)) % 7 - 3"
 
-    `tokens` has a column `token`."""
+
+def token_lexicon(tokens: DataFrame, valence: str = BY_LENGTH) -> DataFrame:
+    """A lexicon of every `token` of three letters or more."""
     return (
         tokens.where(F.length("token") >= 3)
         .select("token")
         .distinct()
-        .withColumn("valence", (F.length("token") % 5 - 2).cast("double"))
+        .withColumn("valence", F.expr(f"CAST({valence} AS DOUBLE)"))
     )
 
 
