@@ -39,7 +39,11 @@ def _read(spark: SparkSession, path, fmt: str, multiline: bool) -> DataFrame:
 
 
 def with_row_order(frame: DataFrame) -> DataFrame:
-    """Place of each row: file, split within the file, row within the split."""
+    """Place of each row: file, split within the file, row within the split.
+
+    A file that numbers its rows itself keeps its own `row_order`."""
+    if ROW_ORDER in frame.columns:
+        return frame.withColumn(ROW_ORDER, F.col(ROW_ORDER).cast("long"))
     return frame.select(
         "*",
         F.struct(
