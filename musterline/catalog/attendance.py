@@ -658,7 +658,7 @@ def manager_effort(spark, sf_dir):
     ),
 )
 def manager_quadrants(spark, sf_dir):
-    table = scorecard.manager_quadrants(month(spark, sf_dir).employees)
+    table = scorecard.manager_quadrants(month(spark, sf_dir).employees).drop("managers")
     return table.withColumns(
         {name: F.round(name, 6) for name in ("avg_absenteeism", "avg_effort")}
     )

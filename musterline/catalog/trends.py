@@ -149,9 +149,7 @@ def _heatmap(metric: str) -> None:
         ),
     )
     def heatmap(spark, sf_dir):
-        frames = recent(spark, sf_dir)
-        grouped = trends.grouped_trends(frames.daily)
-        table = trends.heatmap(grouped, frames.employees, metric)
+        table = recent(spark, sf_dir).heatmap(metric)
         return _cells_as_rows(table, ["functional_lead", "team_size", "overall_avg", "trend"])
 
 

@@ -176,27 +176,41 @@ def attendance_summary(
 def baseline_kpis(view: DataFrame, master: DataFrame) -> DataFrame:
     """KPIs to hold a view against: the other units for a one-unit view, else the company.
 
-    The facts that decide are one-value subqueries, so neither side is collected.
-    An empty view gives zeros without a name.
+    The master rows are read once, summed per unit, and both baselines follow from
+    these sums. The facts of the view are one subquery, so nothing is collected. An
+    empty view gives zeros without a name.
     """
-    units = F.countDistinct("ou_name")
-    view_rows = view.agg(F.count(F.lit(1)).alias("n")).scalar()
-    view_units = view.agg(units.alias("n")).scalar()
-    view_unit = view.agg(F.min("ou_name").alias("unit")).scalar()
-    master_units = master.agg(units.alias("n")).scalar()
-    peers = (view_units == 1) & (master_units > 1)
-    against = master.where(
-        (view_rows > 0) & (~F.coalesce(peers, F.lit(False)) | (F.col("ou_name") != view_unit))
+    facts = view.agg(
+        F.struct(
+            F.count(F.lit(1)).alias("rows"),
+            F.countDistinct("ou_name").alias("units"),
+            F.min("ou_name").alias("unit"),
+        ).alias("facts")
+    ).scalar()
+    per_unit = master.groupBy("ou_name").agg(*kpi_sums(), *leave_sums())
+    names = [name for name in per_unit.columns if name != "ou_name"]
+    both = per_unit.withColumn("peer", F.col("ou_name") != facts["unit"]).agg(
+        *[F.expr(f"sum({name})").alias(name) for name in names],
+        *[F.expr(f"sum({name}) FILTER (WHERE peer)").alias(f"peer_{name}") for name in names],
+        F.expr("count(*)").alias("units"),
+        F.expr("count_if(peer)").alias("peer_units"),
     )
-    sums = against.agg(*kpi_sums(), *leave_sums(), units.alias("_units"))
-    name = F.when(
-        peers, F.concat(F.lit("vs. Peer Avg. ("), F.col("_units").cast("string"), F.lit(" OUs)"))
-    ).otherwise(F.lit("vs. Company Avg."))
-    return (
-        add_rates(sums)
-        .withColumn("baseline_name", F.when(F.col("total_employees") > 0, name))
-        .drop("_units")
+    against = both.withColumns(
+        {
+            "seen": facts["rows"] > 0,
+            "by_peers": (facts["units"] == 1) & (F.col("units") > 1),
+        }
+    ).selectExpr(
+        *[
+            f"CASE WHEN NOT seen OR units = 0 THEN 0 WHEN by_peers THEN peer_{name} ELSE {name} END"
+            f" AS {name}"
+            for name in names
+        ],
+        "CASE WHEN NOT seen OR units = 0 THEN NULL"
+        " WHEN by_peers THEN concat('vs. Peer Avg. (', peer_units, ' OUs)')"
+        " ELSE 'vs. Company Avg.' END AS baseline_name",
     )
+    return add_rates(against)
 
 
 def view_cards(employees: DataFrame) -> DataFrame:

@@ -40,12 +40,17 @@ def manager_effort(employees: DataFrame) -> DataFrame:
 def manager_quadrants(employees: DataFrame) -> DataFrame:
     """Each manager's quadrant by the unweighted averages over managers.
 
-    The averages are one-value subqueries: a window without a partition would pull
-    every manager into one task.
+    The averages are one subquery: a window without a partition would pull every
+    manager into one task.
     """
     managers = manager_effort(employees)
-    avg_absenteeism = managers.agg(F.avg("absenteeism_rate").alias("v")).scalar()
-    avg_effort = managers.agg(F.avg("extra_effort_rate").alias("v")).scalar()
+    facts = managers.agg(
+        F.struct(
+            F.count(F.lit(1)).alias("managers"),
+            F.avg("absenteeism_rate").alias("absenteeism"),
+            F.avg("extra_effort_rate").alias("effort"),
+        ).alias("facts")
+    ).scalar()
     calm = F.col("absenteeism_rate") <= F.col("avg_absenteeism")
     keen = F.col("extra_effort_rate") >= F.col("avg_effort")
     quadrant = (
@@ -55,8 +60,9 @@ def manager_quadrants(employees: DataFrame) -> DataFrame:
         .otherwise(F.lit("high_risk"))
     )
     return (
-        managers.withColumn("avg_absenteeism", avg_absenteeism)
-        .withColumn("avg_effort", avg_effort)
+        managers.withColumn("managers", facts["managers"])
+        .withColumn("avg_absenteeism", facts["absenteeism"])
+        .withColumn("avg_effort", facts["effort"])
         .withColumn("quadrant", quadrant)
         .withColumn("absenteeism", F.concat(fixed("absenteeism_rate", 1), F.lit("%")))
         .withColumn("effort", F.concat(fixed("extra_effort_rate", 1), F.lit("%")))
@@ -66,11 +72,10 @@ def manager_quadrants(employees: DataFrame) -> DataFrame:
 def leadership_scorecard(employees: DataFrame) -> DataFrame:
     """Status of every manager, highest absenteeism first; empty for a single manager."""
     quadrants = manager_quadrants(employees)
-    managers = manager_effort(employees).agg(F.count(F.lit(1)).alias("n")).scalar()
     status = F.col("quadrant")
     labels = F.create_map(*[F.lit(text) for pair in STATUS_LABELS.items() for text in pair])
     return (
-        quadrants.where(managers > 1)
+        quadrants.where(F.col("managers") > 1)
         .select(
             labels[status].alias("status"),
             F.col("manager_name").alias("manager"),

@@ -20,9 +20,9 @@ def term_counts(
     docs: DataFrame, key: str, stop_words: tuple[str, ...] = STOP_WORDS
 ) -> DataFrame:
     """Count of each one- and two-word term per document; merged before the shuffle."""
-    grams = one_and_two_grams(model_words(F.col("tokens"), stop_words))
     return (
-        docs.select("corpus", key, F.explode(grams).alias("term"))
+        docs.select("corpus", key, model_words(F.col("tokens"), stop_words).alias("kept"))
+        .select("corpus", key, F.explode(one_and_two_grams(F.col("kept"))).alias("term"))
         .groupBy("corpus", key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

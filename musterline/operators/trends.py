@@ -85,10 +85,17 @@ def grouped_trends(daily: DataFrame) -> DataFrame:
     )
 
 
+def _as_one_row(monthly: DataFrame, *columns: str) -> DataFrame:
+    """All months in one array, in order: the calendar bounds their number."""
+    return monthly.agg(
+        F.array_sort(F.collect_list(F.struct("month", "display_month", *columns))).alias("months")
+    )
+
+
 def trend_series(monthly: DataFrame) -> DataFrame:
     """Chart series of the three rates; empty with fewer than two months."""
-    months = monthly.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return monthly.where(months >= 2).unpivot(
+    enough = _as_one_row(monthly, *TREND_RATES).where(F.size("months") >= 2)
+    return enough.select(F.inline("months")).unpivot(
         ["month", "display_month"], list(TREND_RATES), "metric", "value"
     )
 
@@ -175,15 +182,21 @@ def absence_alert(monthly: DataFrame, deviations: float = 1.5) -> DataFrame:
     """Is the latest month's absenteeism above the mean of the earlier months by more
     than `deviations` sample standard deviations? No row with fewer than three months
     or without an alert."""
-    latest = monthly.agg(F.max("month").alias("month")).scalar()
-    earlier = F.when(F.col("month") < latest, F.col("absenteeism_rate"))
-    facts = monthly.agg(
-        F.count(F.lit(1)).alias("months"),
-        F.max("month").alias("month"),
-        F.max_by("display_month", "month").alias("display_month"),
-        F.max_by("absenteeism_rate", "month").alias("latest_rate"),
-        F.avg(earlier).alias("historical_avg"),
-        F.stddev_samp(earlier).alias("historical_std"),
+    one = _as_one_row(monthly, "absenteeism_rate").where(F.size("months") >= 3)
+    facts = (
+        one.select(
+            F.element_at("months", -1).alias("latest"),
+            F.expr("slice(months, 1, size(months) - 1).absenteeism_rate").alias("earlier"),
+        )
+        .withColumn("average", F.expr("aggregate(earlier, 0D, (s, x) -> s + x) / size(earlier)"))
+        .selectExpr(
+            "latest.month AS month",
+            "latest.display_month AS display_month",
+            "latest.absenteeism_rate AS latest_rate",
+            "average AS historical_avg",
+            "sqrt(aggregate(earlier, 0D, (s, x) -> s + (x - average) * (x - average))"
+            " / (size(earlier) - 1)) AS historical_std",
+        )
     )
     average = F.col("historical_avg")
     rise = F.when(average > 0, (F.col("latest_rate") - average) / average * 100).otherwise(
@@ -201,12 +214,10 @@ def absence_alert(monthly: DataFrame, deviations: float = 1.5) -> DataFrame:
         F.lit("% increase**, warranting investigation."),
     )
     return (
-        facts.where(F.col("months") >= 3)
-        .withColumn("threshold", average + F.lit(deviations) * F.col("historical_std"))
+        facts.withColumn("threshold", average + F.lit(deviations) * F.col("historical_std"))
         .where(F.col("latest_rate") > F.col("threshold"))
         .withColumn("percent_increase", rise)
         .withColumn("alert", text)
-        .drop("months")
     )
 
 

@@ -9,7 +9,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 
 from musterline.functions.codes import AS_OBSERVED, CodeBook
-from musterline.operators import cleaning, days, employees, insights, kpis, views
+from musterline.operators import cleaning, days, employees, insights, kpis, trends, views
+from musterline.session import durable
 
 
 @dataclass(frozen=True)
@@ -42,6 +43,12 @@ class Attendance:
     def summary(self, period: str = "Overall") -> DataFrame:
         return kpis.attendance_summary(self.employees, period, self.daily)
 
+    def heatmap(self, metric: str) -> DataFrame:
+        """Lead x month heatmap. The lead-month sums are few; kept, they serve both for
+        finding the months and for the cells."""
+        grouped = durable(trends.grouped_trends(self.daily))
+        return trends.heatmap(grouped, self.employees, metric)
+
     def briefing(self) -> DataFrame:
         return kpis.briefing_facts(
             self.employees,
