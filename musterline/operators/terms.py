@@ -19,9 +19,15 @@ SPLIT_ROWS = 100_000
 def term_counts(
     docs: DataFrame, key: str, stop_words: tuple[str, ...] = STOP_WORDS
 ) -> DataFrame:
-    """Count of each one- and two-word term per document; merged before the shuffle."""
+    """Count of each one- and two-word term per document.
+
+    The tokens are placed by document before they are opened into terms: that moves
+    them once, where the terms would be several times as much, and no further shuffle
+    is needed to count. One row is one document, so no place gets more than its share.
+    """
     return (
         docs.select("corpus", key, model_words(F.col("tokens"), stop_words).alias("kept"))
+        .repartition(key)
         .select("corpus", key, F.explode(one_and_two_grams(F.col("kept"))).alias("term"))
         .groupBy("corpus", key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
@@ -44,14 +50,10 @@ def kept_terms(
     min_docs: int = 2,
     max_share: float = 0.9,
 ) -> DataFrame:
-    """Terms in at least `min_docs` and at most `max_share` of the documents, with idf.
-
-    Reading `tf` here keeps the counts the same as for the weights, so that Spark
-    reuses their shuffle and reads the texts once.
-    """
+    """Terms in at least `min_docs` and at most `max_share` of the documents, with idf."""
     frequencies = (
         counts.groupBy(*TERM_KEYS)
-        .agg(F.count_if(F.col("tf") > 0).alias("df"))
+        .agg(F.count(F.lit(1)).alias("df"))
         .withColumn("docs", corpus_size(docs, corpora))
     )
     idf = F.log((F.col("docs") + 1) / (F.col("df") + 1)) + 1
