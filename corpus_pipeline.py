@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from musterline.llm import toxicity
+from musterline.llm import decontaminate, mixing, sharding, simhash, toxicity
 from musterline.llm.common import new_folder, read
 
 
@@ -14,7 +14,33 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.reject(docs, model)
 
 
-STAGES = [("toxicity", reject_toxic)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of linked fingerprints."""
+    return simhash.deduplicate(docs, shingle=4, radius=4)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or cut to the target of their source."""
+    return mixing.mixed(docs)
+
+
+def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their shard and their slot in it."""
+    return sharding.sharded(docs)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("simhash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources", mix_sources),
+    ("sharding", into_shards),
+]
 
 # The first stages are a trained classifier and hashes that DuckDB lacks.
 ORACLE_SQL = None
@@ -24,8 +50,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order; each result is written as Parquet and read by the next."""
     docs = read(spark, sf_dir, "documents")
     folder = new_folder(spark, "pipeline")
-    for number, (name, stage) in enumerate(STAGES):
-        out = f"{folder}/{number}-{name}"
+    for number, (_, stage) in enumerate(STAGES):
+        out = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
     return docs

@@ -96,7 +96,8 @@ def rare_tokens(docs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     cells = bitmap(tokens.select("hash").distinct())
     own = F.array_distinct(token_hashes(words(F.col("text")), size))
     seen = (
-        docs.select(F.explode(F.filter(own, lambda h: in_bitmap(cells, h))).alias("hash"))
+        docs.select(own.alias("own"), cells.alias("cells"))
+        .select(F.explode(F.filter("own", lambda h: in_bitmap(F.col("cells"), h))).alias("hash"))
         .groupBy("hash")
         .agg(F.count("*").alias("documents"))
     )
@@ -115,14 +116,19 @@ def matches(docs: DataFrame, prefixes: DataFrame, size: int, window: int) -> Dat
     """doc_id, text_hash, n_words and the places of rare tokens with the words around them."""
     cells = bitmap(prefixes.select("hash").distinct())
     cut = docs.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w")
+        "doc_id",
+        F.xxhash64("text").alias("text_hash"),
+        words(F.col("text")).alias("w"),
+        cells.alias("cells"),
     )
     numbered = F.zip_with(
         token_hashes(F.col("w"), size),
         F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0))),
         lambda h, i: F.struct(h.alias("hash"), i.alias("at")),
     )
-    found = F.filter(numbered, lambda t: t["hash"].isNotNull() & in_bitmap(cells, t["hash"]))
+    found = F.filter(
+        numbered, lambda t: t["hash"].isNotNull() & in_bitmap(F.col("cells"), t["hash"])
+    )
     reach = window - size
     around = F.transform(
         found,
