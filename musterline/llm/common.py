@@ -54,16 +54,19 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def split_words(text: Column, spaces: str = SPACES) -> Column:
-    """Words of a text as an array; null and blank texts have none.
+def add_words(frame: DataFrame, text: Column, name: str, spaces: str = SPACES) -> DataFrame:
+    """Adds the words of a text as an array; null and blank texts have none.
 
     Cutting at runs of white space leaves an empty string before leading and after
-    trailing white space, and as the only part of an empty text.
+    trailing white space, and as the only part of an empty text. The parts are a column of
+    their own, as an expression used several times would be evaluated as often.
     """
-    parts = F.split(F.coalesce(text, F.lit("")), spaces)
+    cut = frame.withColumn("__parts", F.split(F.coalesce(text, F.lit("")), spaces))
+    parts = F.col("__parts")
     first = F.when(F.get(parts, 0) == "", 2).otherwise(1)
     last = F.when((F.size(parts) > 1) & (F.get(parts, F.size(parts) - 1) == ""), 1).otherwise(0)
-    return F.slice(parts, first, F.greatest(F.size(parts) - first + 1 - last, F.lit(0)))
+    words = F.slice(parts, first, F.greatest(F.size(parts) - first + 1 - last, F.lit(0)))
+    return cut.withColumn(name, words).drop("__parts")
 
 
 def lower_ascii(text: Column) -> Column:

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from musterline.llm.common import kept, lower_ascii, split_words
+from musterline.llm.common import add_words, kept, lower_ascii
 
 # Fixed value: what is not a word character once A-Z are lower-cased.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -30,21 +30,23 @@ WINDOW = 10
 CELLS = 14
 
 
-def words(text: Column) -> Column:
-    return split_words(lower_ascii(text), NOT_WORD)
+def with_words(frame: DataFrame) -> DataFrame:
+    """Adds `w`, the words of the column `text`."""
+    return add_words(frame, lower_ascii(F.col("text")), "w", NOT_WORD)
 
 
-def token_hashes(words: Column, size: int) -> Column:
-    """Hash of every run of `size` (1 or 2) words, in order."""
-    single = F.transform(words, lambda w: F.xxhash64(w))
+def with_tokens(frame: DataFrame, words: str, size: int) -> DataFrame:
+    """Adds `tokens`, a hash of every run of `size` (1 or 2) words, in order."""
+    single = frame.withColumn("__single", F.transform(words, lambda w: F.xxhash64(w)))
     if size == 1:
-        return single
-    rest = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.zip_with(
-        F.slice(single, 1, rest),
-        F.slice(single, 2, rest),
+        return single.withColumnRenamed("__single", "tokens")
+    rest = F.greatest(F.size("__single") - 1, F.lit(0))
+    pairs = F.zip_with(
+        F.slice("__single", 1, rest),
+        F.slice("__single", 2, rest),
         lambda a, b: F.shiftleft(a, 1).bitwiseXOR(F.shiftrightunsigned(a, 63)).bitwiseXOR(b),
     )
+    return single.withColumn("tokens", pairs).drop("__single")
 
 
 def bitmap(hashes: DataFrame) -> Column:
@@ -78,7 +80,7 @@ def in_bitmap(cells: Column, value: Column) -> Column:
 
 def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(window, item_id) rows: each distinct run of `window` item words, or the whole item."""
-    own = items.select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0")
+    own = with_words(items.select("item_id", "text")).where("size(w) > 0")
     length = F.least(F.size("w"), F.lit(window))
     starts = F.sequence(F.lit(1), F.size("w") - length + 1)
     return (
@@ -90,14 +92,16 @@ def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def rare_tokens(docs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """The prefix of each window in `texts`: its rarest token, with place and length."""
-    tokens = texts.select(
-        "window", F.posexplode(token_hashes(F.col("window"), size)).alias("place", "hash")
+    tokens = with_tokens(texts.select("window"), "window", size).select(
+        "window", F.posexplode("tokens").alias("place", "hash")
     )
     cells = bitmap(tokens.select("hash").distinct())
-    own = F.array_distinct(token_hashes(words(F.col("text")), size))
+    # The filter is a column of its own: an explode repeats what it is given.
     seen = (
-        docs.select(own.alias("own"), cells.alias("cells"))
-        .select(F.explode(F.filter("own", lambda h: in_bitmap(F.col("cells"), h))).alias("hash"))
+        with_tokens(with_words(docs.select("text")), "w", size)
+        .select("tokens", cells.alias("cells"))
+        .select(F.filter("tokens", lambda h: in_bitmap(F.col("cells"), h)).alias("own"))
+        .select(F.explode(F.array_distinct("own")).alias("hash"))
         .groupBy("hash")
         .agg(F.count("*").alias("documents"))
     )
@@ -115,20 +119,13 @@ def rare_tokens(docs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 def matches(docs: DataFrame, prefixes: DataFrame, size: int, window: int) -> DataFrame:
     """doc_id, text_hash, n_words and the places of rare tokens with the words around them."""
     cells = bitmap(prefixes.select("hash").distinct())
-    cut = docs.select(
-        "doc_id",
-        F.xxhash64("text").alias("text_hash"),
-        words(F.col("text")).alias("w"),
-        cells.alias("cells"),
-    )
-    numbered = F.zip_with(
-        token_hashes(F.col("w"), size),
-        F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0))),
-        lambda h, i: F.struct(h.alias("hash"), i.alias("at")),
-    )
-    found = F.filter(
-        numbered, lambda t: t["hash"].isNotNull() & in_bitmap(F.col("cells"), t["hash"])
+    cut = with_tokens(
+        with_words(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))), "w", size
+    ).withColumn("cells", cells)
+    numbered = F.transform(
+        "tokens", lambda h, i: F.when(in_bitmap(F.col("cells"), h), F.struct(h.alias("hash"), i.alias("at")))
     )
+    found = F.filter(numbered, lambda t: t.isNotNull())
     reach = window - size
     around = F.transform(
         found,
@@ -165,7 +162,11 @@ def occurrences(found: DataFrame, prefixes: DataFrame) -> DataFrame:
             "text_hash",
             "start",
             "length",
-            F.slice("words", F.col("start") - F.col("from") + 1, F.col("length")).alias("window"),
+            F.slice(
+                "words",
+                F.greatest(F.col("start") - F.col("from") + 1, F.lit(1)),
+                F.col("length"),
+            ).alias("window"),
         )
     )
 
