@@ -73,3 +73,145 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit,
        coalesce(hit.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit ON d.r = hit.r LEFT JOIN it ON d.r = it.r
 """
+
+# Line rules: end marks, shouting, bars of links, symbols, boilerplate, navigation.
+_BOILERPLATE = (
+    "all rights reserved|licensed under|released under the|under the terms of"
+    "|terms of (use|service)|privacy policy|cookie policy|accept cookies|enable javascript"
+    "|general public license|sign up for our newsletter|powered by"
+)
+_NAVIGATION = (
+    "^(home|menu|login|log in|sign in|register|next|previous|back to top|skip to content"
+    "|share|search)\\b"
+)
+_FAILS = f"""(
+  (position(right(rtrim(l, ' '), 1) IN '.!?:;…。！？"'')]}}”’»') = 0
+   AND position('. ' IN l) + position('? ' IN l) + position('! ' IN l) = 0)
+  OR (length(l) - length(replace(l, '!!', ''))) / 2 * 4 >= length(l) - length(replace(l, ' ', '')) + 1
+  OR (length(l) - length(replace(l, ' | ', ''))) / 3 * 4 >= length(l) - length(replace(l, ' ', '')) + 1
+  OR (length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g'))) * 10 >= length(l)
+  OR (length(l) <= 200 AND (regexp_matches(lower(l), '{_BOILERPLATE}')
+                            OR regexp_matches(lower(l), '{_NAVIGATION}'))))"""
+
+RULES = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w
+  FROM documents),
+ln AS (
+  SELECT r, i, l, {_FAILS} AS fails
+  FROM (SELECT r, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i
+        FROM d)
+  WHERE regexp_matches(l, '{_WORD}')),
+ls AS (
+  SELECT r, count(*) - count(DISTINCT l) AS dups, count(*) FILTER (fails) AS removed,
+         coalesce(sum(len(regexp_extract_all(l, '{_WORD}'))) FILTER (NOT fails), 0) AS words_left
+  FROM ln GROUP BY r),
+runs AS (
+  SELECT r, i, list_slice(w, i, i + 4) AS run FROM d, unnest(range(1, len(w) - 3)) t(i) WHERE len(w) >= 5),
+again AS (SELECT r, run FROM runs GROUP BY r, run HAVING count(*) > 1),
+rep AS (
+  SELECT r, count(DISTINCT p) AS n
+  FROM (SELECT runs.r, unnest(range(i, i + 5)) AS p FROM runs JOIN again
+        ON runs.r = again.r AND runs.run = again.run) GROUP BY r),
+f AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         coalesce(dups, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+         coalesce(removed, 0)::BIGINT AS lines_removed, coalesce(words_left, 0)::BIGINT AS words_left
+  FROM d LEFT JOIN ls ON d.r = ls.r LEFT JOIN rep ON d.r = rep.r)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+       AND NOT 100 * (n_words - words_left) > 60 * n_words AS kept
+FROM f
+"""
+
+_CHUNK = "('0x' || sha1(h)[5 * k + 1:5 * k + 5])::BIGINT"
+_SIGNS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (
+  SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+         array_to_string([array_to_string([{_SIGNS}[(({_CHUNK} >> s) & 31) + 1] FOR s IN [15, 10, 5, 0]], '')
+                          FOR k IN range(8)], '') AS payload_digest
+  FROM p),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM q)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM m
+"""
+
+
+def _smoothing() -> str:
+    """One step per order: counts of the symbol after its context lean on the order below."""
+    steps = []
+    for k in range(4):
+        columns = []
+        for c in "ab":
+            own = f"sum({c}) OVER (PARTITION BY substr(gram, {4 - k}, {k + 1}))"
+            all_of = f"sum({c}) OVER (PARTITION BY substr(gram, {4 - k}, {k}))"
+            columns.append(f"({own} + 2.0::DOUBLE * p{c}) / ({all_of} + 2.0::DOUBLE) AS p{c}")
+        steps.append(f"g{k + 1} AS (SELECT gram, a, b, {', '.join(columns)} FROM g{k})")
+    return ",\n".join(steps)
+
+
+def _fits(host: str, path: str) -> str:
+    return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+
+
+URLS = f"""
+WITH u AS (
+  SELECT page_id,
+         CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest
+  FROM pages),
+n AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), {_LOWER}) AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rl AS (
+  SELECT *, CASE
+    WHEN {_fits("www.example.com", "/en/")} THEN 'www.example.com/en/'
+    WHEN {_fits("example.com", "/en/")} THEN 'example.com/en/'
+    WHEN {_fits("net", "/es/")} THEN 'net/es/'
+    WHEN {_fits("net", "/fr/")} THEN 'net/fr/'
+    WHEN {_fits("com", "/")} THEN 'com/' END AS rule,
+    regexp_replace(regexp_replace(translate(host || path, {_LOWER}), '[0-9]', '0', 'g'),
+                   '[^a-z0./\\-_:%]', '*', 'g') AS s FROM n),
+sy AS (
+  SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
+                 WHEN rule IS NOT NULL THEN 'block' END AS says, substr(md5(s), 1, 1) < '3' AS held FROM rl),
+ad AS (
+  SELECT s, count(*) FILTER (says = 'allow' AND NOT held) AS na,
+         count(*) FILTER (says = 'block' AND NOT held) AS nb,
+         count(*) FILTER (says = 'allow' AND held) AS ha,
+         count(*) FILTER (says = 'block' AND held) AS hb
+  FROM sy GROUP BY s),
+gr AS (
+  SELECT s, na, nb, substr('^^^' || s || '$', i, 4) AS gram
+  FROM ad, unnest(range(1, length(s) + 2)) t(i)),
+g0 AS (
+  SELECT gram, sum(na) AS a, sum(nb) AS b, (1.0::DOUBLE / 36.0::DOUBLE) AS pa,
+         (1.0::DOUBLE / 36.0::DOUBLE) AS pb FROM gr GROUP BY gram),
+{_smoothing()},
+ra AS (SELECT gram, round((ln(pa) - ln(pb)) * 1e9::DOUBLE)::BIGINT AS ratio FROM g4),
+sc AS (
+  SELECT s, sum(ratio)::BIGINT::DOUBLE / count(*)::DOUBLE / 1e9::DOUBLE AS score
+  FROM gr JOIN ra ON gr.gram = ra.gram GROUP BY s),
+st AS (
+  SELECT greatest(least(floor(score / 0.01::DOUBLE), 1000), -1000)::BIGINT AS step,
+         sum(ha)::BIGINT AS a, sum(hb)::BIGINT AS b
+  FROM sc JOIN ad ON sc.s = ad.s WHERE ha + hb > 0 GROUP BY 1),
+tot AS (SELECT coalesce(sum(a), 0) AS a, coalesce(sum(b), 0) AS b FROM st),
+pl AS (SELECT step AS place FROM st UNION SELECT 0 UNION SELECT 1001),
+er AS (
+  SELECT place, coalesce((SELECT sum(a) FROM st WHERE step < place), 0) * tot.b
+              + coalesce((SELECT sum(b) FROM st WHERE step >= place), 0) * tot.a AS error
+  FROM pl, tot),
+cu AS (
+  SELECT CASE WHEN tot.a = 0 OR tot.b = 0 THEN 0.0::DOUBLE
+              ELSE (SELECT place FROM er ORDER BY error, abs(place), place LIMIT 1) * 0.01::DOUBLE END AS cut
+  FROM tot)
+SELECT page_id, host, path, rule,
+       coalesce(says, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict
+FROM sy JOIN sc ON sy.s = sc.s, cu
+"""

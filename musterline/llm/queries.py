@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from musterline.llm import decontaminate, mixing, oracles, quality, sharding, simhash, toxicity
+from musterline.llm import (
+    decontaminate,
+    mixing,
+    oracles,
+    quality,
+    rules,
+    sharding,
+    simhash,
+    token_counts,
+    toxicity,
+    url_filter,
+    warc,
+)
 from musterline.llm.common import read, remainder
 from musterline.llm.registry import query
 
@@ -56,6 +68,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_rules", oracles.RULES)
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(read(spark, sf_dir, "documents"))
+
+
 @query("op6_toxicity")
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
@@ -72,6 +89,28 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_warc", oracles.WARC)
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(spark, read(spark, sf_dir, "pages"), with_payload=False)
+    return records.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    edits = token_counts.spread_edits(F.col("text"))
+    return token_counts.counts(docs, edits, ["doc_id"], token_counts.ranks())
+
+
+@query("op9_urls", oracles.URLS)
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages")).select(
+        "page_id", "host", "path", "rule", "verdict"
+    )
+
+
 @query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, radius=4)
