@@ -25,7 +25,7 @@ from musterline.llm.common import by_value, send
 from musterline.llm.samples import labelled
 
 # Rows of each class that may reach the driver, and the longest text among them.
-SAMPLE_ROWS = 4_000
+SAMPLE_ROWS = 3_000
 SAMPLE_CHARS = 65_536
 # A language needs so many calibration rows of either class for a threshold of its own.
 LEAST_ROWS = 30
