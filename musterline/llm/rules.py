@@ -39,7 +39,6 @@ NAVIGATION = (
     "^(home|menu|login|log in|sign in|register|next|previous|back to top|skip to content"
     "|share|search)\\b"
 )
-BLANK = " \t\n\x0b\f\r"
 
 
 def without(text: Column, characters: str) -> Column:
@@ -68,7 +67,7 @@ def line_fails(line: Column) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """Adds the base figures, the judged lines and the words that are left."""
+    """Adds `figures` (base figures and what lines are left), base_failed and kept."""
     text = docs.withColumn("__text", F.coalesce("text", F.lit("")))
     worded = add_words(text, F.col("__text"), "__w")
     runs = F.transform(
@@ -110,59 +109,55 @@ def measures(docs: DataFrame) -> DataFrame:
         lambda total, n: total + n,
     )
     judged = placed.withColumn("__left", F.filter("__lines", lambda l: ~line_fails(l)))
-    return judged.withColumns(
-        {
-            "n_words": F.size("__w").cast("long"),
-            "word_chars": F.length(F.array_join("__w", "")).cast("long"),
-            "n_symbols": (F.length("__text") - F.length(without(F.col("__text"), SYMBOLS))).cast("long"),
-            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "n_repeat_words": F.coalesce(repeated, F.lit(0).cast("long")),
-            "lines_removed": (F.size("__lines") - F.size("__left")).cast("long"),
-            "words_left": F.when(F.size("__lines") == F.size("__left"), F.size("__w"))
-            .otherwise(F.regexp_count(F.array_join("__left", "\n"), F.lit(WORD)))
-            .cast("long"),
-        }
+    same = F.size("__lines") == F.size("__left")
+    figures = F.struct(
+        F.size("__w").cast("long").alias("n_words"),
+        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
+        (F.length("__text") - F.length(without(F.col("__text"), SYMBOLS)))
+        .cast("long")
+        .alias("n_symbols"),
+        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+        F.coalesce(repeated, F.lit(0).cast("long")).alias("n_repeat_words"),
+        (F.size("__lines") - F.size("__left")).cast("long").alias("lines_removed"),
+        F.when(same, F.size("__w"))
+        .otherwise(F.regexp_count(F.array_join("__left", "\n"), F.lit(WORD)))
+        .cast("long")
+        .alias("words_left"),
     )
+    # The row number keeps the optimizer from copying these expressions into filters on the
+    # figures, where they would be evaluated many times over.
+    fixed = F.when(F.monotonically_increasing_id() >= 0, figures)
+    verdict = judged.select(*docs.columns, fixed.alias("figures"))
+    words, lost = F.col("figures.n_words"), F.col("figures.n_words") - F.col("figures.words_left")
+    return verdict.withColumn(
+        "base_failed",
+        (words < LEAST_WORDS) | (100 * F.col("figures.n_repeat_words") > MOST_REPEATED * words),
+    ).withColumn("kept", ~F.col("base_failed") & ~(100 * lost > MOST_LOST * words))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base figures, what the line rules removed, base_failed and kept."""
-    base = (F.col("n_words") < LEAST_WORDS) | (
-        100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")
-    )
-    lost = 100 * (F.col("n_words") - F.col("words_left")) > MOST_LOST * F.col("n_words")
-    return (
-        measures(docs.select("doc_id", "text"))
-        .withColumn("base_failed", base)
-        .withColumn("kept", ~F.col("base_failed") & ~lost)
-        .select(
-            "doc_id",
-            "n_words",
-            "word_chars",
-            "n_symbols",
-            "n_dup_lines",
-            "n_repeat_words",
-            "base_failed",
-            "kept",
-            "lines_removed",
-            "words_left",
-        )
+    return measures(docs.select("doc_id", "text")).select(
+        "doc_id",
+        "figures.n_words",
+        "figures.word_chars",
+        "figures.n_symbols",
+        "figures.n_dup_lines",
+        "figures.n_repeat_words",
+        "base_failed",
+        "kept",
+        "figures.lines_removed",
+        "figures.words_left",
     )
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """The kept rows of `docs` with failed lines taken out of their texts."""
-    base = (F.col("n_words") < LEAST_WORDS) | (
-        100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")
-    )
-    lost = 100 * (F.col("n_words") - F.col("words_left")) > MOST_LOST * F.col("n_words")
     row = docs.select(F.struct("*").alias("__row"), F.col("text").alias("text"))
-    lines = F.filter(
-        F.split("text", "\n"), lambda l: ~l.rlike(WORD) | ~line_fails(l)
-    )
+    lines = F.filter(F.split("text", "\n"), lambda l: ~l.rlike(WORD) | ~line_fails(l))
     return (
         measures(row)
-        .where(~base & ~lost)
+        .where("kept")
         .select(F.col("__row").withField("text", F.array_join(lines, "\n")).alias("__row"))
         .select("__row.*")
     )
