@@ -104,9 +104,15 @@ class _Record:
     def __init__(self, pieces: Iterator[bytes]):
         self.pieces, self.held = pieces, b""
 
+    def _more(self) -> bytes:
+        for piece in self.pieces:
+            if piece:
+                return piece
+        raise ValueError("a record is shorter than its content length")
+
     def headers(self) -> dict[str, str]:
         while b"\r\n\r\n" not in self.held:
-            self.held += next(self.pieces)
+            self.held += self._more()
         head, self.held = self.held.split(b"\r\n\r\n", 1)
         lines = head.decode().split("\r\n")
         return {"": lines[0]} | dict(line.split(": ", 1) for line in lines[1:])
@@ -114,7 +120,7 @@ class _Record:
     def take(self, length: int) -> Iterator[bytes]:
         while length:
             if not self.held:
-                self.held = next(self.pieces)
+                self.held = self._more()
             piece, self.held = self.held[:length], self.held[length:]
             length -= len(piece)
             yield piece
@@ -134,18 +140,15 @@ def read_records(stream) -> Iterator[dict]:
     """The records of an archive in order, each verified."""
     for pieces in members(stream):
         source = _Record(pieces)
-        try:
-            head = source.headers()
-            if head[""] != "WARC/1.1":
-                raise ValueError(f"not a record: {head['']!r}")
-            whole = hashlib.sha1()
-            block = bytearray()
-            for piece in source.take(int(head["Content-Length"])):
-                whole.update(piece)
-                block += piece
-            source.close()
-        except StopIteration:
-            raise ValueError("a record is shorter than its content length") from None
+        head = source.headers()
+        if head[""] != "WARC/1.1":
+            raise ValueError(f"not a record: {head['']!r}")
+        whole = hashlib.sha1()
+        block = bytearray()
+        for piece in source.take(int(head["Content-Length"])):
+            whole.update(piece)
+            block += piece
+        source.close()
         if f"sha1:{base64.b32encode(whole.digest()).decode()}" != head["WARC-Block-Digest"]:
             raise ValueError(f"block digest differs in {head['WARC-Record-ID']}")
         http, payload = bytes(block).split(b"\r\n\r\n", 1)

@@ -1,6 +1,5 @@
 """Operators over documents against brute force."""
 
-import hashlib
 import random
 import re
 import zlib
@@ -309,7 +308,8 @@ PROSE = "The river ran past the mill and the old men watched it go by."
     ],
 )
 def test_lines(docs_of, line, stays):
-    text = "\n".join([PROSE, line, PROSE + " " + PROSE.replace("river", "stream")])
+    more = "Later that year a letter came, and nobody in the house could say who had sent it."
+    text = "\n".join([PROSE if line != PROSE else "He left.", line, more])
     cleaned = rules.clean(docs_of([(1, text)])).first()["text"]
     assert (line in cleaned.split("\n")) == stays
 
@@ -362,7 +362,3 @@ def test_counts_of_odd_rows(docs_of, odd_rows, counter):
     )
     with pytest.raises(ValueError):
         token_counts.count_one("abc", [{"start": 2, "end": 9, "text": ""}], counter)
-
-
-def test_items_digest_of_a_clean_document():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
