@@ -344,29 +344,11 @@ def manager_kpis_without_lead(spark, sf_dir):
 
 @query(
     "manager_teams",
-    with_employee(
-        """SELECT functional_lead, reporting_manager, count(*) AS members,
-           string_agg(employee_id || ':' || printf('%.1f', mandays), ',' ORDER BY employee_id) AS team
-           FROM employee GROUP BY ALL"""
-    ),
+    with_employee("SELECT functional_lead, reporting_manager, employee_id, mandays FROM employee"),
 )
 def manager_teams(spark, sf_dir):
-    """The nested members, written as text to be comparable."""
     teams = kpis.manager_teams(month(spark, sf_dir).employees)
-    return teams.select(
-        "functional_lead",
-        "reporting_manager",
-        F.size("team_members").cast("long").alias("members"),
-        F.array_join(
-            F.transform(
-                "team_members",
-                lambda m: F.concat(
-                    m["employee_id"], F.lit(":"), F.format_string("%.1f", m["mandays"])
-                ),
-            ),
-            ",",
-        ).alias("team"),
-    )
+    return teams.select("functional_lead", "reporting_manager", "employee_id", "mandays")
 
 
 @query(
@@ -395,7 +377,7 @@ def attendance_summary(spark, sf_dir):
 
 @query("empty_summary", _summary_sql("No data for: Current View", "FALSE"))
 def empty_summary(spark, sf_dir):
-    return month(spark, sf_dir).view(units=[]).summary("Current View")
+    return month(spark, sf_dir).view(units=["no such unit"]).summary("Current View")
 
 
 @query(

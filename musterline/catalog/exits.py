@@ -80,10 +80,10 @@ def feedback_text(spark, sf_dir):
 @query(
     "clean_tokens",
     f"SELECT doc_id, array_to_string({content_sql('text')}, ' ') AS cleaned"
-    " FROM documents WHERE lang = 'en'",
+    " FROM documents",
 )
 def clean_tokens(spark, sf_dir):
-    docs = st.add_tokens(derived.english_feedback(spark, sf_dir), "text")
+    docs = st.add_tokens(derived.feedback_texts(spark, sf_dir), "text")
     return docs.select("doc_id", st.cleaned_text().alias("cleaned"))
 
 
@@ -91,10 +91,10 @@ def clean_tokens(spark, sf_dir):
     "lemma_tokens",
     f"""SELECT doc_id, array_to_string(list_transform({content_sql('text')},
           lambda x: CASE WHEN suffix(x, 's') THEN left(x, length(x) - 1) ELSE x END), ' ') AS cleaned
-        FROM documents WHERE lang = 'en'""",
+        FROM documents""",
 )
 def lemma_tokens(spark, sf_dir):
-    docs = st.add_tokens(derived.english_feedback(spark, sf_dir), "text")
+    docs = st.add_tokens(derived.feedback_texts(spark, sf_dir), "text")
     lemmas = derived.token_lemmas(docs.select(F.explode("tokens").alias("token")))
     return st.lemmatise(docs, "doc_id", lemmas).select(
         "doc_id", st.cleaned_text().alias("cleaned")
@@ -118,7 +118,7 @@ labelled AS (
 
 
 DOCUMENTS_SENTIMENT = (
-    "english AS (SELECT doc_id, text FROM documents WHERE lang = 'en'),\n"
+    "english AS (SELECT doc_id, text FROM documents),\n"
     + _sentiment_sql("doc_id", "english", BY_LENGTH)
 )
 LEAVERS_SENTIMENT = (
@@ -129,7 +129,7 @@ LEAVERS_SENTIMENT = (
 
 @query("sentiment", f"WITH {DOCUMENTS_SENTIMENT} SELECT * FROM labelled")
 def sentiment(spark, sf_dir):
-    docs = derived.english_feedback(spark, sf_dir)
+    docs = derived.feedback_texts(spark, sf_dir)
     lexicon = derived.token_lexicon(docs.select(F.explode(tx.words("text")).alias("token")))
     return st.add_sentiment(docs, "doc_id", lexicon, "text").select(
         "doc_id", F.round("compound", 9).alias("compound"), "sentiment"
@@ -178,7 +178,7 @@ def sentiment_corpora(spark, sf_dir):
 TERMS = f"""tokens AS (
   SELECT doc_id, list_filter({content_sql('text')},
     lambda x: length(x) > 1 AND x NOT IN ({STOPS})) AS t
-  FROM documents WHERE lang = 'en'),
+  FROM documents),
 grams AS (
   SELECT doc_id, unnest(t) AS term FROM tokens
   UNION ALL
@@ -195,7 +195,7 @@ norms AS (SELECT doc_id, sqrt(sum(raw * raw)) AS norm FROM raw GROUP BY doc_id)"
 
 
 def document_tfidf(spark, sf_dir) -> DataFrame:
-    docs = st.add_tokens(derived.english_feedback(spark, sf_dir), "text").withColumn(
+    docs = st.add_tokens(derived.feedback_texts(spark, sf_dir), "text").withColumn(
         "corpus", F.lit("all")
     )
     return tm.tfidf(docs, "doc_id", ("all",))
@@ -206,7 +206,7 @@ def document_tfidf(spark, sf_dir) -> DataFrame:
     f"WITH {TERMS} SELECT doc_id, term, tf FROM counts",
 )
 def term_counts(spark, sf_dir):
-    docs = st.add_tokens(derived.english_feedback(spark, sf_dir), "text")
+    docs = st.add_tokens(derived.feedback_texts(spark, sf_dir), "text")
     counts = tm.term_counts(docs.withColumn("corpus", F.lit("all")), "doc_id")
     return counts.select("doc_id", "term", "tf")
 
@@ -252,18 +252,15 @@ def leaver_themes(spark, sf_dir):
 
 @query("theme_members")
 def theme_members(spark, sf_dir):
-    """Leavers of the first praise theme."""
-    found = insights(spark, sf_dir)
-    first = found.themes.where("corpus = 'praise'").agg(F.min("theme_name").alias("t")).scalar()
-    return lv.leavers_with_theme(found.leavers, first).select(*lv.IDENTIFIERS, "sentiment")
+    """Leavers of every theme, of praise and of concern."""
+    members = lv.theme_members(insights(spark, sf_dir).leavers)
+    return members.select("theme", *lv.IDENTIFIERS, "sentiment")
 
 
 @query("theme_designations")
 def theme_designations(spark, sf_dir):
-    """Designations within the first praise theme."""
-    found = insights(spark, sf_dir)
-    first = found.themes.where("corpus = 'praise'").agg(F.min("theme_name").alias("t")).scalar()
-    return lv.designation_share(lv.leavers_with_theme(found.leavers, first))
+    """Designations within every theme."""
+    return lv.theme_designations(insights(spark, sf_dir).leavers)
 
 
 @query(

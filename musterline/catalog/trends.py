@@ -11,20 +11,11 @@ from musterline.operators import trends
 from musterline.plans.attendance import Attendance, analyse_days
 from musterline.sources import derived
 
-HEATMAP_FROM = "2001-01-01"
-
 
 def history(spark, sf_dir) -> Attendance:
     return analyse_days(derived.attendance_history(spark, sf_dir))
 
 
-def recent(spark, sf_dir) -> Attendance:
-    rows = derived.attendance_history(spark, sf_dir)
-    return analyse_days(rows.where(F.col("date") >= F.lit(HEATMAP_FROM).cast("date")))
-
-
-RECENT = HISTORY[:-1] + f"\n  WHERE CAST(o_orderdate AS DATE) >= DATE '{HEATMAP_FROM}')"
-
 MONTHLY = f"""m AS (
   SELECT strftime(date, '%Y-%m') AS month, sum(presence) AS presence, sum("leave") AS "leave",
     sum(lwp) AS lwp, sum(absent) AS absent, count(DISTINCT date) AS days_in_data,
@@ -120,11 +111,11 @@ _CELLS = """cells AS (
 @query(
     "heatmap_matrix",
     with_daily(
-        f", {GROUPED}, {_CELLS.format(column='deployment_percentage')} SELECT * FROM cells", RECENT
+        f", {GROUPED}, {_CELLS.format(column='deployment_percentage')} SELECT * FROM cells", HISTORY
     ),
 )
 def heatmap_matrix(spark, sf_dir):
-    grouped = trends.grouped_trends(recent(spark, sf_dir).daily)
+    grouped = trends.grouped_trends(history(spark, sf_dir).daily)
     return _cells_as_rows(trends.heatmap_matrix(grouped, "% Deployment"), ["functional_lead"])
 
 
@@ -145,11 +136,11 @@ def _heatmap(metric: str) -> None:
                 WHEN {better} THEN 'Improving' ELSE 'Worsening' END AS trend,
               month, value
             FROM leads JOIN ends USING (functional_lead) JOIN cells USING (functional_lead)""",
-            RECENT,
+            HISTORY,
         ),
     )
     def heatmap(spark, sf_dir):
-        table = recent(spark, sf_dir).heatmap(metric)
+        table = history(spark, sf_dir).heatmap(metric)
         return _cells_as_rows(table, ["functional_lead", "team_size", "overall_avg", "trend"])
 
 

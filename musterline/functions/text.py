@@ -25,7 +25,7 @@ STOP_WORDS = tuple(
     whom why with won would you
     your yours yourself yourselves
     na yes good fair excellent agree better best company organization work working
-    employee phronesis partner team sometimes nothing issue backed left join fill
+    employee partner team sometimes nothing issue backed left join fill
     """.split()
 )
 

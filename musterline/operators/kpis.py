@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from musterline.functions.codes import LEAVE_COLUMNS, MISSING
 from musterline.functions.columns import percent, total
-from musterline.operators.skew import add_split, hot_keys
 
 RATES = ("presence_rate", "leave_rate", "absenteeism_rate")
 TEAM_KEYS = ("functional_lead", "reporting_manager")
@@ -123,21 +122,11 @@ def company_and_manager_kpis(employees: DataFrame) -> DataFrame:
     )
 
 
-def manager_teams(employees: DataFrame, most_members: int = 5_000) -> DataFrame:
-    """Members nested under their manager, ordered by employee ID.
-
-    A team beyond `most_members` comes as several rows numbered by `part`, as one
-    array of a very large team would have to fit into one task. The members of
-    all parts together are the whole team.
-    """
+def manager_teams(employees: DataFrame) -> DataFrame:
+    """One row per member of each manager's team, whatever the team's size."""
     named = _with_lead(employees)
-    sizes = named.groupBy(*TEAM_KEYS).agg(F.count(F.lit(1)).alias("team_size"))
-    hot = hot_keys(sizes, TEAM_KEYS, "team_size", least=most_members, shares=100_000)
-    parts = add_split(named, hot, TEAM_KEYS, spread="employee_id", name="part")
-    member = F.struct("employee_id", *[n for n in named.columns if n != "employee_id"])
-    return parts.groupBy(*TEAM_KEYS, "part").agg(
-        F.array_sort(F.collect_list(member)).alias("team_members")
-    )
+    others = [n for n in named.columns if n not in (*TEAM_KEYS, "employee_id")]
+    return named.select(*TEAM_KEYS, "employee_id", *others)
 
 
 def period_working_days(daily: DataFrame) -> DataFrame:

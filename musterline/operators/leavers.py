@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from musterline.functions.columns import strip
 from musterline.sources.files import ROW_ORDER
@@ -162,3 +162,17 @@ def designation_share(leavers: DataFrame) -> DataFrame:
 
 def leavers_with_theme(leavers: DataFrame, theme: str | Column) -> DataFrame:
     return leavers.where(F.array_contains("assigned_themes", theme))
+
+
+def theme_members(leavers: DataFrame) -> DataFrame:
+    """One row per theme and leaver."""
+    return leavers.withColumn("theme", F.explode("assigned_themes"))
+
+
+def theme_designations(leavers: DataFrame) -> DataFrame:
+    """Leavers by designation within every theme and their share of the theme."""
+    counts = theme_members(leavers).groupBy("theme", "designation").agg(
+        F.count(F.lit(1)).alias("leavers")
+    )
+    whole = W.partitionBy("theme")
+    return counts.withColumn("share_pct", F.col("leavers") / F.sum("leavers").over(whole) * 100)

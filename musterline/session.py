@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SESSION_DEFAULTS = {
@@ -33,20 +31,16 @@ def get_session(
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` by a reliable checkpoint.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`. Only a
-    local session without that setting gets a temporary folder; a cluster
-    without it is an error, as a machine-local folder would be lost with its
-    executor.
+    The folder is the one the cluster names in `spark.checkpoint.dir`; without it
+    there is an error, as a machine-local folder would be lost with its executor.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError(
-                    "spark.checkpoint.dir is not set: name a shared folder for checkpoints"
-                )
-            folder = tempfile.mkdtemp(prefix="musterline-checkpoint-")
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: name a shared folder for checkpoints"
+            )
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -214,8 +214,8 @@ def exit_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def english_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(F.col("lang") == "en").select("doc_id", "text")
+def feedback_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 # Valences for invented texts, which no real lexicon matches. The second

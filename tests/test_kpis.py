@@ -66,14 +66,11 @@ def test_leave_breakdown_and_map(frames):
     assert folded.leave_breakdown == rows
 
 
-def test_large_teams_come_in_parts(frames):
-    whole = kpis.manager_teams(frames.employees).collect()
-    assert all(r.part == 0 for r in whole)
-    parts = kpis.manager_teams(frames.employees, most_members=1).collect()
-    for key in {(r.functional_lead, r.reporting_manager) for r in whole}:
-        one = [m for r in whole if (r.functional_lead, r.reporting_manager) == key for m in r.team_members]
-        many = [m for r in parts if (r.functional_lead, r.reporting_manager) == key for m in r.team_members]
-        assert sorted(one) == sorted(many)
+def test_every_employee_is_a_row_of_the_managers_team(frames):
+    teams = kpis.manager_teams(frames.employees)
+    assert teams.count() == frames.employees.count()
+    assert teams.columns[:3] == ["functional_lead", "reporting_manager", "employee_id"]
+
 
 
 def test_working_days(frames, days_of):
