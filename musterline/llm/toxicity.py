@@ -65,7 +65,7 @@ def fit_rows(rows: list[tuple[str, int]], languages: list[str | None]) -> Toxici
         held[:] = False
     fitted = net.fit([d for d, h in zip(documents, held) if not h], labels[~held])
     check = held if held.any() else ~held
-    raw = fitted.raw([d for d, c in zip(documents, check) if c], fitted.table())
+    raw = net.raw_of(fitted, fitted.table(), (d for d, c in zip(documents, check) if c))
     fitted.scale, fitted.shift = net.platt(raw, labels[check])
     model = ToxicityModel(fitted)
     scores, truth = fitted.scores(raw), labels[check]

@@ -8,6 +8,7 @@ best position of each filter enters a logistic layer.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -199,15 +200,22 @@ def platt(raw: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[float,
     return float(max(a, 1e-3)), float(b)
 
 
-def scores_of(
-    net: Net, table: np.ndarray, texts: list[str | None], slice_words: int = 50_000
+def raw_of(
+    net: Net, table: np.ndarray, documents: Iterable[np.ndarray], slice_words: int = 50_000
 ) -> np.ndarray:
-    """Calibrated scores of whole texts, a slice of words at a time to bound memory."""
-    out, held, size = [], [], 0
-    for number, text in enumerate(texts, 1):
-        held.append(buckets_of(text))
-        size += len(held[-1])
-        if size >= slice_words or number == len(texts):
+    """Logits of documents, a slice of words at a time to bound memory."""
+    out, held, size = [np.zeros(0)], [], 0
+    for document in documents:
+        held.append(document)
+        size += len(document)
+        if size >= slice_words:
             out.append(net.raw(held, table))
             held, size = [], 0
-    return net.scores(np.concatenate(out)) if out else np.zeros(0)
+    if held:
+        out.append(net.raw(held, table))
+    return np.concatenate(out)
+
+
+def scores_of(net: Net, table: np.ndarray, texts: Iterable[str | None]) -> np.ndarray:
+    """Calibrated scores of whole texts."""
+    return net.scores(raw_of(net, table, map(buckets_of, texts)))
