@@ -25,6 +25,9 @@ from musterline.llm.common import WORD, kept
 WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
 SEED = "mix-1"
+# Cuts up to this size are broadcast; one takes its source's name and about CUT_BYTES.
+BROADCAST_BYTES = 4 << 20
+CUT_BYTES = 200
 
 
 def size_of(text: Column) -> Column:
@@ -94,33 +97,43 @@ def targets(sources: DataFrame, weights: Sequence[int], most_epochs: int) -> Dat
     return placed.withColumn("target", F.when(above, F.col("stop").cast("double")).otherwise(level))
 
 
-def plan(
-    docs: DataFrame,
-    weights: Sequence[int] = WEIGHTS,
-    most_epochs: int = MOST_EPOCHS,
-    seed: str = SEED,
-) -> DataFrame:
-    """One row per distinct (doc_id, source, text) with what the mix takes of each copy.
+def row_key(doc_id: Column, text_key: Column, seed: str) -> Column:
+    """The hash-random key of a row, the same wherever it is computed."""
+    return F.md5(F.concat_ws("/", F.lit(seed), doc_id.cast("string"), text_key))
 
-    doc_id, source, text_key, copies, size, source_size, target, epochs (whole repeats) and
-    part (words of one more, partial repeat).
+
+def ordered(
+    docs: DataFrame, weights: Sequence[int], most_epochs: int, seed: str
+) -> tuple[DataFrame, DataFrame]:
+    """The sources with `epochs` and `budget`, and the distinct rows with their `start`.
+
+    `budget` is what is left of a source's target after whole epochs, `start` the words of the
+    source before a row in the order of the keys.
     """
-    key = F.md5(F.concat_ws("/", F.lit(seed), F.col("doc_id").cast("string"), F.col("text_key")))
     rows = kept(
         docs.select("doc_id", "source", F.md5("text").alias("text_key"), size_of(F.col("text")).alias("size"))
         .groupBy("doc_id", "source", "text_key", "size")
         .agg(F.count("*").alias("copies"))
-        .withColumn("key", key)
+        .withColumn("key", row_key(F.col("doc_id"), F.col("text_key"), seed))
     )
     total = F.col("size") * F.col("copies")
     sizes = rows.groupBy("source").agg(
         F.sum(total).alias("source_size"), F.count("*").alias("documents")
     )
-    sources = targets(sizes, weights, most_epochs).select(
-        F.col("source").alias("__source"),
-        "source_size",
-        "target",
-        F.ceil(F.sqrt("documents")).cast("long").alias("ranges"),
+    whole = F.when(
+        F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))
+    ).otherwise(0)
+    sources = (
+        targets(sizes, weights, most_epochs)
+        .withColumn("epochs", whole.cast("long"))
+        .select(
+            F.col("source").alias("__source"),
+            "source_size",
+            "target",
+            "epochs",
+            (F.floor("target") - F.col("epochs") * F.col("source_size")).alias("budget"),
+            F.ceil(F.sqrt("documents")).cast("long").alias("ranges"),
+        )
     )
     # The first 32 bits of the key, scaled to the number of ranges of the source.
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
@@ -139,13 +152,29 @@ def plan(
     joined = running.join(
         offsets, _same(running, offsets, {"source": "__own", "range": "__range"})
     )
-    epochs = F.when(
-        F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))
-    ).otherwise(0)
-    budget = F.floor("target") - F.col("epochs") * F.col("source_size")
-    start = F.col("offset") + F.col("upto") - total
-    within = F.least(F.greatest(budget - start, F.lit(0)), total)
-    return joined.withColumn("epochs", epochs.cast("long")).select(
+    started = joined.withColumn("start", F.col("offset") + F.col("upto") - total)
+    return sources, started.withColumn("total", total)
+
+
+def part_of() -> Column:
+    """Words of one more, partial repeat that each copy of a row of `ordered` gives."""
+    within = F.least(F.greatest(F.col("budget") - F.col("start"), F.lit(0)), F.col("total"))
+    return F.floor(within / F.col("copies")).cast("long")
+
+
+def plan(
+    docs: DataFrame,
+    weights: Sequence[int] = WEIGHTS,
+    most_epochs: int = MOST_EPOCHS,
+    seed: str = SEED,
+) -> DataFrame:
+    """One row per distinct (doc_id, source, text) with what the mix takes of each copy.
+
+    doc_id, source, text_key, copies, size, source_size, target, epochs (whole repeats) and
+    part (words of one more, partial repeat).
+    """
+    _, rows = ordered(docs, weights, most_epochs, seed)
+    return rows.select(
         "doc_id",
         "source",
         "text_key",
@@ -154,7 +183,30 @@ def plan(
         "source_size",
         "target",
         "epochs",
-        F.floor(within / F.col("copies")).cast("long").alias("part"),
+        part_of().alias("part"),
+    )
+
+
+def cuts(
+    docs: DataFrame,
+    weights: Sequence[int] = WEIGHTS,
+    most_epochs: int = MOST_EPOCHS,
+    seed: str = SEED,
+) -> DataFrame:
+    """One row per source: its epochs, and the row `__edge` at which its budget ends.
+
+    Rows before the edge give a whole repeat more, the edge gives `__edge_part` words, rows
+    behind it nothing. A source without a budget beyond its epochs has no edge.
+    """
+    sources, rows = ordered(docs, weights, most_epochs, seed)
+    ends = (F.col("start") < F.col("budget")) & (F.col("budget") <= F.col("start") + F.col("total"))
+    edges = rows.where(ends).select(
+        F.col("source").alias("__cut"),
+        F.struct("key", "doc_id", "size").alias("__edge"),
+        part_of().alias("__edge_part"),
+    )
+    return sources.join(edges, _same(sources, edges, {"__source": "__cut"}), "left").select(
+        "__source", F.col("epochs").alias("__epochs"), "__edge", "__edge_part"
     )
 
 
@@ -176,24 +228,34 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(pieces, 1, n.cast("int")), "")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """The mix itself: rows of `docs` once per epoch, the row at the cut shortened to its part.
 
-    Columns are those of `docs`; a column n_chars follows a shortened text. Texts are shuffled
-    once, by id, source and text.
+    Columns are those of `docs`; a column n_chars follows a shortened text. A row learns from its
+    own key and the cut of its source what is taken of it, so texts are not shuffled while the
+    cuts are small (checked, `BROADCAST_BYTES`); beyond that they are joined by source, where
+    adaptive execution splits a hot one.
     """
-    chosen = plan(docs, **options).where("epochs > 0 or part > 0").select(
-        F.col("doc_id").alias("__id"),
-        F.col("source").alias("__source"),
-        F.col("text_key").alias("__key"),
-        F.col("size").alias("__size"),
-        F.col("epochs").alias("__epochs"),
-        F.col("part").alias("__part"),
-    )
-    rows = docs.select("*", F.md5("text").alias("__text_key"))
-    pairs = {"doc_id": "__id", "source": "__source", "__text_key": "__key"}
-    repeats = F.sequence(F.lit(1).cast("long"), F.col("__epochs") + (F.col("__part") > 0).cast("long"))
-    out = rows.join(chosen, _same(rows, chosen, pairs)).withColumn("__repeat", F.explode(repeats))
+    cut = kept(cuts(docs, seed=seed, **options))
+    held = cut.agg(
+        F.sum(F.coalesce(F.octet_length("__source"), F.lit(0)) + CUT_BYTES).alias("bytes")
+    ).first()["bytes"]
+    rows = docs.withColumns(
+        {"__size": size_of(F.col("text")), "__key": row_key(F.col("doc_id"), F.md5("text"), seed)}
+    )
+    near = F.broadcast(cut) if (held or 0) <= BROADCAST_BYTES else cut
+    own = F.struct(F.col("__key").alias("key"), "doc_id", F.col("__size").alias("size"))
+    part = (
+        F.when(own < F.col("__edge"), F.col("__size"))
+        .when(own == F.col("__edge"), F.col("__edge_part"))
+        .otherwise(0)
+    )
+    placed = rows.join(near, _same(rows, cut, {"source": "__source"})).withColumn("__part", part)
+    repeats = F.col("__epochs") + (F.col("__part") > 0).cast("long")
+    # A sequence from 1 to 0 would count down.
+    out = placed.where(repeats > 0).withColumn(
+        "__repeat", F.explode(F.sequence(F.lit(1).cast("long"), repeats))
+    )
     short = (F.col("__repeat") > F.col("__epochs")) & (F.col("__part") < F.col("__size"))
     out = out.withColumn(
         "text", F.when(short, first_words(F.col("text"), F.col("__part"))).otherwise(F.col("text"))

@@ -197,18 +197,26 @@ def test_mix_meets_its_targets(spark, docs_of, odd_rows):
     assert sorted(map(str, planned)) == sorted(map(str, mixing.plan(docs.repartition(7)).collect()))
 
 
-def test_mixed_rows_hold_what_the_plan_takes(docs_of):
+@pytest.mark.parametrize("most_bytes", [mixing.BROADCAST_BYTES, -1])
+def test_mixed_rows_hold_what_the_plan_takes(docs_of, monkeypatch, most_bytes):
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", most_bytes)
     rows = [(i, f"w{i} " * (i % 7 + 1), f"s{i % 4}" if i % 9 else "rare") for i in range(80)]
+    rows += [(90, "", "s1"), (91, None, "s1"), (92, "x y", None), (93, "", "blank")]
+    rows += [(None, f"n{i} " * 3, None) for i in range(30)] + [(94, "a b c", "s2")] * 4
     docs = docs_of(rows).withColumnRenamed("lang", "size")
     out = mixing.mixed(docs)
     assert out.columns == docs.columns
-    planned = {r["doc_id"]: r for r in mixing.plan(docs).collect()}
+    planned = Counter()
+    for r in mixing.plan(docs).collect():
+        planned[r["doc_id"]] += (r["epochs"] * r["size"] + r["part"]) * r["copies"]
     words = Counter()
     for r in out.collect():
-        words[r["doc_id"]] += len(r["text"].split())
-    assert {i: words[i] for i in planned} == {
-        i: r["epochs"] * r["size"] + r["part"] for i, r in planned.items()
-    }
+        words[r["doc_id"]] += len((r["text"] or "").split())
+    assert {i: words[i] for i in planned} == dict(planned)
+
+
+def test_mixing_an_empty_table(docs_of):
+    assert mixing.mixed(docs_of([])).count() == 0
 
 
 def test_shortened_texts_keep_their_white_space(spark):
