@@ -101,18 +101,24 @@ def employee_metadata(spark, sf_dir):
 
 @query(
     "relieving_dates",
-    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL
+    """SELECT o_orderkey, CASE WHEN (o_orderkey // 4) % 8 = 7 THEN NULL
+         WHEN o_orderkey % 4 = 3 AND (o_orderkey // 4) % 8 = 4 AND day(o_orderdate) <= 12
+           THEN strftime(make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)), '%Y-%m-%d')
          ELSE strftime(o_orderdate, '%Y-%m-%d') END AS relieving_date
        FROM orders""",
 )
 def relieving_dates(spark, sf_dir):
-    style = F.col("o_orderkey") % 4
-    written = (
-        F.when(style == 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
-        .when(style == 1, F.date_format("o_orderdate", "d-MMM-yyyy"))
-        .when(style == 2, F.date_format("o_orderdate", "M/d/yyyy"))
-        .otherwise(F.lit("left early"))
-    )
+    """Dates in many styles. A day up to 12 that is written first is read as the month."""
+    place = F.floor(F.col("o_orderkey") / 4) % 8
+    odd = F.col("o_orderkey") % 4 == 3
+    styles = [
+        "yyyy-MM-dd", "d-MMM-yyyy", "M/d/yyyy", "yyyy-MM-dd'T'HH:mm:ss",
+        "MM-dd-yyyy", "d MMMM yyyy", "MMM d, yyyy",
+    ]
+    written = F.when(odd & (place == 4), F.date_format("o_orderdate", "dd.MM.yyyy"))
+    for number, style in enumerate(styles):
+        written = written.when(place == number, F.date_format("o_orderdate", style))
+    written = written.otherwise(F.lit("left early"))
     rows = derived.table(spark, sf_dir, "orders").select(
         "o_orderkey", written.alias("relieving_date")
     )
@@ -635,8 +641,8 @@ def manager_effort(spark, sf_dir):
     with_employee(
         f", {_MANAGERS} SELECT manager_name, team_size, absenteeism_rate, extra_effort_rate,"
         " round(aa, 6) AS avg_absenteeism, round(ae, 6) AS avg_effort, quadrant,"
-        " printf('%.1f', round_even(absenteeism_rate * 10, 0) / 10) || '%' AS absenteeism,"
-        " printf('%.1f', round_even(extra_effort_rate * 10, 0) / 10) || '%' AS effort FROM quadrants"
+        " printf('%.1f', absenteeism_rate) || '%' AS absenteeism,"
+        " printf('%.1f', extra_effort_rate) || '%' AS effort FROM quadrants"
     ),
 )
 def manager_quadrants(spark, sf_dir):
@@ -804,7 +810,7 @@ def team_members(spark, sf_dir):
 
 
 def _two_places(column: str) -> str:
-    return f"printf('%.2f', round_even({column} * 100, 0) / 100) || '%'"
+    return f"printf('%.2f', {column}) || '%'"
 
 
 _SUMMARY_VALUES = {

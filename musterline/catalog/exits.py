@@ -10,6 +10,7 @@ from musterline.functions import text as tx
 from musterline.operators import leavers as lv
 from musterline.operators import sentiment as st
 from musterline.operators import terms as tm
+from musterline.operators import topics as tp
 from musterline.plans import exits
 from musterline.sources import derived
 
@@ -289,19 +290,117 @@ def verbatim_comments(spark, sf_dir):
 
 @query(
     "proof_view",
-    f"""WITH {LEAVERS_SENTIMENT},
-    said AS (SELECT resignationletterdate, count(*) AS answered FROM first_answers GROUP BY 1)
-    SELECT designation, resignationreason, sentiment, answered, count(*) AS leavers
-    FROM feedback JOIN labelled USING (resignationletterdate) JOIN said USING (resignationletterdate)
-    GROUP BY ALL""",
+    f"""WITH {LEAVERS_SENTIMENT}
+    SELECT f.resignationletterdate, f.designation, f.resignationreason, sentiment,
+      {NAME} AS question, answer
+    FROM feedback f JOIN labelled USING (resignationletterdate)
+      JOIN first_answers a USING (resignationletterdate)
+    WHERE regexp_matches({NAME}, 'what|suggestion|comment|addtional')""",
 )
 def proof_view(spark, sf_dir):
-    """The proof table, its text columns counted: which there are depends on the data."""
-    table = lv.proof_view(leavers(spark, sf_dir))
-    texts = lv.comment_columns(table)
-    answered = sum((F.col(name).isNotNull().cast("long") for name in texts), F.lit(0))
-    return (
-        table.withColumn("answered", answered.cast("long"))
-        .groupBy("designation", "resignationreason", "sentiment", "answered")
-        .agg(F.count(F.lit(1)).alias("leavers"))
+    """The proof table with its leaver, its text columns opened into rows: which there are
+    depends on the data."""
+    table = leavers(spark, sf_dir)
+    proof = lv.proof_view(table, ["resignationletterdate"])
+    shown = ["resignationletterdate", "designation", "resignationreason", "sentiment"]
+    return proof.unpivot(shown, lv.comment_columns(proof), "question", "answer").where(
+        F.col("answer").isNotNull()
+    )
+
+
+# --- theme operators on a given term-topic table and given mixtures ---
+
+# Masses and shares from the rows themselves, so that both engines form the same ones.
+MASS = "((tf * (topic + 2) + df * 7 + length(term) * (topic + 1)) % 97)"
+GIVEN_TERMS = f"""{TERMS},
+totals AS (
+  SELECT CASE WHEN length(term) % 2 = 0 THEN 'praise' ELSE 'concern' END AS corpus, term,
+    sum(tf)::BIGINT AS tf, count(*) AS df
+  FROM counts GROUP BY term),
+long AS (
+  SELECT corpus, topic, term, {MASS} AS mass FROM totals, range(4) t(topic)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY corpus, topic ORDER BY mass DESC, term) AS rank
+  FROM long),
+keywords AS (
+  SELECT corpus, topic, array_agg(replace(term, ' ', '_') ORDER BY rank) AS keywords
+  FROM placed WHERE rank <= 5 GROUP BY corpus, topic),
+named AS (
+  SELECT corpus, topic, kind AS theme_type,
+    kind || ': ' || array_to_string(keywords[:3], ' / ') AS theme_name, keywords
+  FROM (SELECT *, CASE corpus WHEN 'praise' THEN 'Praise / Satisfaction'
+    ELSE 'Concern / Attrition Driver' END AS kind FROM keywords))"""
+
+
+def given_themes(spark, sf_dir) -> DataFrame:
+    """Themes of the term-topic table of `GIVEN_TERMS`."""
+    docs = st.add_tokens(derived.feedback_texts(spark, sf_dir), "text")
+    counts = tm.term_counts(docs.withColumn("corpus", F.lit("all")), "doc_id")
+    corpus = F.when(F.length("term") % 2 == 0, exits.PRAISE).otherwise(exits.CONCERN)
+    totals = (
+        counts.groupBy("term")
+        .agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
+        .withColumn("corpus", corpus)
+    )
+    masses = {
+        f"topic_{topic}": F.expr(MASS.replace("topic", str(topic))).cast("double")
+        for topic in range(4)
+    }
+    return exits.name_themes(tp.topic_keywords(totals.withColumns(masses)))
+
+
+@query(
+    "given_theme_keywords",
+    f"WITH {GIVEN_TERMS} SELECT corpus, topic::INT AS topic, theme_type, theme_name,"
+    " array_to_string(keywords, ', ') AS keywords FROM named",
+)
+def given_theme_keywords(spark, sf_dir):
+    """Keywords and names of themes from a given term-topic table."""
+    return given_themes(spark, sf_dir).withColumn("keywords", F.array_join("keywords", ", "))
+
+
+GIVEN_MEMBERS = f"""WITH {GIVEN_TERMS},
+given AS (
+  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'praise' ELSE 'concern' END AS corpus,
+    CASE WHEN doc_id % 5 = 0 THEN [0.25, 0.25, 0.25, 0.25]
+      ELSE list_transform(range(4), lambda t: ((doc_id * (t + 3)) % 11) / 22) END AS mixture
+  FROM documents),
+members AS (
+  SELECT doc_id, lang, source, theme_name AS theme
+  FROM given JOIN named USING (corpus) JOIN documents USING (doc_id)
+  WHERE mixture[topic + 1] > 0.2)"""
+
+
+def given_leavers(spark, sf_dir) -> DataFrame:
+    """Documents as leavers, with themes assigned from given mixtures.
+
+    Documents with an id divisible by 5 have no mixture: every topic is as likely.
+    """
+    documents = derived.table(spark, sf_dir, "documents").withColumn(
+        lv.LEAVER_KEY, F.col("doc_id")
+    )
+    corpus = F.when(F.col("doc_id") % 3 == 0, exits.PRAISE).otherwise(exits.CONCERN)
+    docs = documents.withColumn("corpus", corpus)
+    shares = F.array(*[(F.col("doc_id") * (topic + 3)) % 11 / 22 for topic in range(4)])
+    mixtures = docs.where(F.col("doc_id") % 5 != 0).select(
+        "corpus", lv.LEAVER_KEY, shares.alias("mixture")
     )
+    assigned = exits.assign_themes(docs, mixtures, given_themes(spark, sf_dir))
+    return documents.join(assigned, lv.LEAVER_KEY, "left")
+
+
+@query("given_theme_members", f"{GIVEN_MEMBERS} SELECT doc_id, theme FROM members")
+def given_theme_members(spark, sf_dir):
+    return lv.theme_members(given_leavers(spark, sf_dir)).select("doc_id", "theme")
+
+
+@query(
+    "given_theme_designations",
+    f"""{GIVEN_MEMBERS}
+    SELECT theme, source AS designation, count(*) AS leavers,
+      round(count(*) / sum(count(*)) OVER (PARTITION BY theme) * 100, 9) AS share_pct
+    FROM members GROUP BY theme, source""",
+)
+def given_theme_designations(spark, sf_dir):
+    tagged = given_leavers(spark, sf_dir).withColumnRenamed("source", "designation")
+    return lv.theme_designations(tagged).withColumn("share_pct", F.round("share_pct", 9))

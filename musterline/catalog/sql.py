@@ -32,7 +32,8 @@ EVENT_CODES = """ev AS (
     CASE event_type
       WHEN 'click' THEN CASE event_id % 7 WHEN 0 THEN 'W*' WHEN 1 THEN 'H*' WHEN 2 THEN 'AR' ELSE 'P' END
       WHEN 'view' THEN CASE event_id % 5 WHEN 0 THEN 'W' WHEN 1 THEN 'H' ELSE 'P' END
-      WHEN 'purchase' THEN CASE event_id % 4 WHEN 0 THEN 'CL' WHEN 1 THEN 'EL' WHEN 2 THEN 'PL' ELSE 'BL' END
+      WHEN 'purchase' THEN CASE event_id % 6 WHEN 0 THEN 'CL' WHEN 1 THEN 'EL' WHEN 2 THEN 'PL'
+        WHEN 3 THEN 'ML' WHEN 4 THEN 'PRL' ELSE 'BL' END
       WHEN 'signup' THEN CASE event_id % 4 WHEN 0 THEN 'SL' WHEN 1 THEN 'ELec' WHEN 2 THEN 'RH' ELSE 'CO' END
       ELSE CASE event_id % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'LWP' ELSE 'ABSENT' END
     END AS code

@@ -161,10 +161,10 @@ SELECT month, display_month, round(latest_rate, 6) AS latest_rate,
   round(historical_avg, 6) AS historical_avg, round(historical_std, 6) AS historical_std,
   round(threshold, 6) AS threshold, round(percent_increase, 6) AS percent_increase,
   '**Strategic Alert:** Absenteeism for **' || display_month || ' at '
-    || printf('%.1f', round_even(latest_rate * 10, 0) / 10)
+    || printf('%.1f', latest_rate)
     || '%** is significantly higher than the historical average of '
-    || printf('%.1f', round_even(historical_avg * 10, 0) / 10) || '%. This represents a **'
-    || printf('%.0f', round_even(percent_increase, 0))
+    || printf('%.1f', historical_avg) || '%. This represents a **'
+    || printf('%.0f', percent_increase)
     || '% increase**, warranting investigation.' AS alert
 FROM facts WHERE months >= 3 AND latest_rate > threshold"""
 

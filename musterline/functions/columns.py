@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from decimal import Decimal
 
 from pyspark.sql import Column, functions as F
 
@@ -37,8 +38,25 @@ def round_half_even(col: Column | str, places: int = 2) -> Column:
 
 
 def fixed(col: Column | str, places: int) -> Column:
-    """Text with a fixed number of decimals."""
-    return F.format_string(f"%.{places}f", round_half_even(col, places))
+    """Text with a fixed number of decimals, at most two, of a number below 10**15.
+
+    Rounded on the exact binary value, half to even: 1.115 is stored a little below itself
+    and shows as 1.11. The fraction is counted in units of 2**-62, which hold every bit of a
+    number that can lie near the middle between two texts.
+    """
+    value = F.abs(_col(col).cast("double"))
+    whole = F.floor(value)
+    unit = F.lit(Decimal(1 << 62))
+    fraction = ((value - whole) * float(1 << 62)).cast("bigint").cast("decimal(19,0)")
+    scaled = fraction * F.lit(Decimal(10**places))
+    rest = scaled % unit
+    cut = whole * 10**places + ((scaled - rest) / unit).cast("bigint")
+    up = (rest * 2 > unit) | ((rest * 2 == unit) & (cut % 2 == 1))
+    digits = F.lpad((cut + up.cast("bigint")).cast("string"), 20, "0")
+    head = F.regexp_replace(F.substring(digits, 1, 20 - places), "^0+(?=.)", "")
+    sign = F.when(_col(col) < 0, "-").otherwise("")
+    tail = [F.lit("."), F.substring(digits, 21 - places, places)] if places else []
+    return F.concat(sign, head, *tail)
 
 
 def month_start(date: Column | str) -> Column:

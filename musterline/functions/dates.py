@@ -11,7 +11,8 @@ from pyspark.sql import Column, functions as F
 DATE_HEADER = re.compile(r"\d{1,2}-[A-Za-z]{3}-\d{2,4}")
 HEADER_FORMAT = "%d-%b-%y"
 
-# Formats tried in turn for relieving dates.
+# Formats tried in turn for relieving dates. Where day and month can be told
+# apart by nothing but their order, the month comes first.
 DATE_FORMATS = (
     "yyyy-MM-dd",
     "yyyy-MM-dd HH:mm:ss",
@@ -21,6 +22,17 @@ DATE_FORMATS = (
     "yyyy/M/d",
     "d MMM yyyy",
     "yyyyMMdd",
+    "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd HH:mm",
+    "d MMMM yyyy",
+    "d-MMMM-yyyy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "M-d-yyyy",
+    "M.d.yyyy",
+    "d/M/yyyy",
+    "d-M-yyyy",
+    "d.M.yyyy",
 )
 
 

@@ -143,9 +143,9 @@ def verbatim_comments(wide: DataFrame) -> DataFrame:
     ).where(F.col("all_comments") != "")
 
 
-def proof_view(wide: DataFrame) -> DataFrame:
-    """Designation, reason, sentiment and the free-text columns that exist."""
-    names = ["designation", "resignationreason", "sentiment", *comment_columns(wide)]
+def proof_view(wide: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Designation, reason, sentiment and the free-text columns that exist, after `keep`."""
+    names = [*keep, "designation", "resignationreason", "sentiment", *comment_columns(wide)]
     return wide.select(*[name for name in names if name in wide.columns])
 
 

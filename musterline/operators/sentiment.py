@@ -21,12 +21,14 @@ def add_tokens(
 def lemmatise(docs: DataFrame, key: str, lemmas: DataFrame) -> DataFrame:
     """Replace each token by its base form from `lemmas(token, lemma)`.
 
-    Returns `key` and `tokens` in the old order. Tokens without an entry stay.
+    Returns `key` and `tokens` in the old order. Tokens without an entry stay; of several
+    entries for one token the first by code point counts.
     The join takes no hint: Spark broadcasts the table only while its size allows,
     and splits frequent tokens otherwise.
     """
     spots = docs.select(key, F.posexplode("tokens").alias("place", "token"))
-    based = spots.join(lemmas.select("token", "lemma"), "token", "left").select(
+    single = lemmas.groupBy("token").agg(F.min("lemma").alias("lemma"))
+    based = spots.join(single, "token", "left").select(
         key,
         F.struct("place", F.coalesce("lemma", "token").alias("token")).alias("spot"),
     )
@@ -47,11 +49,13 @@ def sentiment_scores(docs: DataFrame, key: str, text: str, lexicon: DataFrame) -
     """Sum of valences per document, for documents with any token in the lexicon.
 
     Tokens of one document lie together, so the sums are formed before the shuffle
-    and only one number per document travels.
+    and only one number per document travels. Of several entries for one token the
+    lowest valence counts.
     """
+    single = lexicon.groupBy("token").agg(F.min("valence").alias("valence"))
     return (
         docs.select(key, F.explode(words(text)).alias("token"))
-        .join(lexicon.select("token", "valence"), "token")
+        .join(single, "token")
         .groupBy(key)
         .agg(F.sum("valence").alias("valence"))
     )

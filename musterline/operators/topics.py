@@ -27,6 +27,8 @@ MIXTURE_TOLERANCE = 1e-3
 # Keywords per topic and the probability that assigns a topic.
 KEYWORDS = 5
 ASSIGN_ABOVE = 0.2
+# Terms are ranked by their mass to so many places.
+RANKED_PLACES = 6
 # Shape of the random start, a gamma distribution with mean 1.
 START_SHAPE = 100.0
 TINY = float(np.finfo(float).eps)
@@ -178,7 +180,8 @@ def _gather_terms(fitted: DataFrame, names: Sequence[str]) -> DataFrame:
 def topic_keywords(terms: DataFrame, topics: int = TOPICS, most: int = KEYWORDS) -> DataFrame:
     """The heaviest terms of every topic, heaviest first: corpus, topic, keywords.
 
-    The rank filter is applied in each task before the shuffle."""
+    Masses are distributed sums, whose last digits may differ between runs: they are ranked
+    rounded, then by term. The rank filter is applied in each task before the shuffle."""
     names = [f"topic_{i}" for i in range(topics)]
     long = terms.select(
         *TERM_KEYS,
@@ -186,7 +189,8 @@ def topic_keywords(terms: DataFrame, topics: int = TOPICS, most: int = KEYWORDS)
             F.lit(topics), *[c for i, n in enumerate(names) for c in (F.lit(i), F.col(n))]
         ).alias("topic", "mass"),
     )
-    by_mass = Window.partitionBy("corpus", "topic").orderBy(F.desc("mass"), "term")
+    mass = F.round("mass", RANKED_PLACES)
+    by_mass = Window.partitionBy("corpus", "topic").orderBy(mass.desc(), "term")
     return (
         long.withColumn("rank", F.row_number().over(by_mass))
         .where(F.col("rank") <= most)

@@ -34,11 +34,13 @@ class Attendance:
         leads: Sequence[str] | None = None,
         managers: Sequence[str] | None = None,
     ) -> Attendance:
-        """The same frames for a selection of units, leads and managers."""
-        return Attendance(
-            views.cascade_filter(self.daily, units, leads, managers),
-            views.cascade_filter(self.employees, units, leads, managers),
-        )
+        """The employees of a selection of units, leads and managers, and all their days.
+
+        The days are chosen by the employee: rows under another unit of someone in view
+        belong to the view.
+        """
+        chosen = views.cascade_filter(self.employees, units, leads, managers)
+        return Attendance(views.daily_in_view(self.daily, chosen), chosen)
 
     def summary(self, period: str = "Overall") -> DataFrame:
         return kpis.attendance_summary(self.employees, period, self.daily)

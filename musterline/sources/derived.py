@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 # Status codes that the derived rows are drawn from.
 CODES = (
     "W*", "H*", "AR", "P", "W", "H", "CL", "EL", "PL", "BL",
-    "SL", "ELec", "RH", "CO", "A", "LWP", "ABSENT",
+    "SL", "ELec", "RH", "CO", "A", "LWP", "ABSENT", "ML", "PRL",
 )
 
 
@@ -29,7 +29,7 @@ def _pick(divisor: int, *codes: str) -> str:
 EVENT_CODE = f"""CASE event_type
     WHEN 'click' THEN {_pick(7, "W*", "H*", "AR", "P")}
     WHEN 'view' THEN {_pick(5, "W", "H", "P")}
-    WHEN 'purchase' THEN {_pick(4, "CL", "EL", "PL", "BL")}
+    WHEN 'purchase' THEN {_pick(6, "CL", "EL", "PL", "ML", "PRL", "BL")}
     WHEN 'signup' THEN {_pick(4, "SL", "ELec", "RH", "CO")}
     ELSE {_pick(5, "A", "LWP", "ABSENT")} END"""
 
