@@ -13,7 +13,7 @@ from musterline.functions import dates
 from musterline.operators import cleaning, days, employees, insights, kpis, scorecard, views
 from musterline.plans.attendance import Attendance, analyse_days, analyse_grid
 from musterline.sinks import reports
-from musterline.sources import derived
+from musterline.sources import derived, read_grid
 
 DAILY_COLUMNS = "employee_id, employee_name, reporting_manager, email_id, ou_name, functional_lead"
 
@@ -99,6 +99,18 @@ def employee_metadata(spark, sf_dir):
     )
 
 
+@query(
+    "read_grid_order",
+    "SELECT user_id, min(event_id) AS event_id, count(*) AS events FROM events GROUP BY user_id",
+)
+def read_grid_order(spark, sf_dir):
+    """First event of every user by its place in the file, which is sorted by event."""
+    rows = read_grid(spark, f"{sf_dir.rstrip('/')}/events.parquet", "parquet")
+    return rows.groupBy("user_id").agg(
+        F.min_by("event_id", "row_order").alias("event_id"), F.count(F.lit(1)).alias("events")
+    )
+
+
 @query(
     "relieving_dates",
     """SELECT o_orderkey, CASE WHEN (o_orderkey // 4) % 8 = 7 THEN NULL

@@ -12,7 +12,7 @@ from musterline.operators import sentiment as st
 from musterline.operators import terms as tm
 from musterline.operators import topics as tp
 from musterline.plans import exits
-from musterline.sources import derived
+from musterline.sources import derived, read_answers
 
 ANSWER_CTES = f"{sql.ANSWERS},\n{sql.FIRST_ANSWERS}"
 NAME = "lower(regexp_replace(replace(question_desc, ' ', '_'), '[^0-9a-zA-Z_]', '', 'g'))"
@@ -44,6 +44,18 @@ def wide(spark, sf_dir) -> DataFrame:
     return lv.pivot_answers(derived.exit_answers(spark, sf_dir))
 
 
+@query(
+    "read_answers_order",
+    "SELECT conv_id, min_by(role, turn) AS role, count(*) AS answers FROM conversations GROUP BY conv_id",
+)
+def read_answers_order(spark, sf_dir):
+    """First answer of every conversation by its place in the file, which is sorted by turn."""
+    rows = read_answers(spark, f"{sf_dir.rstrip('/')}/conversations.parquet", "parquet")
+    return rows.groupBy("conv_id").agg(
+        F.min_by("role", "row_order").alias("role"), F.count(F.lit(1)).alias("answers")
+    )
+
+
 @query(
     "exit_wide",
     f"WITH {ANSWER_CTES} SELECT {sql.IDENTIFIERS}, {NAME} AS question, answer FROM first_answers",
@@ -164,16 +176,8 @@ def leaver_sentiment(spark, sf_dir):
     FROM labelled JOIN texts USING (resignationletterdate) WHERE sentiment <> 'Neutral'""",
 )
 def sentiment_corpora(spark, sf_dir):
-    scored = leavers(spark, sf_dir)
-
-    def corpus(name: str, frame: DataFrame) -> DataFrame:
-        return frame.select(
-            F.lit(name).alias("corpus"),
-            "resignationletterdate",
-            st.cleaned_text().alias("cleaned"),
-        )
-
-    return corpus("praise", st.praise(scored)).unionByName(corpus("concern", st.concern(scored)))
+    docs = exits.corpora_of(leavers(spark, sf_dir), "resignationletterdate")
+    return docs.select("corpus", "resignationletterdate", st.cleaned_text().alias("cleaned"))
 
 
 TERMS = f"""tokens AS (

@@ -64,7 +64,12 @@ def kept_terms(
     )
 
 
-def tfidf(
+def tfidf(docs: DataFrame, key: str, corpora: tuple[str, ...], **options) -> DataFrame:
+    """L2-normalised weights: corpus, key, term, tf, df, idf, weight."""
+    return tfidf_by_split(docs, key, corpora, **options).drop("split", "splits")
+
+
+def tfidf_by_split(
     docs: DataFrame,
     key: str,
     corpora: tuple[str, ...],
@@ -72,11 +77,10 @@ def tfidf(
     min_docs: int = 2,
     max_share: float = 0.9,
 ) -> DataFrame:
-    """L2-normalised weights per corpus, document and term.
+    """`tfidf` with the splits of frequent terms, for later joins on the term.
 
     `docs` has `corpus`, a unique `key` and `tokens`. A term can be in most
-    documents, so frequent terms are split before the join on the term; `split` and
-    `splits` are kept for later joins on the term.
+    documents, so frequent terms are split before the join on the term.
     """
     counts = term_counts(docs, key, stop_words)
     terms = kept_terms(counts, docs, corpora, min_docs, max_share)

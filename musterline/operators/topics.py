@@ -7,12 +7,15 @@ weights, fit the document's topic mixture, add up what each term got.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from musterline.functions import special
 from musterline.functions.special import digamma, digamma_sql
 from musterline.operators.terms import TERM_KEYS
 from musterline.session import durable
@@ -32,6 +35,12 @@ RANKED_PLACES = 6
 # Shape of the random start, a gamma distribution with mean 1.
 START_SHAPE = 100.0
 TINY = float(np.finfo(float).eps)
+# Terms of documents fitted at once: bounds the memory of the arrays in a Python worker.
+CHUNK_TERMS = 500_000
+
+# Python workers get the fit by value and need no copy of this package.
+for _module in (sys.modules[__name__], special):
+    cloudpickle.register_pickle_by_value(_module)
 
 
 def fit_topics(
@@ -128,12 +137,23 @@ def _fit_documents(
 
 
 def _document_fit(prior: float):
-    """Variational topic mixture of each document of an Arrow batch, all at once."""
+    """Variational topic mixture of each document of an Arrow batch, a chunk at a time.
+
+    Every document settles for itself, so the chunks do not change the result."""
 
     def theta_of(gamma: np.ndarray) -> np.ndarray:
         return np.exp(digamma(gamma) - digamma(gamma.sum(axis=1, keepdims=True)))
 
     def fit(weight: pd.Series, *factors: pd.Series) -> pd.DataFrame:
+        before = weight.map(len).cumsum() - weight.map(len)
+        chunk = (before // CHUNK_TERMS).to_numpy()
+        fitted = [
+            fit_chunk(weight[chunk == c], *[f[chunk == c] for f in factors])
+            for c in np.unique(chunk)
+        ]
+        return pd.concat(fitted, ignore_index=True)
+
+    def fit_chunk(weight: pd.Series, *factors: pd.Series) -> pd.DataFrame:
         sizes = weight.map(len).to_numpy()
         owner = np.repeat(np.arange(len(sizes)), sizes)
         counts = np.concatenate(weight.to_list())

@@ -40,13 +40,13 @@ def wide_leavers(
     return scored.drop("tokens").join(based, lv.LEAVER_KEY)
 
 
-def corpora_of(leavers: DataFrame) -> DataFrame:
+def corpora_of(leavers: DataFrame, key: str = lv.LEAVER_KEY) -> DataFrame:
     """Tokens of the praising and the concerned leavers; neutral ones are in neither."""
     corpus = F.when(F.col("sentiment") == "Positive", F.lit(PRAISE)).when(
         F.col("sentiment") == "Negative", F.lit(CONCERN)
     )
     return (
-        leavers.select(corpus.alias("corpus"), lv.LEAVER_KEY, "tokens")
+        leavers.select(corpus.alias("corpus"), key, "tokens")
         .where(F.col("corpus").isNotNull())
     )
 
@@ -64,7 +64,7 @@ def analyse_exits(
     """
     scored = durable(wide_leavers(answers, lexicon, order, lemmas))
     docs = corpora_of(scored)
-    weights = durable(tm.tfidf(docs, lv.LEAVER_KEY, (PRAISE, CONCERN)))
+    weights = durable(tm.tfidf_by_split(docs, lv.LEAVER_KEY, (PRAISE, CONCERN)))
     fit = _corpora_large_enough(docs, weights)
     output = scored.drop("full_feedback", "tokens", "compound")
     none = F.array().cast("array<string>")

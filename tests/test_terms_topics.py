@@ -51,7 +51,7 @@ def expected_weights():
 @pytest.fixture(params=[terms.SPLIT_ROWS, 1], ids=["whole", "split"])
 def table(request, spark, monkeypatch):
     monkeypatch.setattr(terms, "SPLIT_ROWS", request.param)
-    found = terms.tfidf(docs(spark), "k", ("all",))
+    found = terms.tfidf_by_split(docs(spark), "k", ("all",))
     if request.param == 1:
         assert found.where("splits > 1").count() > 0
     return found
@@ -130,6 +130,13 @@ def test_topics_against_plain_numpy(spark, table):
         assert row.keywords == [t.replace(" ", "_") for t in ranked]
 
 
+def test_chunks_of_documents_change_nothing(spark, table, monkeypatch):
+    pick = lambda f: sorted((r.k, *[round(x, 9) for x in r.mixture]) for r in f.collect())
+    whole = pick(topics.fit_topics(table, "k", ("all",), passes=1)[1])
+    monkeypatch.setattr(topics, "CHUNK_TERMS", 3)
+    assert pick(topics.fit_topics(table, "k", ("all",), passes=1)[1]) == whole
+
+
 def test_a_second_run_is_the_same(spark, table):
     one, two = (topics.fit_topics(table, "k", ("all",), passes=2)[0] for _ in range(2))
     pick = lambda f: sorted((r.term, *[round(r[f"topic_{i}"], 9) for i in range(4)]) for r in f.collect())
