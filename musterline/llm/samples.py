@@ -9,6 +9,19 @@ from pyspark.sql import DataFrame, functions as F
 from musterline.llm.common import remainder
 
 
+def agreed(labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
+    """(doc_id, label) outside the held-out fold, each id once; see `labelled` for what is left out."""
+    return (
+        labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("label"))
+        .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
+        .where(remainder(F.col("doc_id"), folds) != held_out)
+        .groupBy("doc_id")
+        .agg(F.min("label").alias("label"), F.max("label").alias("most"))
+        .where("label = most")
+        .drop("most")
+    )
+
+
 def labelled(
     docs: DataFrame,
     labels: DataFrame,
@@ -25,15 +38,7 @@ def labelled(
     that disagree, null ids, null labels and null texts are left out, and so are texts over
     `most_chars`, which bounds what reaches the driver by 2 * most_rows * most_chars.
     """
-    ids = (
-        labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("label"))
-        .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
-        .where(remainder(F.col("doc_id"), folds) != held_out)
-        .groupBy("doc_id")
-        .agg(F.min("label").alias("label"), F.max("label").alias("most"))
-        .where("label = most")
-        .drop("most")
-    )
+    ids = agreed(labels, label, folds, held_out)
     chosen = None
     for value in (0, 1):
         part = (

@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from musterline.llm import quality, toxicity, toxicity_net
+from musterline.llm import quality, samples, toxicity, toxicity_net
+from musterline.llm.common import remainder
 from musterline.llm.queries import op1_quality, op6_toxicity
 
 TABLES = "/root/testdata/sf0.1"
@@ -97,3 +99,40 @@ def test_pooling_equals_a_plain_loop():
             )
             pooled.append(np.maximum(conv.max(0) + net.biases[k], 0))
         assert value == pytest.approx(np.hstack(pooled) @ net.out + net.bias, abs=1e-4)
+
+
+def test_thresholds_rest_on_all_rows_beyond_the_fitted_ones(labelled, spark):
+    docs, labels = labelled
+    # One language in forty, and rows without a language.
+    lang = "case when doc_id % 40 < 2 then 'xx' when doc_id % 40 < 4 then null else 'en' end"
+    docs = docs.withColumn("lang", F.expr(lang))
+    model = toxicity.fit(docs, labels, sample_rows=50)
+    sample = samples.labelled(docs, labels, "toxic", 4, 2, 50, 65_536, ["doc_id"])
+    known = {row[2] for i, row in enumerate(sample) if i % 5 != 4}
+    rows = docs.select(
+        "doc_id", "lang", toxicity.score_of(docs, model).alias("score"), remainder(docs.doc_id, 4).alias("fold")
+    ).collect()
+    rows = [r for r in rows if r["fold"] != 2]
+    free = [r for r in rows if r["doc_id"] not in known]
+    assert len(free) == len(rows) - len(known) > 150
+    counts = {r["lang"]: np.zeros((toxicity.STEPS, 2)) for r in free}
+    for r in free:
+        kind = r["doc_id"] % 2
+        of_kind = [sum(x["doc_id"] % 2 == kind for x in some) for some in (rows, free)]
+        step = min(int(r["score"] * toxicity.STEPS), toxicity.STEPS - 1)
+        counts[r["lang"]][step, kind] += of_kind[0] / of_kind[1]
+    common, own = toxicity.thresholds(counts)
+    assert model.common == pytest.approx(common)
+    assert set(model.thresholds) == {"en", "xx"} and model.thresholds == pytest.approx(own)
+
+
+def test_a_language_moves_from_the_common_threshold_to_its_own():
+    many, few = np.zeros((toxicity.STEPS, 2)), np.zeros((toxicity.STEPS, 2))
+    many[[200, 600], [0, 1]] = 5000
+    few[[500, 640], [0, 1]] = 1
+    common, own = toxicity.thresholds({"many": many, "few": few})
+    assert common == own["many"] and 0.2 < own["few"] < 0.61
+    # With many rows of its own the cut lies between its own classes.
+    common, own = toxicity.thresholds({"many": many, "few": few * 10_000})
+    assert own["few"] > 0.501
+    assert toxicity.thresholds({"one": np.zeros((toxicity.STEPS, 2))}) == (toxicity.COMMON, {})
