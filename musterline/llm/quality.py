@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from musterline.llm.common import by_value, send
-from musterline.llm.samples import labelled
+from musterline.llm.samples import agreed, class_weights, labelled
 
 DICTIONARY_BYTES = 64 * 1024
 LEVEL = 3
@@ -107,20 +107,32 @@ def features(tools: list[zstandard.ZstdCompressor], texts: list[str | None]) ->
     )
 
 
-def logistic(x: np.ndarray, y: np.ndarray, damping: float = 1e-2, steps: int = 80) -> np.ndarray:
-    """Newton steps on the damped logistic loss."""
+def logistic(
+    x: np.ndarray,
+    y: np.ndarray,
+    damping: float = 1e-2,
+    steps: int = 80,
+    rows: np.ndarray | float = 1.0,
+) -> np.ndarray:
+    """Newton steps on the damped logistic loss; `rows` is what each row stands for."""
     weights = np.zeros(x.shape[1])
+    rows = np.broadcast_to(rows, y.shape)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        curve = np.maximum(p * (1 - p), 1e-6)
-        slope = x.T @ (p - y) + damping * weights
+        curve = np.maximum(p * (1 - p), 1e-6) * rows
+        slope = x.T @ ((p - y) * rows) + damping * weights
         move = np.linalg.solve((x * curve[:, None]).T @ x + damping * np.eye(x.shape[1]), slope)
         weights -= move * min(1.0, 3 / max(np.abs(move).max(), 1e-12))
     return weights
 
 
-def fit_texts(rows: list[tuple[str, int]]) -> QualityModel:
-    """Fit on (text, label) rows: `SPLITS` parts give dictionaries, one part calibrates."""
+def fit_texts(
+    rows: list[tuple[str, int]], stands_for: tuple[float, float] = (1.0, 1.0)
+) -> QualityModel:
+    """Fit on (text, label) rows: `SPLITS` parts give dictionaries, one part calibrates.
+
+    `stands_for` weights the calibration rows of class 0 and 1.
+    """
     by_class: list[list[bytes]] = [[], []]
     for text, label in rows:
         by_class[label].append(text.encode("utf-8", "replace"))
@@ -135,7 +147,7 @@ def fit_texts(rows: list[tuple[str, int]]) -> QualityModel:
     held = [[t.decode("utf-8", "replace") for t in texts[SPLITS::parts]] for texts in distinct]
     x = features(compressors(model), held[0] + held[1])
     y = np.array([0.0] * len(held[0]) + [1.0] * len(held[1]))
-    model.weights = logistic(x, y)
+    model.weights = logistic(x, y, rows=np.array(stands_for)[y.astype(int)])
     return model
 
 
@@ -155,8 +167,13 @@ def fit(
     held_out: int = 0,
     sample_rows: int = SAMPLE_ROWS,
 ) -> QualityModel:
-    """Fit on at most `sample_rows` labelled texts per class, none of the held-out fold."""
-    return fit_texts(labelled(docs, labels, label, folds, held_out, sample_rows, SAMPLE_CHARS))
+    """Fit on at most `sample_rows` labelled texts per class, none of the held-out fold.
+
+    The curve is fitted to the true shares of the classes, counted over all labels.
+    """
+    rows = labelled(docs, labels, label, folds, held_out, sample_rows, SAMPLE_CHARS)
+    ids = agreed(labels, label, folds, held_out)
+    return fit_texts(rows, class_weights(ids, [value for _, value in rows]))
 
 
 def score(docs: DataFrame, model: QualityModel, keep: list[str], text: str = "text") -> DataFrame:

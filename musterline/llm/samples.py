@@ -61,3 +61,15 @@ def labelled(
         (row["content"]["text"], row["label"], *(row["content"][name] for name in more))
         for row in sorted(rows, key=lambda r: r["doc_id"])
     ]
+
+
+def class_weights(ids: DataFrame, sampled: Sequence[int]) -> tuple[float, float]:
+    """What a sampled row of class 0 and of class 1 stands for, so that the true shares hold.
+
+    `ids` are the rows of `agreed`, all counted; `sampled` are the labels of the sample.
+    """
+    totals = {row["label"]: row["count"] for row in ids.groupBy("label").count().collect()}
+    return tuple(
+        max(1.0, totals.get(value, 0) / max(1, sum(label == value for label in sampled)))
+        for value in (0, 1)
+    )

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from musterline.llm import toxicity_net as net
 from musterline.llm.common import by_value, remainder, send
-from musterline.llm.samples import agreed, labelled
+from musterline.llm.samples import agreed, class_weights, labelled
 
 # Rows of each class that may reach the driver, and the longest text among them.
 SAMPLE_ROWS = 3_000
@@ -77,10 +77,12 @@ def thresholds(counts: dict[str | None, np.ndarray]) -> tuple[float, dict[str, f
     }
 
 
-def fit_rows(rows: list[tuple[str, int]]) -> tuple[ToxicityModel, np.ndarray]:
+def fit_rows(
+    rows: list[tuple[str, int]], stands_for: tuple[float, float] = (1.0, 1.0)
+) -> tuple[ToxicityModel, np.ndarray]:
     """Train on four fifths of the rows and calibrate the score on the rest.
 
-    The second value says which rows the net was fitted on.
+    `stands_for` weights the calibration rows of class 0 and 1, for the true shares. The second value says which rows the net was fitted on.
     """
     labels = np.array([label for _, label in rows], float)
     if len(rows) < 10 or labels.min() == labels.max():
@@ -92,7 +94,7 @@ def fit_rows(rows: list[tuple[str, int]]) -> tuple[ToxicityModel, np.ndarray]:
     fitted = net.fit([d for d, h in zip(documents, held) if not h], labels[~held])
     check = held if held.any() else ~held
     raw = net.raw_of(fitted, fitted.table(), (d for d, c in zip(documents, check) if c))
-    fitted.scale, fitted.shift = net.platt(raw, labels[check])
+    fitted.scale, fitted.shift = net.platt(raw, labels[check], stands_for=stands_for)
     return ToxicityModel(fitted), ~held
 
 
@@ -153,11 +155,12 @@ def fit(
     rows = labelled(
         docs, labels, label, folds, held_out, sample_rows, SAMPLE_CHARS, ["doc_id"]
     )
-    model, used = fit_rows([(text, value) for text, value, _ in rows])
+    ids = agreed(labels, label, folds, held_out)
+    stands_for = class_weights(ids, [value for _, value, _ in rows])
+    model, used = fit_rows([(text, value) for text, value, _ in rows], stands_for)
     if model.net is None:
         return model
     fitted = [row[2] for row, u in zip(rows, used) if u]
-    ids = agreed(labels, label, folds, held_out)
     own = docs.where(remainder(F.col("doc_id"), folds) != held_out)
     model.common, model.thresholds = thresholds(calibration(own, ids, model, fitted))
     return model

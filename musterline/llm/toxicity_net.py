@@ -179,17 +179,27 @@ def fit(
     return net
 
 
-def platt(raw: np.ndarray, labels: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Scale and shift of a logistic curve fitted to raw outputs, a little damped."""
+def platt(
+    raw: np.ndarray,
+    labels: np.ndarray,
+    steps: int = 50,
+    stands_for: tuple[float, float] = (1.0, 1.0),
+) -> tuple[float, float]:
+    """Scale and shift of a logistic curve fitted to raw outputs, a little damped.
+
+    `stands_for` weights the rows of class 0 and 1.
+    """
     high, low = (labels == 1).sum(), (labels == 0).sum()
     if high == 0 or low == 0:
         return 1.0, 0.0
     target = np.where(labels == 1, (high + 1) / (high + 2), 1 / (low + 2))
+    rows = np.where(labels == 1, stands_for[1], stands_for[0])
     a, b = 1.0, 0.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((p - target) * raw).sum() + 1e-3 * a, (p - target).sum()])
+        w = np.maximum(p * (1 - p), 1e-9) * rows
+        miss = (p - target) * rows
+        g = np.array([(miss * raw).sum() + 1e-3 * a, miss.sum()])
         h = np.array(
             [[(w * raw * raw).sum() + 1e-3, (w * raw).sum()], [(w * raw).sum(), w.sum() + 1e-6]]
         )

@@ -136,3 +136,16 @@ def test_a_language_moves_from_the_common_threshold_to_its_own():
     common, own = toxicity.thresholds({"many": many, "few": few * 10_000})
     assert own["few"] > 0.501
     assert toxicity.thresholds({"one": np.zeros((toxicity.STEPS, 2))}) == (toxicity.COMMON, {})
+
+
+def test_calibration_keeps_the_true_shares_beyond_the_cap(spark, docs_of):
+    """Texts say nothing of their class, so a calibrated score is the share of the class."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{n}" for n in rng.integers(0, 40, 30))) for i in range(4000)]
+    labels = [(i, int(i % 10 > 0), int(i % 10 == 0)) for i in range(4000)]
+    docs, labels = docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels, sample_rows=250)
+    good = quality.score(docs, model, ["doc_id"]).agg(F.avg("score")).first()[0]
+    net = toxicity.fit(docs, labels, sample_rows=250)
+    toxic = docs.select(toxicity.score_of(docs, net).alias("score")).agg(F.avg("score")).first()[0]
+    assert good == pytest.approx(0.9, abs=0.1) and toxic == pytest.approx(0.1, abs=0.1)
