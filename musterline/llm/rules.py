@@ -30,6 +30,8 @@ MOST_LOST = 60
 ENDINGS = ".!?:;…。！？\"')]}”’»"
 # Boilerplate stands in short lines.
 SHORT_LINE = 200
+# White space of the word rule, taken off before the end mark is looked for.
+BLANKS = " \t\n\x0b\f\r"
 BOILERPLATE = (
     "all rights reserved|licensed under|released under the|under the terms of"
     "|terms of (use|service)|privacy policy|cookie policy|accept cookies|enable javascript"
@@ -47,7 +49,7 @@ def without(text: Column, characters: str) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether a line fails: no end mark, shouting, a bar of links, symbols, boilerplate."""
-    end = F.right(F.rtrim(line), F.lit(1))
+    end = F.right(F.rtrim(line, F.lit(BLANKS)), F.lit(1))
     length = F.length(line)
     words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
     shouts = (length - F.length(F.replace(line, F.lit("!!"), F.lit("")))) / 2

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from musterline.llm import decontaminate, mixing, rules, sharding, simhash, token_counts
 
@@ -328,6 +329,14 @@ def test_documents_losing_most_words_go(docs_of):
     assert [r["doc_id"] for r in rules.clean(docs).collect()] == [2]
 
 
+@pytest.mark.parametrize("end", ["\r", "\t", " \x0b", "\x0c \r"])
+def test_white_space_at_line_ends_hides_no_end_mark(docs_of, end):
+    lines = [PROSE, "Later that year a letter came for him.", "Nobody could say who had sent it."]
+    rows = [(1, "\n".join(x + end for x in lines)), (2, "\n".join(lines))]
+    got = {r["doc_id"]: (r["kept"], r["lines_removed"]) for r in rules.judge(docs_of(rows)).collect()}
+    assert got == {1: (True, 0), 2: (True, 0)}
+
+
 # Token counts
 
 
