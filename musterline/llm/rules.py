@@ -28,7 +28,8 @@ MOST_REPEATED = 20
 MOST_LOST = 60
 # Last characters that end a sentence, an item before a list, a quotation or a bracket.
 ENDINGS = ".!?:;…。！？\"')]}”’»"
-# Boilerplate stands in short lines.
+# A line fails with one boilerplate or navigation match per so many characters, begun ones
+# included: one match fails a line of up to 200, a line of 201 to 400 needs two.
 SHORT_LINE = 200
 # White space of the word rule, taken off before the end mark is looked for.
 BLANKS = " \t\n\x0b\f\r"
@@ -57,14 +58,14 @@ def line_fails(line: Column) -> Column:
     symbols = length - F.length(without(line, SYMBOLS))
     # A line that runs over sentences inside is prose even if it breaks off.
     inside = F.instr(line, ". ") + F.instr(line, "? ") + F.instr(line, "! ")
-    short = length <= SHORT_LINE
     lowered = F.lower(line)
+    matches = F.regexp_count(lowered, F.lit(BOILERPLATE)) + lowered.rlike(NAVIGATION).cast("int")
     return (
         ((F.instr(F.lit(ENDINGS), end) == 0) & (inside == 0))
         | (shouts * 4 >= words)
         | (bars * 4 >= words)
         | (symbols * 10 >= length)
-        | (short & (lowered.rlike(BOILERPLATE) | lowered.rlike(NAVIGATION)))
+        | (matches * SHORT_LINE >= length)
     )
 
 

@@ -329,6 +329,20 @@ def test_documents_losing_most_words_go(docs_of):
     assert [r["doc_id"] for r in rules.clean(docs).collect()] == [2]
 
 
+def test_long_lines_are_judged_for_boilerplate(docs_of):
+    terms = "By use of the site you accept our terms of service and our privacy policy. " * 5
+    prose = "She had read the terms of service twice, and then the rain came over the hills. "
+    prose += "Nobody on the road that day could remember a harder storm, or a longer one. " * 3
+    rows = [(1, f"{prose}\n{terms.strip()}"), (2, f"{prose}\nAll rights reserved.")]
+    assert len(terms) > 300 and len(prose) > 300
+    got = {r["doc_id"]: r["lines_removed"] for r in rules.judge(docs_of(rows)).collect()}
+    assert got == {1: 1, 2: 1}
+    assert docs_of(rows).select(rules.line_fails(F.lit(prose)), rules.line_fails(F.lit(terms))).first()[:] == (
+        False,
+        True,
+    )
+
+
 @pytest.mark.parametrize("end", ["\r", "\t", " \x0b", "\x0c \r"])
 def test_white_space_at_line_ends_hides_no_end_mark(docs_of, end):
     lines = [PROSE, "Later that year a letter came for him.", "Nobody could say who had sent it."]
