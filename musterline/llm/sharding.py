@@ -25,7 +25,7 @@ from musterline.llm.common import kept
 
 SHARDS = 40
 SEED = 20_231
-# Bytes of records in a bucket; a row counts at least 16, so a bucket has at most a million.
+# Mean bytes of a shard's buckets; a row counts at least 16, so that is a million rows at most.
 BUCKET_BYTES = 16 << 20
 ROW_BYTES = 16
 
@@ -80,16 +80,23 @@ def place(
     """doc_id, row_hash, copy, size, text_crc32, shard, bucket, slot and grown_shard per row."""
     spark = docs.sparkSession
     rows = kept(records(docs, shards, seed))
-    total = rows.agg(
-        F.sum(F.col("size") * F.col("copies")).alias("bytes"), F.sum("copies").alias("rows")
-    ).first()
-    buckets = max(1, math.ceil((total["bytes"] or 0) / shards / bucket_bytes))
+    # One row per shard. A shard that holds a hot id has more buckets, not larger ones.
+    totals = (
+        rows.groupBy("shard")
+        .agg(F.sum(F.col("size") * F.col("copies")).alias("bytes"), F.sum("copies").alias("rows"))
+        .collect()
+    )
+    counts = [1] * shards
+    for own in totals:
+        counts[own["shard"]] = max(1, math.ceil(own["bytes"] / bucket_bytes))
+    buckets = F.get(F.array(*map(F.lit, counts)), F.col("shard"))
     parts = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((total["rows"] or 0) / 1e6)
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        math.ceil(sum(own["rows"] for own in totals) / 1e6),
     )
     copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     spread = F.xxhash64(F.lit(seed + 1), "doc_id", "row_hash", "copy")
-    scattered = copies.withColumn("bucket", F.pmod(spread, F.lit(buckets)).cast("int"))
+    scattered = copies.withColumn("bucket", F.pmod(spread, buckets).cast("int"))
     record = F.struct("doc_id", "row_hash", "copy", "size", "text_crc32", "grown_shard")
     # Pass one ends in one array per bucket. The number of partitions is fixed and buckets are
     # sorted, so the seeded shuffle meets the same arrays in the same order in every run.

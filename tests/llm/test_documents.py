@@ -269,6 +269,16 @@ def test_sharded_rows_are_the_rows(docs_of, odd_rows):
         sharding.sharded(docs.withColumnRenamed("lang", "slot"))
 
 
+def test_a_hot_id_gets_more_buckets(docs_of):
+    rows = [(None, f"{i:0100d}") for i in range(300)] + [(i, "x" * 100) for i in range(300)]
+    rows += [(None, "y" * 100)] * 300
+    sizes = defaultdict(Counter)
+    for r in sharding.place(docs_of(rows), shards=5, bucket_bytes=2000).collect():
+        sizes[r["shard"]][r["bucket"]] += r["size"]
+    assert max(len(own) for own in sizes.values()) > 30
+    assert all(sum(own.values()) / len(own) <= 2200 for own in sizes.values())
+
+
 # Quality rules
 
 
