@@ -215,3 +215,44 @@ SELECT page_id, host, path, rule,
        coalesce(says, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict
 FROM sy JOIN sc ON sy.s = sc.s, cu
 """
+
+# The unsigned crc32 of the decimal id, by the reflected polynomial 0xEDB88320.
+PREFIX_TRIE = """
+WITH tab AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+                          lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+    FROM range(256) r(i))),
+src AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id
+                            ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT c, list(struct_pack(r := r, x := x) ORDER BY p) AS m FROM src GROUP BY c),
+h AS (
+  SELECT c, m,
+         xor(list_reduce(list_concat([4294967295]::BIGINT[],
+                                     list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+                         lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295) % 9 AS h
+  FROM l, tab),
+r AS (
+  SELECT a.c, list_concat(coalesce(b.m[1:a.h], []), a.m[a.h + 1:]) AS m
+  FROM h a LEFT JOIN l b ON b.c = a.c - a.c % 5),
+n AS (
+  SELECT m[1:d] AS k, d, min(c) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(m) = d), '') AS ends
+  FROM r, unnest(range(0, len(m) + 1)) t(d) GROUP BY ALL),
+w AS (
+  SELECT n.*, coalesce(ch.n, 0) AS n_children, p.conv_id AS parent_conv_id,
+         CASE WHEN n.d = 0 THEN 0 ELSE (n.n_convs - 1) * strlen(n.k[n.d].x) END AS own
+  FROM n
+  LEFT JOIN (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL) ch
+    ON ch.k = n.k AND ch.d = n.d
+  LEFT JOIN n p ON p.d = n.d - 1 AND p.k = n.k[1:n.d - 1]),
+s AS (
+  SELECT k[1:e] AS k, e AS d, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum(own)::BIGINT AS saved
+  FROM w, unnest(range(0, d + 1)) t(e) GROUP BY ALL)
+SELECT w.conv_id, w.d AS depth, w.parent_conv_id, w.n_convs, w.n_children, s.n_leaves,
+       s.saved AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM w JOIN s ON s.k = w.k AND s.d = w.d
+"""

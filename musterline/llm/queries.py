@@ -8,6 +8,7 @@ from musterline.llm import (
     decontaminate,
     mixing,
     oracles,
+    prefix_trie,
     quality,
     rules,
     sharding,
@@ -114,3 +115,9 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
+@query("op13_prefix_trie", oracles.PREFIX_TRIE)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = prefix_trie.shared_openings(read(spark, sf_dir, "conversations"), group=5, most=8)
+    return prefix_trie.trie(paths).drop("ka", "kb")
