@@ -256,3 +256,26 @@ SELECT w.conv_id, w.d AS depth, w.parent_conv_id, w.n_convs, w.n_children, s.n_l
        s.saved AS saved_tokens, sha256(w.ends) AS ends_sha256
 FROM w JOIN s ON s.k = w.k AND s.d = w.d
 """
+
+HARD_NEGATIVES = """
+WITH e AS (
+  SELECT DISTINCT vec_id AS id,
+         CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.id AS a, a.v AS av, a.label = e.label AS same, e.id, 
+         coalesce(list_sum(list_transform(list_zip(a.v, e.v), lambda p: coalesce(p[1] * p[2], 0))), 0)::BIGINT AS score
+  FROM e a, e WHERE a.id % 100 = 0 AND e.id <> a.id),
+p AS (
+  SELECT a, av, id, score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY a, av ORDER BY score DESC, id) <= 5)
+SELECT p.a AS anchor_id, p.id AS positive_id,
+       (row_number() OVER (PARTITION BY p.a, p.av, p.id ORDER BY s.score DESC, s.id))::INT AS rank,
+       s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND s.av = p.av AND NOT s.same
+ AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+QUALIFY rank <= 5
+"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from musterline.llm import (
     decontaminate,
+    hard_negatives,
     mixing,
     oracles,
     prefix_trie,
@@ -121,3 +122,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = prefix_trie.shared_openings(read(spark, sf_dir, "conversations"), group=5, most=8)
     return prefix_trie.trie(paths).drop("ka", "kb")
+
+
+@query("op12_hard_negatives", oracles.HARD_NEGATIVES)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(
+        rows.select(
+            F.col("vec_id").alias("id"),
+            moved.alias("label"),
+            hard_negatives.whole_vectors(rows, "embedding").alias("vec"),
+        ),
+        F.col("id") % 100 == 0,
+    )
