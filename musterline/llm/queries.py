@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from musterline.llm import (
     decontaminate,
     hard_negatives,
+    language_id,
     mixing,
     oracles,
     prefix_trie,
@@ -137,3 +138,15 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         F.col("id") % 100 == 0,
     )
+
+
+@query("op11_language_id")
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = language_id.predicted(docs, language_id.fit(docs))
+    return docs.select("doc_id", found.alias("found")).select(
+        "doc_id",
+        F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"),
+        "found.lang_pred",
+        "found.score",
+    )

@@ -7,7 +7,7 @@ from musterline.llm import queries  # noqa: F401  (registration)
 from musterline.llm.registry import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
-TABLES = ("documents", "benchmark", "labels", "pages")
+TABLES = ("documents", "benchmark", "labels", "pages", "embeddings", "conversations")
 
 
 @pytest.mark.parametrize("name", list(ORACLES))
@@ -17,7 +17,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 @pytest.fixture(scope="module")
