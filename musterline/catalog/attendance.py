@@ -11,9 +11,10 @@ from musterline.functions import codes as cb
 from musterline.functions import columns as cols
 from musterline.functions import dates
 from musterline.operators import cleaning, days, employees, insights, kpis, scorecard, views
-from musterline.plans.attendance import Attendance, analyse_days, analyse_grid
+from musterline.plans.attendance import Attendance, analyse_days, analyse_grid, analyse_grids
+from musterline.session import shared_folder
 from musterline.sinks import reports
-from musterline.sources import derived, read_grid
+from musterline.sources import derived, read_grid, read_grids
 
 DAILY_COLUMNS = "employee_id, employee_name, reporting_manager, email_id, ou_name, functional_lead"
 
@@ -111,6 +112,48 @@ def read_grid_order(spark, sf_dir):
     )
 
 
+def write_grids(spark: SparkSession, sf_dir: str) -> str:
+    """The month as three CSV files in the shared folder, each with a header of its own.
+
+    The second has name and ID swapped and no lead; the third has one more column, comes in another
+    order and starts on the second file's last day, with codes that must not win.
+    """
+    long = derived.attendance_month(spark, sf_dir).withColumn(
+        "header", F.date_format("date", "d-MMM-yy")
+    )
+    parts = {
+        "1": (1, 10, ["employee_id", "employee_name", "reporting_manager", "ou_name", "functional_lead", "relieving_date"]),
+        "2": (11, 20, ["employee_name", "employee_id", "ou_name", "reporting_manager", "relieving_date"]),
+        "3": (20, 31, ["note", "ou_name", "functional_lead", "employee_id", "reporting_manager", "employee_name", "relieving_date"]),
+    }
+    folder = shared_folder(spark, "grids")
+    days = long.withColumn("day", F.dayofmonth("date")).withColumn("note", F.lit("P"))
+    for name, (first, last, columns) in parts.items():
+        again = F.when((F.col("day") == 20) & F.lit(name == "3"), F.lit("ABSENT"))
+        rows = days.where(F.col("day").between(first, last)).withColumn(
+            "raw_code", F.coalesce(again, "raw_code")
+        )
+        headers = [
+            r["header"] for r in rows.select("header", "date").distinct().orderBy("date").collect()
+        ]
+        wide = rows.groupBy(*columns).pivot("header", headers).agg(F.first("raw_code"))
+        wide.write.option("header", True).csv(f"{folder}/{name}")
+    return folder
+
+
+@query(
+    "read_many_grids",
+    with_daily(
+        f"SELECT {DAILY_COLUMNS}, CAST(relieving_date AS VARCHAR) AS relieving_date,"
+        f" CAST(date AS VARCHAR) AS date, code, {sql.METRICS} FROM daily",
+        sql.MANY_GRIDS,
+    ),
+)
+def read_many_grids(spark, sf_dir):
+    grids = read_grids(spark, f"{write_grids(spark, sf_dir)}/*")
+    return dates_as_text(analyse_grids(grids).daily)
+
+
 @query(
     "relieving_dates",
     """SELECT o_orderkey, CASE WHEN (o_orderkey // 4) % 8 = 7 THEN NULL

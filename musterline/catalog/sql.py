@@ -56,6 +56,14 @@ month_rows AS (
     CASE WHEN user_id % 3 = 0 AND c1 <> c2 THEN concat(c1, '/', c2) ELSE c1 END AS raw_code
   FROM ud)"""
 
+# Read back from three grids of which the middle one, of days 11 to 20, has no lead.
+MANY_GRIDS = MONTH.replace("month_rows AS", "one_grid AS") + """,
+month_rows AS (
+  SELECT * REPLACE (
+    CASE WHEN bool_or(day(date) <= 10 OR day(date) >= 20) OVER (PARTITION BY employee_id)
+      THEN functional_lead ELSE 'N/A' END AS functional_lead)
+  FROM one_grid)"""
+
 HISTORY = """month_rows AS (
   SELECT concat('C', CAST(o_custkey AS VARCHAR)) AS employee_id,
     c_name AS employee_name, c_mktsegment AS ou_name,

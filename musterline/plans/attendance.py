@@ -69,6 +69,11 @@ def analyse_grid(
     return _score(cleaning.clean_grid(grid, order, book, consolidate=consolidate), book)
 
 
+def analyse_grids(grids: Sequence[DataFrame], book: CodeBook = AS_OBSERVED) -> Attendance:
+    """From several wide grids with headers of their own, such as one per month."""
+    return _score(cleaning.clean_grids(grids, book), book)
+
+
 def analyse_days(rows: DataFrame, book: CodeBook = AS_OBSERVED) -> Attendance:
     """From rows that are long already: employee, `date`, `raw_code`."""
     return _score(cleaning.clean_days(rows, book), book)

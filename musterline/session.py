@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 SESSION_DEFAULTS = {
@@ -44,3 +46,11 @@ def durable(df: DataFrame) -> DataFrame:
             )
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder under the shared one, for files that later jobs read."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder")
+    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"

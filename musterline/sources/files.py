@@ -7,16 +7,65 @@ first-non-null operators need after a shuffle.
 
 from __future__ import annotations
 
+import re
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 ROW_ORDER = "row_order"
+# Headers read at the same time.
+AT_ONCE = 16
 
 
 def read_grid(spark: SparkSession, path: str | list[str], fmt: str = "csv") -> DataFrame:
-    """Wide employee x day grid."""
+    """Wide employee x day grid of files with one header.
+
+    A CSV file with another header than the first is an error when it is read, not a source of
+    shifted cells; `read_grids` takes such files. Parquet columns are joined by name.
+    """
     return _read(spark, path, fmt, multiline=False)
 
 
+def read_grids(spark: SparkSession, path: str | list[str], fmt: str = "csv") -> list[DataFrame]:
+    """Wide grids, one per header: files whose headers agree are scanned together.
+
+    Reads the header of every file once (the first line, or a Parquet footer); no data are read for
+    that. Files keep their order over all grids through `row_order`. Empty files are left out.
+    """
+    _check_format(fmt)
+    files = _files(spark, path)
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        headers = list(pool.map(lambda file: _header(spark, file, fmt), files))
+    groups: dict[tuple, list[str]] = {}
+    for file, header in zip(files, headers):
+        if header:
+            groups.setdefault(header, []).append(file)
+    if not groups:
+        raise ValueError(f"no file with a header under {path}")
+    return [_read(spark, group, fmt, multiline=False) for group in groups.values()]
+
+
+def _files(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """The files under a path or glob, by name, as paths in which no character is a pattern."""
+    paths = [path] if isinstance(path, str) else list(path)
+    # Only the listing: the content column is not asked for.
+    listed = spark.read.format("binaryFile").load(paths).select("path").distinct()
+    names = sorted(row["path"] for row in listed.collect())
+    return [re.sub(r"([\\\[\]{}*?])", r"\\\1", name) for name in names]
+
+
+def _header(spark: SparkSession, file: str, fmt: str) -> tuple:
+    """What tells a group: column names, for Parquet with their types."""
+    if fmt == "csv":
+        return tuple(spark.read.option("header", True).option("escape", '"').csv(file).columns)
+    return tuple((f.name, f.dataType.simpleString()) for f in spark.read.parquet(file).schema)
+
+
+def _check_format(fmt: str) -> None:
+    if fmt not in ("csv", "parquet"):
+        raise ValueError(f"unknown format {fmt!r}: use 'csv' or 'parquet'")
+
+
 def read_answers(spark: SparkSession, path: str | list[str], fmt: str = "csv") -> DataFrame:
     """Long exit answers. CSV comments may hold line breaks; prefer Parquet for big
     inputs, as a CSV file with line breaks cannot be split."""
@@ -24,17 +73,18 @@ def read_answers(spark: SparkSession, path: str | list[str], fmt: str = "csv") -
 
 
 def _read(spark: SparkSession, path, fmt: str, multiline: bool) -> DataFrame:
+    _check_format(fmt)
     if fmt == "csv":
         frame = (
             spark.read.option("header", True)
+            .option("enforceSchema", False)
             .option("multiLine", multiline)
             .option("escape", '"')
             .csv(path)
         )
-    elif fmt == "parquet":
-        frame = spark.read.parquet(*([path] if isinstance(path, str) else path))
     else:
-        raise ValueError(f"unknown format {fmt!r}: use 'csv' or 'parquet'")
+        paths = [path] if isinstance(path, str) else path
+        frame = spark.read.option("mergeSchema", True).parquet(*paths)
     return with_row_order(frame)
 
 

@@ -1,8 +1,8 @@
 import pytest
 
 from musterline.operators import leavers as lv
-from musterline.plans.attendance import analyse_grid
-from musterline.sources import read_answers, read_grid
+from musterline.plans.attendance import analyse_grid, analyse_grids
+from musterline.sources import read_answers, read_grid, read_grids
 from musterline.sources.derived import attendance_grid, exit_answers
 
 SMALL = "/root/testdata/sf0.001"
@@ -59,3 +59,84 @@ def test_bad_input_is_an_error(spark, tmp_path):
         read_grid(spark, str(tmp_path / "none.csv"))
     with pytest.raises(ValueError, match="unknown format"):
         read_answers(spark, str(tmp_path), "xls")
+
+
+# Months with headers of their own: one more day, name and ID swapped, a column less, one more.
+MONTHS = {
+    "feb [2].csv": "Employee Name,employee_id,1-Feb-26,2-Feb-26,note\nBob,0102,ABSENT,P,x\nAnn,0101,P,CL/SL,y\n",
+    "jan.csv": "Employee ID,Employee Name,Functional Lead,1-Jan-26,2-Jan-26\n0101,Ann,Lea,P,P\n0102,Bob,,P,CL\n",
+    "mar.csv": "Employee Name,Employee ID,Functional Lead,1-Mar-26,2-Mar-26,3-Mar-26,1-Feb-26\nAnne,0101,Lou,P,,SL,LWP\nCid,0103,Lou,P,P,P,P\n",
+    "jan2.csv": "Employee ID,Employee Name,Functional Lead,1-Jan-26,2-Jan-26\n0104,Dot,Lea,CL,P\n",
+    "none.csv": "",
+}
+
+
+def month_rows(frame):
+    return sorted(
+        (r.employee_id, r.employee_name, r.functional_lead, str(r.date), r.code)
+        for r in frame.daily.collect()
+    )
+
+
+EXPECTED = sorted(
+    [
+        ("0101", "Ann", "Lea", "2026-01-01", "P"), ("0101", "Ann", "Lea", "2026-01-02", "P"),
+        ("0102", "Bob", "N/A", "2026-01-01", "P"), ("0102", "Bob", "N/A", "2026-01-02", "CL"),
+        ("0102", "Bob", "N/A", "2026-02-01", "ABSENT"), ("0102", "Bob", "N/A", "2026-02-02", "P"),
+        # The cell of 1 February in the third file comes after that of the first.
+        ("0101", "Ann", "Lea", "2026-02-01", "P"),
+        ("0101", "Ann", "Lea", "2026-02-02", "CL/SL"),
+        ("0101", "Ann", "Lea", "2026-03-01", "P"), ("0101", "Ann", "Lea", "2026-03-03", "SL"),
+        ("0103", "Cid", "Lou", "2026-02-01", "P"), ("0103", "Cid", "Lou", "2026-03-01", "P"),
+        ("0103", "Cid", "Lou", "2026-03-02", "P"), ("0103", "Cid", "Lou", "2026-03-03", "P"),
+        ("0104", "Dot", "Lea", "2026-01-01", "CL"), ("0104", "Dot", "Lea", "2026-01-02", "P"),
+    ]
+)
+
+
+def flat(rows):
+    """Half-day cells come as two rows; here each cell is one."""
+    return sorted({(i, n, lead, d, "CL/SL" if c in ("CL", "SL") and d == "2026-02-02" else c) for i, n, lead, d, c in rows})
+
+
+def test_files_of_different_headers_keep_their_own_dates_and_ids(spark, tmp_path):
+    for name, text in MONTHS.items():
+        (tmp_path / name).write_text(text)
+    grids = read_grids(spark, str(tmp_path))
+    assert len(grids) == 3
+    assert flat(month_rows(analyse_grids(grids))) == flat(EXPECTED)
+    # One grid read with another file's header is an error, not a shift of cells.
+    with pytest.raises(Exception, match="CSV header does not conform|enforceSchema|header"):
+        analyse_grid(read_grid(spark, str(tmp_path))).daily.collect()
+
+
+def test_parquet_files_of_different_columns(spark, tmp_path):
+    # `feb [2]` sorts before `jan`, as the files do above.
+    for name in ("feb [2]", "jan", "mar", "jan2"):
+        lines = [line.split(",") for line in MONTHS[f"{name}.csv"].splitlines()]
+        rows = [[cell or None for cell in line] for line in lines[1:]]
+        frame = spark.createDataFrame(rows, ", ".join(f"`{h}` string" for h in lines[0]))
+        frame.coalesce(1).write.parquet(str(tmp_path / name))
+    grids = read_grids(spark, [str(tmp_path / n) for n in ("feb \\[2\\]", "jan", "mar", "jan2")], "parquet")
+    assert len(grids) == 3
+    assert flat(month_rows(analyse_grids(grids))) == flat(EXPECTED)
+
+
+def test_one_grid_reads_alike_either_way(spark, tmp_path):
+    grid = attendance_grid(spark, SMALL)
+    grid.write.option("header", True).csv(str(tmp_path / "grid"))
+    one = analyse_grid(read_grid(spark, str(tmp_path / "grid")))
+    many = analyse_grids(read_grids(spark, str(tmp_path / "grid")))
+    assert one.daily.select(sorted(one.daily.columns)).exceptAll(many.daily.select(sorted(one.daily.columns))).isEmpty()
+    assert one.daily.count() == many.daily.count()
+
+
+def test_grids_without_a_header_or_id_are_errors(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("")
+    with pytest.raises(ValueError, match="no file with a header"):
+        read_grids(spark, str(tmp_path))
+    (tmp_path / "b.csv").write_text("Name,1-Jan-26\nAnn,P\n")
+    with pytest.raises(ValueError, match="no employee ID"):
+        analyse_grids(read_grids(spark, str(tmp_path)))
+    with pytest.raises(ValueError, match="unknown format"):
+        read_grids(spark, str(tmp_path), "xls")
