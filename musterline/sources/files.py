@@ -12,6 +12,8 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from musterline.sources.records import read_records
+
 ROW_ORDER = "row_order"
 # Headers read at the same time.
 AT_ONCE = 16
@@ -23,7 +25,7 @@ def read_grid(spark: SparkSession, path: str | list[str], fmt: str = "csv") -> D
     A CSV file with another header than the first is an error when it is read, not a source of
     shifted cells; `read_grids` takes such files. Parquet columns are joined by name.
     """
-    return _read(spark, path, fmt, multiline=False)
+    return _read(spark, path, fmt)
 
 
 def read_grids(spark: SparkSession, path: str | list[str], fmt: str = "csv") -> list[DataFrame]:
@@ -42,7 +44,7 @@ def read_grids(spark: SparkSession, path: str | list[str], fmt: str = "csv") ->
             groups.setdefault(header, []).append(file)
     if not groups:
         raise ValueError(f"no file with a header under {path}")
-    return [_read(spark, group, fmt, multiline=False) for group in groups.values()]
+    return [_read(spark, group, fmt) for group in groups.values()]
 
 
 def _files(spark: SparkSession, path: str | list[str]) -> list[str]:
@@ -67,18 +69,20 @@ def _check_format(fmt: str) -> None:
 
 
 def read_answers(spark: SparkSession, path: str | list[str], fmt: str = "csv") -> DataFrame:
-    """Long exit answers. CSV comments may hold line breaks; prefer Parquet for big
-    inputs, as a CSV file with line breaks cannot be split."""
-    return _read(spark, path, fmt, multiline=True)
+    """Long exit answers. CSV comments may hold line breaks; large files are read by many
+    tasks all the same (see `records`)."""
+    if fmt == "csv":
+        header = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        return with_row_order(read_records(spark, path, header.csv(path).columns))
+    return _read(spark, path, fmt)
 
 
-def _read(spark: SparkSession, path, fmt: str, multiline: bool) -> DataFrame:
+def _read(spark: SparkSession, path, fmt: str) -> DataFrame:
     _check_format(fmt)
     if fmt == "csv":
         frame = (
             spark.read.option("header", True)
             .option("enforceSchema", False)
-            .option("multiLine", multiline)
             .option("escape", '"')
             .csv(path)
         )
@@ -93,6 +97,8 @@ def with_row_order(frame: DataFrame) -> DataFrame:
 
     A file that numbers its rows itself keeps its own `row_order`."""
     if ROW_ORDER in frame.columns:
+        if frame.schema[ROW_ORDER].dataType.typeName() == "struct":
+            return frame
         return frame.withColumn(ROW_ORDER, F.col(ROW_ORDER).cast("long"))
     return frame.select(
         "*",

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from musterline.operators import leavers as lv
 from musterline.plans.attendance import analyse_grid, analyse_grids
@@ -140,3 +141,61 @@ def test_grids_without_a_header_or_id_are_errors(spark, tmp_path):
         analyse_grids(read_grids(spark, str(tmp_path)))
     with pytest.raises(ValueError, match="unknown format"):
         read_grids(spark, str(tmp_path), "xls")
+
+
+@pytest.fixture
+def small_blocks(spark):
+    """File splits of a few lines, so that quoted cells cross them."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(name) for name in names]
+    for name in names:
+        spark.conf.set(name, "97")
+    yield
+    for name, value in zip(names, before):
+        spark.conf.set(name, value)
+
+
+COMMENTS = [
+    "plain", "", None, "a, comma", 'said ""yes""'.replace('""', '"'), "two\nlines", "\n\nblank\n",
+    '"', 'odd " quote', "tail\n", "long " * 80 + "\n" * 30 + "end, \"x\" ", " spaces ", "é\nü", "1,2\n3,4", "x\r\ny",
+]
+
+
+def written(rows, header, end="\n"):
+    def cell(value):
+        if value is None:
+            return ""
+        return '"' + value.replace('"', '""') + '"'
+
+    return "".join(end.join([",".join(map(cell, row)) for row in [header, *rows]]) + end)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_records_of_any_split_equal_the_multi_line_reader(spark, tmp_path, small_blocks, end):
+    import random
+
+    rng = random.Random(5)
+    header = ["QUESTION_DESC", "a.b", "CHOICE_OR_COMMENTS"]
+    for name in "ab":
+        rows = [[rng.choice(COMMENTS) for _ in header] for _ in range(150)]
+        # A line of nothing but empty cells is kept; blank lines are not.
+        text = written(rows, header, end) + end + end + written([["last", None, 'no "end"']], header, end).split(end, 1)[1]
+        (tmp_path / f"{name}.csv").write_bytes(text.rstrip("\r\n").encode())
+    whole = (
+        spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path))
+    )
+    mine = read_answers(spark, str(tmp_path))
+    assert mine.rdd.getNumPartitions() > 20
+    assert mine.drop("row_order").columns == whole.columns
+    wanted = [tuple(r) for r in whole.orderBy("_metadata.file_path", F.monotonically_increasing_id()).collect()]
+    got = [tuple(r)[:-1] for r in mine.orderBy("row_order").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, wanted)) and len(got) == 302
+    # Rows of a file keep their order.
+    assert got == wanted
+
+
+def test_answers_with_another_header_are_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("y,x\n1,2\n")
+    with pytest.raises(Exception, match="has the header"):
+        read_answers(spark, str(tmp_path)).collect()
