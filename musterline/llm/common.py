@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -54,6 +55,51 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+# Copies that one row of `each_copy` stands for before it is opened.
+COPIES_AT_ONCE = 4096
+
+
+def whole_rows(docs: DataFrame, **more: Column | str) -> DataFrame:
+    """`row`, the whole row of `docs` as one column, and what is asked for beside it.
+
+    An operator then works on names of its own, whatever the columns of the table are called;
+    `select("row.*")` gives the table's own columns back.
+    """
+    asked = [(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in more.items()]
+    return docs.select(F.struct("*").alias("row"), *asked)
+
+
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """`name`, or if it is taken (in any case of letters) `name_input`, `name_input_input` ..."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_input"
+    return name
+
+
+def quoted(name: str) -> Column:
+    """The column of this very name, dots and back-ticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def each_copy(frame: DataFrame, copies: Column, name: str = "copy") -> DataFrame:
+    """Every row once per copy, numbered from 1 in `name`.
+
+    A row that stands for very many copies is opened in two steps, dealt out anew between
+    them, so no array and no task holds them all.
+    """
+    parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    step = F.lit(COPIES_AT_ONCE).cast("long")
+    last = F.floor((copies - 1) / COPIES_AT_ONCE)
+    blocks = frame.where(copies > 0).withColumn(
+        "__block", F.explode(F.sequence(F.lit(0).cast("long"), last))
+    )
+    inside = F.sequence(
+        F.col("__block") * step + 1, F.least((F.col("__block") + 1) * step, copies.cast("long"))
+    )
+    return blocks.repartition(parts).withColumn(name, F.explode(inside)).drop("__block")
+
+
 def add_words(frame: DataFrame, text: Column, name: str, spaces: str = SPACES) -> DataFrame:
     """Adds the words of a text as an array; null and blank texts have none.
 
@@ -74,6 +120,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def in_fold(doc_id: Column, parts: int, fold: int) -> Column:
+    """Whether the row is of that fold; a null id is of none."""
+    return F.coalesce(remainder(doc_id, parts) == fold, F.lit(False))
+
+
 def remainder(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`: the fold of a row. Null stays null."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts))

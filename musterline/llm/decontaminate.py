@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from musterline.llm.common import add_words, kept, lower_ascii
+from musterline.llm.common import add_words, kept, lower_ascii, whole_rows
 
 # Fixed value: what is not a word character once A-Z are lower-cased.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -222,9 +222,9 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     bad = (
         contamination(docs, items, window)
         .where("n_hit > 0")
-        .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+        .select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"))
         .distinct()
     )
-    rows = docs.select("*", F.xxhash64("text").alias("__text_hash"))
-    same = rows["doc_id"].eqNullSafe(bad["__id"]) & (rows["__text_hash"] == bad["__hash"])
-    return rows.join(bad, same, "left_anti").select(*docs.columns)
+    rows = whole_rows(docs, id="doc_id", text_hash=F.xxhash64("text"))
+    same = rows["id"].eqNullSafe(bad["bad_id"]) & (rows["text_hash"] == bad["bad_hash"])
+    return rows.join(bad, same, "left_anti").select("row.*")

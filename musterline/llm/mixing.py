@@ -10,8 +10,9 @@ the ranges; no task sees a source whole. Equal rows (id, source, text) are count
 travel as one row with a count.
 
 Defined cases: a null source is a source, the last; null and blank texts have size 0 and nothing
-is taken of them; if all sizes are 0 all targets are 0; equal rows share what is taken of them
-evenly, rounded down; an empty table gives an empty result.
+is taken of them; if all sizes are 0 all targets are 0; of equal rows the first copies are taken
+whole, one is cut where the budget ends and none is taken after it; an empty table gives an empty
+result; extra columns, whatever their names, pass through `mixed`.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from musterline.llm.common import WORD, kept
+from musterline.llm.common import WORD, each_copy, kept, whole_rows
 
 WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
@@ -156,10 +157,14 @@ def ordered(
     return sources, started.withColumn("total", total)
 
 
-def part_of() -> Column:
-    """Words of one more, partial repeat that each copy of a row of `ordered` gives."""
-    within = F.least(F.greatest(F.col("budget") - F.col("start"), F.lit(0)), F.col("total"))
-    return F.floor(within / F.col("copies")).cast("long")
+def within_budget() -> Column:
+    """Words of one more, partial repeat that all copies of a row of `ordered` give together."""
+    return F.least(F.greatest(F.col("budget") - F.col("start"), F.lit(0)), F.col("total")).cast("long")
+
+
+def part_of(copy: Column, size: Column, within: Column) -> Column:
+    """What of `within` is this copy's (from 1): the first copies whole, then one cut."""
+    return F.least(F.greatest(within - (copy - 1) * size, F.lit(0)), size)
 
 
 def plan(
@@ -168,10 +173,10 @@ def plan(
     most_epochs: int = MOST_EPOCHS,
     seed: str = SEED,
 ) -> DataFrame:
-    """One row per distinct (doc_id, source, text) with what the mix takes of each copy.
+    """One row per distinct (doc_id, source, text) with what the mix takes of it.
 
-    doc_id, source, text_key, copies, size, source_size, target, epochs (whole repeats) and
-    part (words of one more, partial repeat).
+    doc_id, source, text_key, copies, size, source_size, target, epochs (whole repeats of every
+    copy) and within (words of one more, partial repeat, of all copies together).
     """
     _, rows = ordered(docs, weights, most_epochs, seed)
     return rows.select(
@@ -183,7 +188,7 @@ def plan(
         "source_size",
         "target",
         "epochs",
-        part_of().alias("part"),
+        within_budget().alias("within"),
     )
 
 
@@ -195,31 +200,33 @@ def cuts(
 ) -> DataFrame:
     """One row per source: its epochs, and the row `__edge` at which its budget ends.
 
-    Rows before the edge give a whole repeat more, the edge gives `__edge_part` words, rows
-    behind it nothing. A source without a budget beyond its epochs has no edge.
+    Rows before the edge give a whole repeat more, the `__edge_copies` copies of the edge give
+    `__edge_words` words together, rows behind it nothing. A source without a budget beyond its
+    epochs has no edge.
     """
     sources, rows = ordered(docs, weights, most_epochs, seed)
     ends = (F.col("start") < F.col("budget")) & (F.col("budget") <= F.col("start") + F.col("total"))
     edges = rows.where(ends).select(
         F.col("source").alias("__cut"),
         F.struct("key", "doc_id", "size").alias("__edge"),
-        part_of().alias("__edge_part"),
+        within_budget().alias("__edge_words"),
+        F.col("copies").alias("__edge_copies"),
     )
     return sources.join(edges, _same(sources, edges, {"__source": "__cut"}), "left").select(
-        "__source", F.col("epochs").alias("__epochs"), "__edge", "__edge_part"
+        "__source", F.col("epochs").alias("__epochs"), "__edge", "__edge_words", "__edge_copies"
     )
 
 
 def taken(planned: DataFrame) -> DataFrame:
     """One row per document with the words taken of it, repeats counted."""
-    return planned.select(
+    part = part_of(F.col("copy"), F.col("size"), F.col("within"))
+    return each_copy(planned, F.col("copies")).select(
         "doc_id",
         "size",
         "source_size",
         "target",
-        (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"),
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
-    ).drop("copy")
+        (F.col("epochs") * F.col("size") + part).alias("taken"),
+    )
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -238,31 +245,61 @@ def mixed(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """
     cut = kept(cuts(docs, seed=seed, **options))
     held = cut.agg(
-        F.sum(F.coalesce(F.octet_length("__source"), F.lit(0)) + CUT_BYTES).alias("bytes")
-    ).first()["bytes"]
-    rows = docs.withColumns(
-        {"__size": size_of(F.col("text")), "__key": row_key(F.col("doc_id"), F.md5("text"), seed)}
+        F.sum(F.coalesce(F.octet_length("__source"), F.lit(0)) + CUT_BYTES).alias("bytes"),
+        F.max("__edge_copies").alias("copies"),
+    ).first()
+    rows = whole_rows(
+        docs,
+        doc_id="doc_id",
+        source="source",
+        text="text",
+        size=size_of(F.col("text")),
+        key=row_key(F.col("doc_id"), F.md5("text"), seed),
     )
-    near = F.broadcast(cut) if (held or 0) <= BROADCAST_BYTES else cut
-    own = F.struct(F.col("__key").alias("key"), "doc_id", F.col("__size").alias("size"))
+    near = F.broadcast(cut) if (held["bytes"] or 0) <= BROADCAST_BYTES else cut
+    placed = rows.join(near, _same(rows, cut, {"source": "__source"})).withColumn(
+        "own", F.struct("key", "doc_id", "size")
+    )
+    # A single edge is cut where it lies; copies of an edge are numbered apart.
     part = (
-        F.when(own < F.col("__edge"), F.col("__size"))
-        .when(own == F.col("__edge"), F.col("__edge_part"))
+        F.when(F.col("own") < F.col("__edge"), F.col("size"))
+        .when((F.col("own") == F.col("__edge")) & (F.col("__edge_copies") == 1), F.col("__edge_words"))
         .otherwise(0)
     )
-    placed = rows.join(near, _same(rows, cut, {"source": "__source"})).withColumn("__part", part)
-    repeats = F.col("__epochs") + (F.col("__part") > 0).cast("long")
+    repeats = F.col("__epochs") + (F.col("part") > 0).cast("long")
     # A sequence from 1 to 0 would count down.
-    out = placed.where(repeats > 0).withColumn(
-        "__repeat", F.explode(F.sequence(F.lit(1).cast("long"), repeats))
-    )
-    short = (F.col("__repeat") > F.col("__epochs")) & (F.col("__part") < F.col("__size"))
-    out = out.withColumn(
-        "text", F.when(short, first_words(F.col("text"), F.col("__part"))).otherwise(F.col("text"))
+    repeated = placed.withColumn("part", part).where(repeats > 0).withColumn(
+        "repeat", F.explode(F.sequence(F.lit(1).cast("long"), repeats))
     )
+    words = F.when(F.col("repeat") > F.col("__epochs"), F.col("part")).otherwise(F.col("size"))
+    out = repeated.select("row", "text", "size", words.alias("words"))
+    if (held["copies"] or 0) > 1:
+        out = out.unionByName(_copies_at_edges(placed))
+    short = F.col("words") < F.col("size")
+    text = F.when(short, first_words(F.col("text"), F.col("words"))).otherwise(F.col("text"))
+    changed = F.col("row").withField("text", text)
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn(
-            "n_chars", F.when(short, F.length("text").cast(kind)).otherwise(F.col("n_chars"))
+        changed = changed.withField(
+            "n_chars",
+            F.when(short, F.length(text).cast(kind)).otherwise(F.col("row.n_chars")),
         )
-    return out.select(*docs.columns)
+    return out.select(changed.alias("row")).select("row.*")
+
+
+def _copies_at_edges(placed: DataFrame) -> DataFrame:
+    """The further repeats of edges with several copies: whole ones, then one cut.
+
+    Copies agree in id, source and text; any one of them stands for all. There is one edge per
+    source, taken together before the shuffle.
+    """
+    edges = (
+        placed.where((F.col("own") == F.col("__edge")) & (F.col("__edge_copies") > 1))
+        .groupBy("source", "own", "__edge_words")
+        .agg(F.first("row").alias("row"), F.first("text").alias("text"))
+        .withColumn("size", F.col("own.size"))
+    )
+    copies = F.ceil(F.col("__edge_words") / F.col("size"))
+    return each_copy(edges, copies).select(
+        "row", "text", "size", part_of(F.col("copy"), F.col("size"), F.col("__edge_words")).alias("words")
+    )

@@ -84,14 +84,15 @@ _NAVIGATION = (
     "^(home|menu|login|log in|sign in|register|next|previous|back to top|skip to content"
     "|share|search)\\b"
 )
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _FAILS = f"""(
-  (position(right(rtrim(l, ' '), 1) IN '.!?:;…。！？"'')]}}”’»') = 0
+  (position(right(rtrim(l, {_BLANKS}), 1) IN '.!?:;…。！？"'')]}}”’»') = 0
    AND position('. ' IN l) + position('? ' IN l) + position('! ' IN l) = 0)
   OR (length(l) - length(replace(l, '!!', ''))) / 2 * 4 >= length(l) - length(replace(l, ' ', '')) + 1
   OR (length(l) - length(replace(l, ' | ', ''))) / 3 * 4 >= length(l) - length(replace(l, ' ', '')) + 1
   OR (length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g'))) * 10 >= length(l)
-  OR (length(l) <= 200 AND (regexp_matches(lower(l), '{_BOILERPLATE}')
-                            OR regexp_matches(lower(l), '{_NAVIGATION}'))))"""
+  OR (len(regexp_extract_all(lower(l), '{_BOILERPLATE}'))
+      + regexp_matches(lower(l), '{_NAVIGATION}')::INT) * 200 >= length(l))"""
 
 RULES = f"""
 WITH d AS (
@@ -175,8 +176,7 @@ rl AS (
     WHEN {_fits("net", "/es/")} THEN 'net/es/'
     WHEN {_fits("net", "/fr/")} THEN 'net/fr/'
     WHEN {_fits("com", "/")} THEN 'com/' END AS rule,
-    regexp_replace(regexp_replace(translate(host || path, {_LOWER}), '[0-9]', '0', 'g'),
-                   '[^a-z0./\\-_:%]', '*', 'g') AS s FROM n),
+    translate(host || path, {_LOWER}) AS s FROM n),
 sy AS (
   SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
                  WHEN rule IS NOT NULL THEN 'block' END AS says, substr(md5(s), 1, 1) < '3' AS held FROM rl),
@@ -187,11 +187,12 @@ ad AS (
          count(*) FILTER (says = 'block' AND held) AS hb
   FROM sy GROUP BY s),
 gr AS (
-  SELECT s, na, nb, substr('^^^' || s || '$', i, 4) AS gram
+  SELECT s, na, nb, substr(repeat(chr(2), 3) || s || chr(3), i, 4) AS gram
   FROM ad, unnest(range(1, length(s) + 2)) t(i)),
+ab AS (SELECT 1.0::DOUBLE / count(DISTINCT substr(gram, 4, 1))::DOUBLE AS p FROM gr),
 g0 AS (
-  SELECT gram, sum(na) AS a, sum(nb) AS b, (1.0::DOUBLE / 36.0::DOUBLE) AS pa,
-         (1.0::DOUBLE / 36.0::DOUBLE) AS pb FROM gr GROUP BY gram),
+  SELECT gram, sum(na) AS a, sum(nb) AS b, any_value(p) AS pa, any_value(p) AS pb
+  FROM gr, ab GROUP BY gram),
 {_smoothing()},
 ra AS (SELECT gram, round((ln(pa) - ln(pb)) * 1e9::DOUBLE)::BIGINT AS ratio FROM g4),
 sc AS (

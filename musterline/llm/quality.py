@@ -22,7 +22,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from musterline.llm.common import by_value, send
+from musterline.llm.common import by_value, free_name, quoted, send
 from musterline.llm.samples import agreed, class_weights, labelled
 
 DICTIONARY_BYTES = 64 * 1024
@@ -179,12 +179,12 @@ def fit(
 def score(docs: DataFrame, model: QualityModel, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep` and `score`, the probability of label 1, for every row.
 
+    A kept column named score comes out as `score_input`.
+
     A scan and one pass of Python over Arrow batches; nothing is shuffled. The model
     (dictionaries of at most 64 KB each) is sent once per executor.
     """
     shared = send(docs.sparkSession, model)
-    if "score" in keep:
-        raise ValueError("a kept column is named 'score'")
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -193,4 +193,5 @@ def score(docs: DataFrame, model: QualityModel, keep: list[str], text: str = "te
         for batch in batches:
             yield pd.Series(scores_of(fitted, ready, batch.tolist()))
 
-    return docs.select(*keep, scored(F.col(text)).alias("score"))
+    own = [quoted(name).alias(free_name(name, ["score"])) for name in keep]
+    return docs.select(*own, scored(quoted(text)).alias("score"))

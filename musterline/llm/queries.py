@@ -20,7 +20,7 @@ from musterline.llm import (
     url_filter,
     warc,
 )
-from musterline.llm.common import read, remainder
+from musterline.llm.common import in_fold, read
 from musterline.llm.registry import query
 
 ACCEPT = 0.3
@@ -32,7 +32,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, read(spark, sf_dir, "labels"))
     return quality.score(docs, model, ["doc_id"]).select(
         "doc_id",
-        (remainder(F.col("doc_id"), 5) == 0).alias("held_out"),
+        in_fold(F.col("doc_id"), 5, 0).alias("held_out"),
         "score",
         (F.col("score") >= ACCEPT).cast("int").alias("predicted"),
     )
@@ -84,7 +84,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     threshold = toxicity.threshold_of(model, F.col("lang"))
     return scored.select(
         "doc_id",
-        (remainder(F.col("doc_id"), 4) == 2).alias("held_out"),
+        in_fold(F.col("doc_id"), 4, 2).alias("held_out"),
         "score",
         (F.col("score") >= ACCEPT).cast("int").alias("predicted"),
         threshold.alias("threshold"),
@@ -146,7 +146,7 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.predicted(docs, language_id.fit(docs))
     return docs.select("doc_id", found.alias("found")).select(
         "doc_id",
-        F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"),
+        in_fold(F.col("doc_id"), 4, 2).alias("held_out"),
         "found.lang_pred",
         "found.score",
     )

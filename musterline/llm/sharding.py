@@ -12,7 +12,8 @@ buckets of its shard. `sharded` brings the rows themselves to their places.
 
 Defined cases: rows with a null id share one shard (the law knows only the id) but spread over its
 buckets; a null text has 16 bytes and crc32 0; ties cannot occur, as the shuffle starts
-from a sorted bucket; reruns with the same settings agree; an empty table gives an empty result.
+from a sorted bucket; reruns with the same settings agree; an empty table gives an empty result;
+extra columns, whatever their names, pass through `sharded` (see there for shard and slot).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from musterline.llm.common import kept
+from musterline.llm.common import each_copy, free_name, kept, quoted, whole_rows
 
 SHARDS = 40
 SEED = 20_231
@@ -49,7 +50,7 @@ def shards_of(doc_id: Column, shards: int, seed: int = SEED) -> Column:
 def row_hash(docs: DataFrame) -> Column:
     """Hash of a whole row; maps, which have no order, enter as their sorted entries."""
     columns = [
-        F.array_sort(F.map_entries(F.col(f"`{name}`"))) if kind.startswith("map") else F.col(f"`{name}`")
+        F.array_sort(F.map_entries(quoted(name))) if kind.startswith("map") else quoted(name)
         for name, kind in docs.dtypes
     ]
     # Null and empty columns must differ, so which are null enters as well.
@@ -94,7 +95,7 @@ def place(
         int(spark.conf.get("spark.sql.shuffle.partitions")),
         math.ceil(sum(own["rows"] for own in totals) / 1e6),
     )
-    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    copies = each_copy(rows, F.col("copies"))
     spread = F.xxhash64(F.lit(seed + 1), "doc_id", "row_hash", "copy")
     scattered = copies.withColumn("bucket", F.pmod(spread, buckets).cast("int"))
     record = F.struct("doc_id", "row_hash", "copy", "size", "text_crc32", "grown_shard")
@@ -130,27 +131,36 @@ def sharded(
 ) -> DataFrame:
     """The rows of `docs` with shard and slot, ready to be written bucket by bucket.
 
-    Rows come in the order of their slots within a task; a bucket lies in one task.
+    Rows come in the order of their slots within a task; a bucket lies in one task. A table's
+    own column named shard or slot is kept as `shard_input` or `slot_input`.
     """
-    for name in ("shard", "slot"):
-        if name in docs.columns:
-            raise ValueError(f"the table has a column {name!r} already")
+    own = docs.columns
+    names = [
+        free_name(name, ["shard", "slot", *(o for o in own if o != name)])
+        if name.lower() in ("shard", "slot")
+        else name
+        for name in own
+    ]
     places = place(docs, shards, bucket_bytes, seed).select(
-        F.col("doc_id").alias("__id"),
-        F.col("row_hash").alias("__hash"),
-        F.col("bucket").alias("__bucket"),
+        F.col("doc_id").alias("place_id"),
+        F.col("row_hash").alias("place_hash"),
+        "bucket",
         "shard",
         "slot",
     )
-    rows = docs.select("*", row_hash(docs).alias("__row_hash"))
+    rows = whole_rows(docs, id="doc_id", row_hash=row_hash(docs))
     # Copies of a row are equal in every column: one is kept and meets all their places.
-    single = rows.dropDuplicates(["doc_id", "__row_hash"])
-    same = single["doc_id"].eqNullSafe(places["__id"]) & (single["__row_hash"] == places["__hash"])
+    single = rows.dropDuplicates(["id", "row_hash"])
+    same = single["id"].eqNullSafe(places["place_id"]) & (
+        single["row_hash"] == places["place_hash"]
+    )
     return (
         single.join(places, same)
-        .repartition("shard", "__bucket")
+        .repartition("shard", "bucket")
         .sortWithinPartitions("shard", "slot")
-        .select(*docs.columns, "shard", "slot")
+        .select(
+            *[F.col("row").getField(o).alias(name) for o, name in zip(own, names)], "shard", "slot"
+        )
     )
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from musterline.llm.common import by_value, kept
+from musterline.llm.common import by_value, kept, whole_rows
 from musterline.llm.components import components
 
 SEED = 42
@@ -228,13 +228,13 @@ def deduplicate(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame
     """
     chosen = (
         groups(fingerprints(docs, shingle), radius)
-        .select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
+        .select(
+            F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")
+        )
         .distinct()
     )
-    rows = docs.select("*", F.xxhash64("text").alias("__text_hash"))
-    same = rows["doc_id"].eqNullSafe(chosen["__id"]) & (rows["__text_hash"] == chosen["__hash"])
+    rows = whole_rows(docs, id="doc_id", text_hash=F.xxhash64("text"))
+    same = rows["id"].eqNullSafe(chosen["first_id"]) & (rows["text_hash"] == chosen["first_hash"])
     return (
-        rows.join(chosen, same, "left_semi")
-        .dropDuplicates(["doc_id", "__text_hash"])
-        .select(*docs.columns)
+        rows.join(chosen, same, "left_semi").dropDuplicates(["id", "text_hash"]).select("row.*")
     )

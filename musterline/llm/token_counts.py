@@ -27,7 +27,7 @@ import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame, functions as F
 
-from musterline.llm.common import by_value, send
+from musterline.llm.common import by_value, free_name, quoted, send
 
 # Fixed value: the pattern that goes with the vocabulary.
 PATTERN = (
@@ -216,7 +216,8 @@ def counts(
 ) -> DataFrame:
     """The columns `keep` and token counts before and after `edits` for every row.
 
-    `edits` is an array of struct(start, end, text) in characters of the text as it stands.
+    `edits` is an array of struct(start, end, text) in characters of the text as it stands. A
+    kept column named like a count comes out with `_input` after its name.
     """
     shared = send(docs.sparkSession, vocabulary)
 
@@ -228,7 +229,11 @@ def counts(
             rows = [count_one(t, e, counter) for t, e in zip(texts.tolist(), changes.tolist())]
             yield pd.DataFrame(rows, columns=names)
 
-    return docs.select(*keep, counted(F.col("text"), edits).alias("__c")).select(*keep, "__c.*")
+    made = [column.split()[0] for column in RESULT.split(", ")]
+    own = [quoted(name).alias(free_name(name, made)) for name in keep]
+    return docs.select(F.struct(*own).alias("own"), counted(F.col("text"), edits).alias("c")).select(
+        "own.*", "c.*"
+    )
 
 
 def spread_edits(text: Column) -> Column:

@@ -13,7 +13,8 @@ the rarer class: a language moves from the common threshold to its own as its la
 Defined cases: null and empty texts score as a text with no words; a null or unseen language
 takes the common threshold; repeated rows score alike; a sample that lacks a class gives the
 constant score 0, so nothing is rejected; if the rows the net was not fitted on lack a class, all
-thresholds are `COMMON`; an empty table gives an empty result.
+thresholds are `COMMON`; a null id is of no fold; an empty table gives an empty result; extra
+columns, whatever their names, pass through `reject`.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from musterline.llm import toxicity_net as net
-from musterline.llm.common import by_value, remainder, send
+from musterline.llm.common import by_value, remainder, send, whole_rows
 from musterline.llm.samples import agreed, class_weights, labelled
 
 # Rows of each class that may reach the driver, and the longest text among them.
@@ -191,7 +192,6 @@ def threshold_of(model: ToxicityModel, language: Column) -> Column:
 
 def reject(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The rows of `docs` that are not rejected, with their own columns."""
-    names = docs.columns
-    marked = docs.select("*", score_of(docs, model).alias("__score"))
-    kept = marked.where(F.col("__score") < threshold_of(model, F.col("lang")))
-    return kept.select(*names)
+    marked = whole_rows(docs, lang="lang", score=score_of(docs, model))
+    kept = marked.where(F.col("score") < threshold_of(model, F.col("lang")))
+    return kept.select("row.*")

@@ -5,13 +5,17 @@ variable order, one of accepted and one of rejected URLs, both learned from the
 decide. Their log-likelihood difference, divided by the length, is compared with a cut that is
 calibrated on URLs kept out of the counts.
 
-Models are tables. Characters are mapped to 36 symbols, so there are at most 36**4 grams and the
-table of their log ratios has a fixed bound (1.7 million rows); it alone is broadcast. Each
-distinct host and path is scored once.
+Models are tables of grams of the URLs' own characters, in any script (A-Z lower-cased), which grow
+with the URLs. A level holds the grams of one length, and leans on the level below by a join on
+the shorter gram, of which as many grams end alike as there are characters. Log ratios are
+joined to the grams of each distinct address; the table is broadcast while it is
+counted to be small, beyond that grams with very many rows are split. An address repeats in
+any number of pages and is scored once.
 
 Defined cases: a null URL and one without `://` have empty host and path; an empty host fits no
 rule and its text is scored like any other (only an end mark); repeated rows get
-one verdict; without URLs of both kinds the difference is 0 and the cut 0, so the verdict is allow;
+one verdict; characters that no decided URL holds are as likely in both models; other columns are
+not looked at, whatever their names; without URLs of both kinds the difference is 0 and the cut 0, so the verdict is allow;
 an empty table gives an empty result.
 """
 
@@ -21,7 +25,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from musterline.llm.common import UPPER, kept, lower_ascii
+from musterline.llm.common import kept, lower_ascii
+from musterline.operators.skew import add_split, copy_per_split, hot_keys
 
 # The rules as (verdict, host, path).
 RULES = (
@@ -31,12 +36,13 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-# Symbols: letters, one for all digits, five marks, one for the rest, and start and end.
-LETTERS = UPPER.lower()
-MARKS = "./-_:%"
-REST, START, END = "*", "^", "$"
-SYMBOLS = len(LETTERS) + 1 + len(MARKS) + 3
+# Marks of start and end, which no URL holds.
+START, END = "\x02", "\x03"
 ORDER = 3
+# Grams whose log ratios may be broadcast: at most about 100 bytes each.
+BROADCAST_GRAMS = 500_000
+# A gram or an address with more rows than this (and a ten-thousandth of all) is split.
+SPLIT_ROWS = 100_000
 # Weight of the shorter context in each smoothing step.
 BELIEF = 2.0
 # Addresses whose md5 starts below this digit are kept for the calibration (3 of 16).
@@ -68,17 +74,11 @@ def ruled(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     return named.select("*", rule.alias("rule"), says.alias("says"))
 
 
-def symbols(host: Column, path: Column) -> Column:
-    """Host and path in the model's alphabet."""
-    text = lower_ascii(F.concat(host, path))
-    digits = F.regexp_replace(text, "[0-9]", "0")
-    return F.regexp_replace(digits, r"[^a-z0./\-_:%]", REST)
-
-
 def with_grams(frame: DataFrame) -> DataFrame:
-    """One row per gram: the symbol and the three before it."""
+    """One row per gram: the character and the three before it."""
     framed = F.concat(F.lit(START * ORDER), F.col("symbols"), F.lit(END))
-    cut = frame.withColumn("__chars", F.split(framed, ""))
+    # By code points: a split would tear those beyond the basic plane.
+    cut = frame.withColumn("__chars", F.regexp_extract_all(framed, F.lit("(?s)."), F.lit(0)))
     grams = F.transform(
         F.slice("__chars", 1, F.size("__chars") - ORDER),
         lambda c, i: F.concat(c, *[F.get("__chars", i + k) for k in range(1, ORDER + 1)]),
@@ -90,35 +90,45 @@ def log_ratios(grams: DataFrame) -> DataFrame:
     """(gram, ratio): log of the accepted over the rejected model's probability, in 1e-9.
 
     `grams` has each gram once, with its `allow` and `block` counts. Every order's probability
-    leans on that of the next shorter context.
+    leans on that of the next shorter context, the lowest on an even one.
     """
-    frame = grams
-    totals = grams.agg(
-        F.sum("allow").alias("allow"), F.sum("block").alias("block")
-    )
-    for kind in ("allow", "block"):
-        frame = frame.withColumn(
-            f"p_{kind}", F.lit(1.0 / SYMBOLS)
-        ).withColumn(f"all_{kind}", totals.select(kind).scalar())
+    figures = grams.agg(
+        F.count_distinct(F.substring("gram", ORDER + 1, 1)).alias("alphabet"),
+        F.sum("allow").alias("allow"),
+        F.sum("block").alias("block"),
+    ).first()
+    lower = None
     for order in range(ORDER + 1):
         suffix = F.substring("gram", ORDER + 1 - order, order + 1)
-        context = F.substring("gram", ORDER + 1 - order, order)
-        own = grams.groupBy(suffix.alias("suffix")).agg(
+        level = grams.groupBy(suffix.alias("suffix")).agg(
             F.sum("allow").alias("n_allow"), F.sum("block").alias("n_block")
         )
-        frame = frame.withColumn("suffix", suffix).join(own, "suffix").drop("suffix")
-        if order:
+        if lower is None:
+            even = F.lit(1.0) / F.lit(float(figures["alphabet"] or 1))
+            level = level.withColumns(
+                {f"p_{k}": even for k in ("allow", "block")}
+                | {f"c_{k}": F.lit(figures[k] or 0) for k in ("allow", "block")}
+            )
+        else:
+            context = F.substring("gram", ORDER + 1 - order, order)
             before = grams.groupBy(context.alias("context")).agg(
                 F.sum("allow").alias("c_allow"), F.sum("block").alias("c_block")
             )
-            frame = frame.withColumn("context", context).join(before, "context").drop("context")
-        for kind in ("allow", "block"):
-            seen = F.col(f"c_{kind}") if order else F.col(f"all_{kind}")
-            chance = (F.col(f"n_{kind}") + BELIEF * F.col(f"p_{kind}")) / (seen + BELIEF)
-            frame = frame.withColumn(f"p_{kind}", chance)
-        frame = frame.drop("n_allow", "n_block", "c_allow", "c_block")
+            shorter = lower.withColumnRenamed("suffix", "shorter")
+            level = (
+                level.withColumns(
+                    {"shorter": F.expr("substring(suffix, 2)"), "context": F.substring("suffix", 1, order)}
+                )
+                .join(shorter, "shorter")
+                .join(before, "context")
+            )
+        chances = {
+            f"p_{k}": (F.col(f"n_{k}") + BELIEF * F.col(f"p_{k}")) / (F.col(f"c_{k}") + BELIEF)
+            for k in ("allow", "block")
+        }
+        lower = level.withColumns(chances).select("suffix", *chances)
     ratio = F.round((F.log("p_allow") - F.log("p_block")) * UNIT).cast("long")
-    return frame.select("gram", ratio.alias("ratio"))
+    return lower.select(F.col("suffix").alias("gram"), ratio.alias("ratio"))
 
 
 def scores(addresses: DataFrame) -> DataFrame:
@@ -128,16 +138,23 @@ def scores(addresses: DataFrame) -> DataFrame:
     """
     grams = with_grams(addresses.select("symbols", "allow", "block"))
     counts = kept(
-        grams.groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
-    )
-    # At most SYMBOLS ** (ORDER + 1) rows, whatever the number of URLs.
-    ratios = F.broadcast(kept(log_ratios(counts)))
-    return (
-        with_grams(addresses.select("symbols"))
-        .join(ratios, "gram")
-        .groupBy("symbols")
-        .agg((F.sum("ratio") / F.count("*") / UNIT).alias("score"))
+        grams.groupBy("gram").agg(
+            F.sum("allow").alias("allow"), F.sum("block").alias("block"), F.count("*").alias("rows")
+        )
     )
+    ratios = kept(log_ratios(counts))
+    own = with_grams(addresses.select("symbols"))
+    if ratios.count() <= BROADCAST_GRAMS:
+        found = own.join(F.broadcast(ratios), "gram").withColumn("n", F.lit(1))
+    else:
+        # An address's equal grams travel as one row.
+        own = own.groupBy("symbols", "gram").agg(F.count("*").alias("n"))
+        hot = hot_keys(counts, ["gram"], "rows", SPLIT_ROWS)
+        found = add_split(own, hot, ["gram"], "symbols").join(
+            copy_per_split(ratios, hot, ["gram"]), ["gram", "split"]
+        )
+    total = F.sum(F.col("ratio") * F.col("n")) / F.sum("n") / UNIT
+    return found.groupBy("symbols").agg(total.alias("score"))
 
 
 def cut_of(steps: list[tuple[int, int, int]]) -> float:
@@ -165,7 +182,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     """page_id, host, path, rule, verdict and score (null where a rule decides)."""
     named = kept(
         ruled(pages, rules)
-        .withColumn("symbols", symbols(F.col("host"), F.col("path")))
+        .withColumn("symbols", lower_ascii(F.concat("host", "path")))
         # The fold goes by address, so copies of one are never on both sides.
         .withColumn("held", F.substring(F.md5("symbols"), 1, 1) < HELD_BELOW)
     )
@@ -180,6 +197,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
             rows("block", False).alias("block"),
             rows("allow", True).alias("held_allow"),
             rows("block", True).alias("held_block"),
+            F.count("*").alias("pages"),
         )
     )
     scored = kept(addresses.join(scores(addresses), "symbols"))
@@ -193,7 +211,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     )
     cut = cut_of([(r["step"], r["allow"], r["block"]) for r in steps])
     own = F.when(F.col("score") >= cut, "allow").otherwise("block")
-    return named.join(scored.select("symbols", "score"), "symbols").select(
+    # One address, such as the empty one, may be that of very many pages.
+    hot = hot_keys(addresses, ["symbols"], "pages", SPLIT_ROWS)
+    single = copy_per_split(scored.select("symbols", "score"), hot, ["symbols"])
+    return add_split(named, hot, ["symbols"], "page_id").join(single, ["symbols", "split"]).select(
         "page_id",
         "host",
         "path",

@@ -1,16 +1,18 @@
 """Operators over documents against brute force."""
 
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from musterline.llm import decontaminate, mixing, rules, sharding, simhash, token_counts
+from musterline.llm import common, decontaminate, mixing, oracles, rules, sharding, simhash, token_counts
 
 LETTERS = "abcdefghij"
 
@@ -189,12 +191,14 @@ def test_mix_meets_its_targets(spark, docs_of, odd_rows):
     for r in planned:
         assert r["source_size"] == sizes[r["source"]]
         assert r["target"] == pytest.approx(want[r["source"]])
-        words = r["epochs"] * r["size"] + r["part"]
-        assert 0 <= words <= 3 * r["size"]
-        got[r["source"]] += words * r["copies"]
+        assert 0 <= r["within"] <= r["size"] * r["copies"]
+        got[r["source"]] += r["epochs"] * r["size"] * r["copies"] + r["within"]
     for source, target in want.items():
-        assert target - 6 <= got[source] <= target
-    assert mixing.taken(mixing.plan(docs)).count() == len(rows)
+        assert got[source] == math.floor(round(target, 6))
+    taken = mixing.taken(mixing.plan(docs)).collect()
+    assert Counter(r["doc_id"] for r in taken) == Counter(r[0] for r in rows)
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in taken)
+    assert sum(r["taken"] for r in taken) == sum(got.values())
     assert sorted(map(str, planned)) == sorted(map(str, mixing.plan(docs.repartition(7)).collect()))
 
 
@@ -209,13 +213,36 @@ def test_mixed_rows_hold_what_the_plan_takes(docs_of, monkeypatch, most_bytes):
     assert out.columns == docs.columns
     planned = Counter()
     for r in mixing.plan(docs).collect():
-        planned[r["doc_id"]] += (r["epochs"] * r["size"] + r["part"]) * r["copies"]
+        planned[r["doc_id"]] += r["epochs"] * r["size"] * r["copies"] + r["within"]
     words = Counter()
     for r in out.collect():
         words[r["doc_id"]] += len((r["text"] or "").split())
     assert {i: words[i] for i in planned} == dict(planned)
 
 
+@pytest.mark.parametrize("at_once", [4096, 7])
+def test_a_budget_that_ends_in_copies_is_met_to_the_word(spark, docs_of, monkeypatch, at_once):
+    monkeypatch.setattr(common, "COPIES_AT_ONCE", at_once)
+    # One row of 10 words 50 times; its source's target of 359 words is no multiple of anything.
+    rows = [(1, "ten words " * 5, "a")] * 50 + [(10 + i, f"w{i}", "b") for i in range(218)]
+    docs = docs_of(rows)
+    (target,) = {r["target"] for r in mixing.plan(docs).collect() if r["source"] == "a"}
+    whole, rest = divmod(math.floor(target), 10)
+    taken = sorted(r["taken"] for r in mixing.taken(mixing.plan(docs)).collect() if r["doc_id"] == 1)
+    assert taken == sorted([10] * whole + [rest] * (rest > 0) + [0] * (50 - whole - (rest > 0)))
+    lengths = sorted(len(r["text"].split()) for r in mixing.mixed(docs).where("doc_id = 1").collect())
+    assert lengths == sorted([10] * whole + [rest] * (rest > 0)) and 0 < whole < 50
+    # The same by the SQL of the query.
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    connection.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    cursor = connection.execute(oracles.MIXING)
+    names = [c[0] for c in cursor.description]
+    theirs = sorted((r[names.index("doc_id")], r[names.index("taken")]) for r in cursor.fetchall())
+    mine = sorted((r["doc_id"], r["taken"]) for r in mixing.taken(mixing.plan(docs)).collect())
+    assert mine == theirs
+
+
 def test_mixing_an_empty_table(docs_of):
     assert mixing.mixed(docs_of([])).count() == 0
 
@@ -265,8 +292,9 @@ def test_sharded_rows_are_the_rows(docs_of, odd_rows):
     out = sharding.sharded(docs, shards=3)
     assert Counter(map(tuple, out.select(*docs.columns).collect())) == Counter(map(tuple, docs.collect()))
     assert len(set(map(tuple, out.select("shard", "slot").collect()))) == 2 * len(odd_rows)
-    with pytest.raises(ValueError):
-        sharding.sharded(docs.withColumnRenamed("lang", "slot"))
+    named = sharding.sharded(docs.withColumnsRenamed({"lang": "slot", "source": "SHARD"}))
+    assert named.columns == ["doc_id", "text", "slot_input", "SHARD_input", "n_chars", "shard", "slot"]
+    assert Counter(tuple(r)[:5] for r in named.collect()) == Counter(map(tuple, docs.collect()))
 
 
 def test_a_hot_id_gets_more_buckets(docs_of):
@@ -403,3 +431,27 @@ def test_counts_of_odd_rows(docs_of, odd_rows, counter):
     )
     with pytest.raises(ValueError):
         token_counts.count_one("abc", [{"start": 2, "end": 9, "text": ""}], counter)
+
+
+# Rules against their SQL, on rows that the given tables lack
+
+
+def test_rules_equal_their_sql_on_odd_lines(docs_of, odd_rows):
+    long = "this paragraph is released under the terms and it goes on " * 9
+    rows = [
+        (1, "A sentence ends here.\r\nAnother one ends too!\r\n"),
+        (2, "tabs behind the mark.\t\nand none\t\n no mark at all \x0b\nblanks.   "),
+        (3, long),
+        (4, long + " all rights reserved. powered by us. privacy policy."),
+        (5, "Home | About | Contact | Imprint | Search\nhome sweet home is where the heart is and was.\n" * 3),
+        (6, "menu\n\n\nPrices: $5 & $6 * #7 |\n!!! !!! so loud !! it is !!"),
+        (7, "x " * 30 + "\n" + "y. " * 30),
+    ]
+    docs = docs_of(rows + odd_rows)
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    connection.executemany("INSERT INTO documents VALUES (?, ?)", [(r[0], r[1]) for r in rows + odd_rows])
+    cursor = connection.execute(oracles.RULES)
+    names = [c[0] for c in cursor.description]
+    mine = rules.judge(docs).select(*names).collect()
+    assert sorted(map(repr, map(tuple, mine))) == sorted(map(repr, cursor.fetchall()))

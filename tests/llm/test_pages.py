@@ -152,3 +152,36 @@ def test_the_cut_has_the_least_error():
     assert url_filter.cut_of([]) == 0.0
     assert url_filter.cut_of([(-3, 0, 5), (2, 5, 0)]) == 0.0
     assert url_filter.cut_of([(5, 0, 5), (9, 5, 0)]) == pytest.approx(0.09)
+
+
+SCRIPTS = [f"https://{h}.{top}/{p}" for h, top, p in [
+    ("пример", "com", "страница/один"), ("пример", "net", "fr/две"), ("例子", "net", "es/文章"),
+    ("例子", "com", "文章一"), ("a1", "com", "x9"), ("a2", "net", "fr/x8"), ("📚📖", "net", "es/📚"),
+] for _ in range(1)]
+
+
+def test_urls_in_any_script_equal_the_sql(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from musterline.llm import oracles
+    from musterline.llm.queries import op9_urls
+
+    own = SCRIPTS + [u + str(i) for i in range(30) for u in SCRIPTS]
+    own += ["http://другой.рф/путь", "http://别的.中国/路径", "http://xx.org/ab", None, "", "no address"] * 2
+    own += ["http://same.org/"] * 300
+    rows = [(i, u, "", 1) for i, u in enumerate(own)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, `a.b` int")
+    frame.write.parquet(f"{tmp_path}/pages.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    cursor = connection.execute(oracles.URLS)
+    names = [c[0] for c in cursor.description]
+    theirs = sorted(map(repr, cursor.fetchall()))
+    assert sorted(repr(tuple(r)) for r in op9_urls(spark, str(tmp_path)).select(*names).collect()) == theirs
+    # The way for large tables, with hot grams and addresses split.
+    monkeypatch.setattr(url_filter, "BROADCAST_GRAMS", 0)
+    monkeypatch.setattr(url_filter, "SPLIT_ROWS", 20)
+    assert sorted(repr(tuple(r)) for r in op9_urls(spark, str(tmp_path)).select(*names).collect()) == theirs
+    scores = {r["page_id"]: r["score"] for r in url_filter.judge(frame).collect()}
+    left = [scores[i] for i, u in enumerate(own) if u in ("http://другой.рф/путь", "http://别的.中国/路径", "http://xx.org/ab")]
+    assert len(set(left)) == 3
