@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from musterline.catalog import sql
 from musterline.catalog.registry import query
+from musterline.functions import special
 from musterline.functions import text as tx
 from musterline.operators import leavers as lv
 from musterline.operators import sentiment as st
 from musterline.operators import terms as tm
 from musterline.operators import topics as tp
 from musterline.plans import exits
+from musterline.session import shared_folder
 from musterline.sources import derived, read_answers
 
 ANSWER_CTES = f"{sql.ANSWERS},\n{sql.FIRST_ANSWERS}"
@@ -70,6 +72,22 @@ def exit_wide(spark, sf_dir):
     )
 
 
+@query(
+    "exit_wide_from_csv",
+    f"WITH {ANSWER_CTES} SELECT {sql.IDENTIFIERS}, {NAME} AS question, answer FROM first_answers",
+)
+def exit_wide_from_csv(spark, sf_dir):
+    """The same from CSV files whose comments hold line breaks."""
+    folder = shared_folder(spark, "answers")
+    answers = derived.exit_answers(spark, sf_dir)
+    answers.write.option("header", True).option("escape", '"').csv(folder)
+    table = lv.pivot_answers(read_answers(spark, folder))
+    asked = [name for name in table.columns if name not in lv.IDENTIFIERS]
+    return table.unpivot(list(lv.IDENTIFIERS), asked, "question", "answer").where(
+        F.col("answer").isNotNull()
+    )
+
+
 @query(
     "question_names",
     f"WITH {ANSWER_CTES} SELECT DISTINCT question_desc AS question, {NAME} AS name FROM first_answers",
@@ -227,19 +245,150 @@ def tfidf(spark, sf_dir):
     )
 
 
-# --- themes: the model starts from hashed draws, so only rows can be compared ---
+# --- themes ---
+
+
+def _psi(x: str) -> str:
+    """The digamma function of an SQL expression, term by term as in `functions.special`."""
+    far = f"({x} + {special.SHIFT})"
+    series = "0.0::DOUBLE"
+    for _, coefficient in reversed(special.SERIES):
+        series = f"((1.0::DOUBLE / ({far} * {far})) * ({coefficient!r}::DOUBLE + {series}))"
+    near = " + ".join(f"1.0::DOUBLE / ({x} + {step})" for step in range(special.SHIFT))
+    return f"(ln({far}) - 0.5::DOUBLE / {far} - {series} - ({near}))"
+
+
+def _start_sql(topic: int) -> str:
+    def uniform(salt: int) -> str:
+        digest = f"md5(concat_ws('/', corpus, term, '{topic}', '{tp.SEED}', '{salt}'))"
+        return f"(('0x' || substr({digest}, 1, 8))::UBIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE"
+
+    normal = f"sqrt(ln({uniform(1)}) * -2.0) * cos({uniform(2)} * (2 * pi()))"
+    ninth = 1.0 / (9.0 * tp.START_SHAPE)
+    return f"pow({normal} * {ninth**0.5!r}::DOUBLE + {1.0 - ninth!r}::DOUBLE, 3.0)"
+
+
+def _mixture_sql() -> str:
+    """Gamma of a document from the lists c, b0 .. b3 of its terms.
+
+    Up to `MIXTURE_STEPS` steps; the fifth place of the state says that it has settled.
+    """
+    n = tp.TOPICS
+    theta = f"list_transform(g[1:{n}], lambda x: exp({_psi('x')} - {_psi(f'list_sum(g[1:{n}])')}))"
+    norm = " + ".join(f"th[{i + 1}] * b{i}[i]" for i in range(n))
+    shares = f"list_transform(range(1, len(c) + 1), lambda i: c[i] / ({norm} + {tp.TINY!r}::DOUBLE))"
+    fresh = ", ".join(f"{1 / n}::DOUBLE + th[{i + 1}] * list_dot_product(sh, b{i})" for i in range(n))
+    moved = " + ".join(f"abs(f[{i + 1}] - g[{i + 1}])" for i in range(n))
+    settled = f"CASE WHEN ({moved}) / {n} < {tp.MIXTURE_TOLERANCE!r}::DOUBLE THEN 1.0 ELSE 0.0 END::DOUBLE"
+    state = ", ".join(f"f[{i + 1}]" for i in range(n))
+    step = (
+        f"list_transform([{theta}], lambda th: list_transform([{shares}], lambda sh:"
+        f" list_transform([[{fresh}]], lambda f: [{state}, {settled}])[1])[1])[1]"
+    )
+    ones = ", ".join(["1.0"] * n)
+    steps = f"list_transform(range({tp.MIXTURE_STEPS}), lambda z: []::DOUBLE[])"
+    return (
+        f"list_reduce(list_concat([[{ones}, 0.0]::DOUBLE[]], {steps}),"
+        f" lambda g, z: CASE WHEN g[{n + 1}] = 1.0 THEN g ELSE {step} END)[1:{n}]"
+    )
+
+
+def _model_sql(passes: int) -> str:
+    """The passes one after another: factors f, documents d with their gamma, terms l."""
+    topics = range(tp.TOPICS)
+    steps = []
+    for number in range(passes + 1):
+        factors = ", ".join(f"exp({_psi(f't{i}')} - {_psi(f's{i}')}) AS b{i}" for i in topics)
+        sums = ", ".join(f"sum(t{i}) AS s{i}" for i in topics)
+        lists = ", ".join(f"list(b{i} ORDER BY term) AS b{i}" for i in topics)
+        steps.append(f"""f{number} AS MATERIALIZED (
+  SELECT corpus, term, {factors}
+  FROM l{number} JOIN (SELECT corpus, {sums} FROM l{number} GROUP BY corpus) USING (corpus)),
+d{number} AS MATERIALIZED (
+  SELECT *, {_mixture_sql()} AS g FROM (
+    SELECT corpus, k, list(term ORDER BY term) AS term, list(c ORDER BY term) AS c, {lists}
+    FROM w JOIN f{number} USING (corpus, term) GROUP BY corpus, k))""")
+        if number == passes:
+            break
+        theta = ", ".join(f"exp({_psi(f'g[{i + 1}]')} - {_psi('list_sum(g)')}) AS th{i}" for i in topics)
+        opened = ", ".join(f"unnest(b{i}) AS b{i}" for i in topics)
+        norm = " + ".join(f"th{i} * b{i}" for i in topics) + f" + {tp.TINY!r}::DOUBLE"
+        given = ", ".join(
+            f"sum(c * (th{i} * b{i}) / ({norm})) + {1 / tp.TOPICS}::DOUBLE AS t{i}" for i in topics
+        )
+        steps.append(f"""l{number + 1} AS MATERIALIZED (
+  SELECT corpus, term, {given}
+  FROM (SELECT corpus, unnest(term) AS term, unnest(c) AS c, {opened}, {", ".join(f"th{i}" for i in topics)}
+        FROM (SELECT *, {theta} FROM d{number})) GROUP BY corpus, term)""")
+    return ",\n".join(steps)
+
+
+_STARTS = ", ".join(f"{_start_sql(i)} AS t{i}" for i in range(tp.TOPICS))
+MODEL = f"""{LEAVERS_SENTIMENT},
+tokens AS (
+  SELECT CASE sentiment WHEN 'Positive' THEN 'praise' ELSE 'concern' END AS corpus,
+    resignationletterdate AS k, list_filter({content_sql('text')},
+      lambda x: length(x) > 1 AND x NOT IN ({STOPS})) AS t
+  FROM labelled JOIN texts USING (resignationletterdate) WHERE sentiment <> 'Neutral'),
+grams AS (
+  SELECT corpus, k, unnest(t) AS term FROM tokens
+  UNION ALL
+  SELECT corpus, k, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term
+  FROM tokens WHERE len(t) > 1),
+counts AS MATERIALIZED (SELECT corpus, k, term, count(*) AS tf FROM grams GROUP BY ALL),
+size AS (SELECT corpus, count(*) AS n FROM tokens GROUP BY corpus),
+kept AS (
+  SELECT corpus, term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf
+  FROM counts JOIN size USING (corpus) GROUP BY corpus, term
+  HAVING count(*) >= 2 AND count(*) <= any_value(n) * 0.9::DOUBLE),
+enough AS (
+  SELECT corpus FROM size JOIN (SELECT corpus, count(*) AS terms FROM kept GROUP BY corpus) USING (corpus)
+  WHERE n >= {tp.TOPICS} AND terms >= {tp.TOPICS}),
+raw AS (SELECT corpus, k, term, tf * idf AS raw FROM counts JOIN kept USING (corpus, term)
+        WHERE corpus IN (SELECT corpus FROM enough)),
+w AS MATERIALIZED (
+  SELECT corpus, k, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY corpus, k)) AS c FROM raw),
+l0 AS MATERIALIZED (SELECT corpus, term, {_STARTS} FROM (SELECT DISTINCT corpus, term FROM w)),
+{_model_sql(tp.PASSES)},
+long AS (
+  SELECT corpus, term, unnest(range({tp.TOPICS})) AS topic,
+    unnest([{", ".join(f"t{i}" for i in range(tp.TOPICS))}]) AS mass FROM l{tp.PASSES}),
+placed AS (
+  SELECT *, row_number() OVER (
+    PARTITION BY corpus, topic ORDER BY round(mass, {tp.RANKED_PLACES}) DESC, term) AS rank
+  FROM long),
+keywords AS (
+  SELECT corpus, topic, array_agg(replace(term, ' ', '_') ORDER BY rank) AS keywords
+  FROM placed WHERE rank <= {tp.KEYWORDS} GROUP BY corpus, topic),
+named AS (
+  SELECT corpus, topic, kind AS theme_type,
+    kind || ': ' || array_to_string(keywords[:3], ' / ') AS theme_name, keywords
+  FROM (SELECT *, CASE corpus WHEN 'praise' THEN 'Praise / Satisfaction'
+    ELSE 'Concern / Attrition Driver' END AS kind FROM keywords)),
+shares AS (
+  SELECT t.corpus, t.k,
+    coalesce(list_transform(g, lambda x: x / list_sum(g)), [{", ".join([str(1 / tp.TOPICS)] * tp.TOPICS)}]) AS mixture
+  FROM tokens t LEFT JOIN d{tp.PASSES} d ON d.corpus = t.corpus AND d.k = t.k
+  WHERE t.corpus IN (SELECT corpus FROM enough)),
+members AS (
+  SELECT k AS resignationletterdate, topic, theme_name AS theme
+  FROM shares JOIN named USING (corpus) WHERE mixture[topic + 1] > {tp.ASSIGN_ABOVE}::DOUBLE),
+leavers AS (SELECT feedback.*, sentiment FROM feedback JOIN labelled USING (resignationletterdate))"""
 
 
 def insights(spark, sf_dir) -> exits.ExitInsights:
     return exits.analyse_exits(derived.exit_answers(spark, sf_dir), lexicon(spark, sf_dir))
 
 
-@query("theme_keywords")
+@query("theme_keywords", f"WITH {MODEL} SELECT corpus, topic::INT AS topic, unnest(keywords) AS keyword FROM named")
 def theme_keywords(spark, sf_dir):
     return insights(spark, sf_dir).themes.select("corpus", "topic", F.explode("keywords").alias("keyword"))
 
 
-@query("theme_table")
+@query(
+    "theme_table",
+    f"WITH {MODEL} SELECT corpus, theme_type, theme_name, array_to_string(keywords, ', ') AS keywords FROM named",
+)
 def theme_table(spark, sf_dir):
     themes = insights(spark, sf_dir).themes
     return themes.select(
@@ -247,7 +396,14 @@ def theme_table(spark, sf_dir):
     )
 
 
-@query("leaver_themes")
+@query(
+    "leaver_themes",
+    f"""WITH {MODEL}
+    SELECT {sql.IDENTIFIERS}, sentiment, coalesce(themes, '') AS themes
+    FROM leavers LEFT JOIN (
+      SELECT resignationletterdate, string_agg(theme, ' | ' ORDER BY topic) AS themes
+      FROM members GROUP BY resignationletterdate) USING (resignationletterdate)""",
+)
 def leaver_themes(spark, sf_dir):
     tagged = insights(spark, sf_dir).leavers
     return tagged.select(
@@ -255,17 +411,27 @@ def leaver_themes(spark, sf_dir):
     )
 
 
-@query("theme_members")
+@query(
+    "theme_members",
+    f"WITH {MODEL} SELECT theme, {sql.IDENTIFIERS}, sentiment FROM leavers JOIN members USING (resignationletterdate)",
+)
 def theme_members(spark, sf_dir):
     """Leavers of every theme, of praise and of concern."""
     members = lv.theme_members(insights(spark, sf_dir).leavers)
     return members.select("theme", *lv.IDENTIFIERS, "sentiment")
 
 
-@query("theme_designations")
+@query(
+    "theme_designations",
+    f"""WITH {MODEL}
+    SELECT theme, designation, count(*) AS leavers,
+      round(count(*) / sum(count(*)) OVER (PARTITION BY theme) * 100, 9) AS share_pct
+    FROM leavers JOIN members USING (resignationletterdate) GROUP BY theme, designation""",
+)
 def theme_designations(spark, sf_dir):
     """Designations within every theme."""
-    return lv.theme_designations(insights(spark, sf_dir).leavers)
+    shares = lv.theme_designations(insights(spark, sf_dir).leavers)
+    return shares.withColumn("share_pct", F.round("share_pct", 9))
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from musterline.functions.text import STOP_WORDS, model_words, one_and_two_grams
 from musterline.operators.skew import add_split, copy_per_split, hot_keys
+from musterline.session import durable
 
 TERM_KEYS = ("corpus", "term")
 # A term with more rows than this may be split over several tasks.
@@ -80,10 +81,12 @@ def tfidf_by_split(
     """`tfidf` with the splits of frequent terms, for later joins on the term.
 
     `docs` has `corpus`, a unique `key` and `tokens`. A term can be in most
-    documents, so frequent terms are split before the join on the term.
+    documents, so frequent terms are split before the join on the term. The counts serve
+    frequencies and weights, and the terms the list of frequent ones and the join: both are
+    written to the shared folder once.
     """
-    counts = term_counts(docs, key, stop_words)
-    terms = kept_terms(counts, docs, corpora, min_docs, max_share)
+    counts = durable(term_counts(docs, key, stop_words))
+    terms = durable(kept_terms(counts, docs, corpora, min_docs, max_share))
     hot = hot_keys(terms, TERM_KEYS, "df", least=SPLIT_ROWS)
     joined = add_split(counts, hot, TERM_KEYS, spread=key).join(
         copy_per_split(terms, hot, TERM_KEYS), [*TERM_KEYS, "split"]

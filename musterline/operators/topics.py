@@ -2,12 +2,14 @@
 
 Both the documents and the term-topic table stay distributed, so the vocabulary is
 not limited by the driver. One pass is: give each document its terms' topic
-weights, fit the document's topic mixture, add up what each term got.
+weights, fit the document's topic mixture, add up what each term got. The weights lie in
+buckets by term and split, so each pass joins them where they are and moves only the terms.
 """
 
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -57,7 +59,10 @@ def fit_topics(
     documents (corpus, key, mixture: array of probabilities).
     """
     names = [f"topic_{i}" for i in range(topics)]
-    weights = weights.select("corpus", key, "term", "weight", "split", "splits")
+    table = f"musterline_{uuid.uuid4().hex}"
+    weights = _in_buckets(
+        weights.select("corpus", key, "term", "weight", "split", "splits"), table
+    )
     vocabulary = weights.select(*TERM_KEYS, "splits").distinct()
     terms = durable(
         vocabulary.select(
@@ -70,21 +75,34 @@ def fit_topics(
         terms = durable(_gather_terms(_fit_documents(weights, terms, key, corpora, names), names))
     fitted = _fit_documents(weights, terms, key, corpora, names)
     whole = F.aggregate("fit.gamma", F.lit(0.0), lambda acc, g: acc + g)
-    mixtures = fitted.select(
-        "corpus", key, F.transform("fit.gamma", lambda g: g / whole).alias("mixture")
+    mixtures = durable(
+        fitted.select(
+            "corpus", key, F.transform("fit.gamma", lambda g: g / whole).alias("mixture")
+        )
     )
+    weights.sparkSession.sql(f"DROP TABLE {table}")
     return terms, mixtures
 
 
+def _in_buckets(weights: DataFrame, table: str) -> DataFrame:
+    """The weights as a table in the warehouse, bucketed by the keys of the join."""
+    keys = [*TERM_KEYS, "split"]
+    number = int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = weights.repartition(number, *keys).write.bucketBy(number, *keys)
+    placed.format("parquet").saveAsTable(table)
+    return weights.sparkSession.table(table)
+
+
 def _start(topic: int, seed: int) -> Column:
     """Gamma(shape 100, mean 1) draw from a hash of the term, the same on every run.
 
-    Two hashed uniforms give a normal deviate, its cube root form the gamma."""
+    The first 32 bits of two MD5 digests give a normal deviate, its cube root form the gamma."""
     place = [F.col(name) for name in TERM_KEYS]
 
     def uniform(salt: int) -> Column:
-        bits = F.xxhash64(*place, F.lit(topic), F.lit(seed), F.lit(salt))
-        return (F.pmod(bits, F.lit(1 << 30)).cast("double") + 0.5) / float(1 << 30)
+        digest = F.md5(F.concat_ws("/", *place, *[F.lit(str(x)) for x in (topic, seed, salt)]))
+        bits = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
+        return (bits + 0.5) / float(1 << 32)
 
     normal = F.sqrt(F.log(uniform(1)) * -2.0) * F.cos(uniform(2) * (2 * np.pi))
     ninth = 1.0 / (9.0 * START_SHAPE)
@@ -94,26 +112,27 @@ def _start(topic: int, seed: int) -> Column:
 def _term_factors(terms: DataFrame, corpora: Sequence[str], names: Sequence[str]) -> DataFrame:
     """exp E[log beta] per term and topic, repeated for every split of the term.
 
-    The topic totals are one row per corpus, of which there are as many as names in
-    `corpora`; they enter as constants."""
-    totals = {
-        row["corpus"]: row
-        for row in terms.groupBy("corpus").agg(*[F.sum(n).alias(n) for n in names]).collect()
-    }
-
-    def factor(name: str) -> Column:
-        log_total = F.lit(None).cast("double")
-        for corpus in corpora:
-            if corpus in totals:
-                psi = float(digamma(totals[corpus][name]))
-                log_total = F.when(F.col("corpus") == corpus, F.lit(psi)).otherwise(log_total)
-        return F.exp(F.expr(digamma_sql(name)) - log_total)
-
-    return terms.select(
+    The topic totals of the corpora are one row, which enters as a subquery."""
+    sums = [
+        F.sum(F.when(F.col("corpus") == corpus, F.col(name))).alias(f"c{number}_{name}")
+        for number, corpus in enumerate(corpora)
+        for name in names
+    ]
+    totals = terms.agg(F.struct(*sums).alias("totals")).scalar()
+    with_totals = terms.withColumn("totals", totals)
+    for name in names:
+        own = F.lit(None).cast("double")
+        for number, corpus in enumerate(corpora):
+            own = F.when(F.col("corpus") == corpus, F.col(f"totals.c{number}_{name}")).otherwise(own)
+        with_totals = with_totals.withColumn(f"all_{name}", own)
+    return with_totals.select(
         *TERM_KEYS,
         "splits",
         F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"),
-        *[factor(name).alias(name) for name in names],
+        *[
+            F.exp(F.expr(digamma_sql(name)) - F.expr(digamma_sql(f"all_{name}"))).alias(name)
+            for name in names
+        ],
     )
 
 
