@@ -31,7 +31,23 @@ joined AS (
   FROM filled GROUP BY {sql.IDENTIFIERS}),
 feedback AS (
   SELECT *, concat_ws(' ', {sql.IDENTIFIERS}) || ' ' || said AS full_feedback FROM joined)"""
-STOPS = ", ".join(f"'{word}'" for word in tx.STOP_WORDS)
+# The words left out of topics, stated for the SQL on their own.
+STOPS = """
+  'a', 'about', 'above', 'after', 'again', 'against', 'all', 'am', 'an', 'and', 'any', 'are',
+  'as', 'at', 'be', 'because', 'been', 'before', 'being', 'below', 'between', 'both', 'but',
+  'by', 'can', 'cannot', 'could', 'did', 'do', 'does', 'doing', 'don', 'down', 'during',
+  'each', 'few', 'for', 'from', 'further', 'had', 'has', 'have', 'having', 'he', 'her',
+  'here', 'hers', 'herself', 'him', 'himself', 'his', 'how', 'i', 'if', 'in', 'into', 'is',
+  'it', 'its', 'itself', 'let', 'me', 'more', 'most', 'my', 'myself', 'no', 'nor', 'not',
+  'of', 'off', 'on', 'once', 'only', 'or', 'other', 'ought', 'our', 'ours', 'ourselves',
+  'out', 'over', 'own', 'same', 'shan', 'she', 'should', 'so', 'some', 'such', 'than',
+  'that', 'the', 'their', 'theirs', 'them', 'themselves', 'then', 'there', 'these', 'they',
+  'this', 'those', 'through', 'to', 'too', 'under', 'until', 'up', 'very', 'was', 'we',
+  'were', 'what', 'when', 'where', 'which', 'while', 'who', 'whom', 'why', 'with', 'won',
+  'would', 'you', 'your', 'yours', 'yourself', 'yourselves', 'na', 'yes', 'good', 'fair',
+  'excellent', 'agree', 'better', 'best', 'company', 'organization', 'work', 'working',
+  'employee', 'partner', 'team', 'sometimes', 'nothing', 'issue', 'backed', 'left', 'join',
+  'fill'"""
 
 
 def words_sql(text: str) -> str:
@@ -371,7 +387,7 @@ shares AS (
   FROM tokens t LEFT JOIN d{tp.PASSES} d ON d.corpus = t.corpus AND d.k = t.k
   WHERE t.corpus IN (SELECT corpus FROM enough)),
 members AS (
-  SELECT k AS resignationletterdate, topic, theme_name AS theme
+  SELECT k AS resignationletterdate, corpus, topic, theme_name AS theme
   FROM shares JOIN named USING (corpus) WHERE mixture[topic + 1] > {tp.ASSIGN_ABOVE}::DOUBLE),
 leavers AS (SELECT feedback.*, sentiment FROM feedback JOIN labelled USING (resignationletterdate))"""
 
@@ -413,20 +429,21 @@ def leaver_themes(spark, sf_dir):
 
 @query(
     "theme_members",
-    f"WITH {MODEL} SELECT theme, {sql.IDENTIFIERS}, sentiment FROM leavers JOIN members USING (resignationletterdate)",
+    f"WITH {MODEL} SELECT corpus, topic::INT AS topic, theme, {sql.IDENTIFIERS}, sentiment"
+    " FROM leavers JOIN members USING (resignationletterdate)",
 )
 def theme_members(spark, sf_dir):
     """Leavers of every theme, of praise and of concern."""
     members = lv.theme_members(insights(spark, sf_dir).leavers)
-    return members.select("theme", *lv.IDENTIFIERS, "sentiment")
+    return members.select("corpus", "topic", "theme", *lv.IDENTIFIERS, "sentiment")
 
 
 @query(
     "theme_designations",
     f"""WITH {MODEL}
-    SELECT theme, designation, count(*) AS leavers,
-      round(count(*) / sum(count(*)) OVER (PARTITION BY theme) * 100, 9) AS share_pct
-    FROM leavers JOIN members USING (resignationletterdate) GROUP BY theme, designation""",
+    SELECT corpus, topic::INT AS topic, theme, designation, count(*) AS leavers,
+      round(count(*) / sum(count(*)) OVER (PARTITION BY corpus, topic) * 100, 9) AS share_pct
+    FROM leavers JOIN members USING (resignationletterdate) GROUP BY corpus, topic, theme, designation""",
 )
 def theme_designations(spark, sf_dir):
     """Designations within every theme."""
@@ -434,6 +451,50 @@ def theme_designations(spark, sf_dir):
     return shares.withColumn("share_pct", F.round("share_pct", 9))
 
 
+COMMENTS = f"""comments AS (
+  SELECT resignationletterdate, string_agg(answer, '. ' ORDER BY question_desc) AS all_comments
+  FROM first_answers WHERE trim(answer) <> '' AND length(answer) > 1
+    AND regexp_matches({NAME}, 'what|suggestion|comment|addtional')
+  GROUP BY resignationletterdate)"""
+
+
+@query(
+    "chosen_theme_comments",
+    f"""WITH {MODEL}, {COMMENTS}
+    SELECT resignationletterdate, designation, theme, all_comments
+    FROM leavers JOIN members USING (resignationletterdate) JOIN comments USING (resignationletterdate)
+    WHERE corpus = 'praise' AND topic = 0""",
+)
+def chosen_theme_comments(spark, sf_dir):
+    """What the leavers of one theme wrote."""
+    chosen = insights(spark, sf_dir).of_theme(exits.PRAISE, 0)
+    named = chosen.withColumn("theme", F.filter("assigned", lambda a: a["topic"] == 0)[0]["theme"])
+    return lv.verbatim_comments(named).select(
+        "resignationletterdate", "designation", "theme", "all_comments"
+    )
+
+
+@query(
+    "chosen_theme_designations",
+    f"""WITH {MODEL},
+    own AS (SELECT DISTINCT resignationletterdate FROM members
+      WHERE theme = (SELECT theme_name FROM named WHERE corpus = 'concern' AND topic = 1))
+    SELECT designation, count(*) AS leavers,
+      round(count(*) / (SELECT count(*) FROM own) * 100, 9) AS share_pct
+    FROM leavers JOIN own USING (resignationletterdate) GROUP BY designation""",
+)
+def chosen_theme_designations(spark, sf_dir):
+    """Designations of the leavers that have a theme of the chosen name."""
+    found = insights(spark, sf_dir)
+    name = (
+        found.themes.where((F.col("corpus") == exits.CONCERN) & (F.col("topic") == 1))
+        .select("theme_name")
+        .scalar()
+    )
+    shares = lv.designation_share(lv.leavers_with_theme(found.leavers, name))
+    return shares.withColumn("share_pct", F.round("share_pct", 9))
+
+
 @query(
     "designation_share",
     f"""WITH {LEAVERS_SENTIMENT},
@@ -536,7 +597,7 @@ given AS (
       ELSE list_transform(range(4), lambda t: ((doc_id * (t + 3)) % 11) / 22) END AS mixture
   FROM documents),
 members AS (
-  SELECT doc_id, lang, source, theme_name AS theme
+  SELECT doc_id, lang, source, corpus, topic, theme_name AS theme
   FROM given JOIN named USING (corpus) JOIN documents USING (doc_id)
   WHERE mixture[topic + 1] > 0.2)"""
 
@@ -559,17 +620,18 @@ def given_leavers(spark, sf_dir) -> DataFrame:
     return documents.join(assigned, lv.LEAVER_KEY, "left")
 
 
-@query("given_theme_members", f"{GIVEN_MEMBERS} SELECT doc_id, theme FROM members")
+@query("given_theme_members", f"{GIVEN_MEMBERS} SELECT doc_id, corpus, topic::INT AS topic, theme FROM members")
 def given_theme_members(spark, sf_dir):
-    return lv.theme_members(given_leavers(spark, sf_dir)).select("doc_id", "theme")
+    members = lv.theme_members(given_leavers(spark, sf_dir))
+    return members.select("doc_id", "corpus", "topic", "theme")
 
 
 @query(
     "given_theme_designations",
     f"""{GIVEN_MEMBERS}
-    SELECT theme, source AS designation, count(*) AS leavers,
-      round(count(*) / sum(count(*)) OVER (PARTITION BY theme) * 100, 9) AS share_pct
-    FROM members GROUP BY theme, source""",
+    SELECT corpus, topic::INT AS topic, theme, source AS designation, count(*) AS leavers,
+      round(count(*) / sum(count(*)) OVER (PARTITION BY corpus, topic) * 100, 9) AS share_pct
+    FROM members GROUP BY corpus, topic, theme, source""",
 )
 def given_theme_designations(spark, sf_dir):
     tagged = given_leavers(spark, sf_dir).withColumnRenamed("source", "designation")

@@ -164,15 +164,21 @@ def leavers_with_theme(leavers: DataFrame, theme: str | Column) -> DataFrame:
     return leavers.where(F.array_contains("assigned_themes", theme))
 
 
+def leavers_of_topic(leavers: DataFrame, corpus: str, topic: int) -> DataFrame:
+    """The leavers of one topic; another topic of the same name does not count."""
+    own = F.exists("assigned", lambda a: (a["corpus"] == corpus) & (a["topic"] == topic))
+    return leavers.where(own)
+
+
 def theme_members(leavers: DataFrame) -> DataFrame:
-    """One row per theme and leaver."""
-    return leavers.withColumn("theme", F.explode("assigned_themes"))
+    """One row per topic and leaver: the leaver's columns and corpus, topic, theme."""
+    return leavers.select("*", F.inline("assigned"))
 
 
 def theme_designations(leavers: DataFrame) -> DataFrame:
-    """Leavers by designation within every theme and their share of the theme."""
-    counts = theme_members(leavers).groupBy("theme", "designation").agg(
+    """Leavers by designation within every topic and their share of it."""
+    counts = theme_members(leavers).groupBy("corpus", "topic", "theme", "designation").agg(
         F.count(F.lit(1)).alias("leavers")
     )
-    whole = W.partitionBy("theme")
+    whole = W.partitionBy("corpus", "topic")
     return counts.withColumn("share_pct", F.col("leavers") / F.sum("leavers").over(whole) * 100)

@@ -14,16 +14,25 @@ from musterline.session import durable
 
 # The two corpora, and how their themes are introduced.
 PRAISE, CONCERN = "praise", "concern"
+ASSIGNED = "array<struct<corpus:string,topic:int,theme:string>>"
 THEME_TYPES = {PRAISE: "Praise / Satisfaction", CONCERN: "Concern / Attrition Driver"}
 
 
 @dataclass(frozen=True)
 class ExitInsights:
-    """Themes per corpus and one row per leaver with `assigned_themes`."""
+    """Themes per corpus and one row per leaver.
+
+    A leaver has `assigned_themes`, the names, and `assigned`, structs of corpus, topic
+    and name: two topics may come to the same name.
+    """
 
     themes: DataFrame
     leavers: DataFrame
 
+    def of_theme(self, corpus: str, topic: int) -> DataFrame:
+        """The leavers of one theme, for their comments, proof and designations."""
+        return lv.leavers_of_topic(self.leavers, corpus, topic)
+
 
 def wide_leavers(
     answers: DataFrame,
@@ -71,7 +80,10 @@ def analyse_exits(
     if not fit:
         themes = _no_themes(scored)
         return ExitInsights(
-            themes, output.drop(lv.LEAVER_KEY).withColumn("assigned_themes", none)
+            themes,
+            output.drop(lv.LEAVER_KEY).withColumns(
+                {"assigned_themes": none, "assigned": F.array().cast(ASSIGNED)}
+            ),
         )
     weights = weights.where(F.col("corpus").isin(*fit))
     terms, mixtures = tp.fit_topics(weights, lv.LEAVER_KEY, fit)
@@ -79,7 +91,12 @@ def analyse_exits(
     assigned = assign_themes(docs.where(F.col("corpus").isin(*fit)), mixtures, themes)
     tagged = (
         output.join(assigned, lv.LEAVER_KEY, "left")
-        .withColumn("assigned_themes", F.coalesce("assigned_themes", none))
+        .withColumns(
+            {
+                "assigned_themes": F.coalesce("assigned_themes", none),
+                "assigned": F.coalesce("assigned", F.array().cast(ASSIGNED)),
+            }
+        )
         .drop(lv.LEAVER_KEY)
     )
     return ExitInsights(themes, tagged)
@@ -134,5 +151,11 @@ def assign_themes(docs: DataFrame, mixtures: DataFrame, themes: DataFrame) -> Da
     )
     likely = F.filter("names", lambda n: F.get("mixture", n["topic"]) > tp.ASSIGN_ABOVE)
     return named.select(
-        lv.LEAVER_KEY, F.transform(likely, lambda n: n["theme_name"]).alias("assigned_themes")
+        lv.LEAVER_KEY,
+        F.transform(likely, lambda n: n["theme_name"]).alias("assigned_themes"),
+        F.transform(
+            likely, lambda n: F.struct(F.col("corpus").alias("corpus"), n["topic"], n["theme_name"])
+        )
+        .cast(ASSIGNED)
+        .alias("assigned"),
     )

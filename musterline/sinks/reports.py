@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from musterline.functions.codes import LEAVE_COLUMNS
 from musterline.functions.columns import fixed, month_key, percent, round_half_even
+from musterline.session import durable
 
 # Summary lines and the KPI behind each.
 SUMMARY_LINES = (
@@ -97,3 +98,21 @@ def write_daily(daily: DataFrame, path: str, mode: str = "error") -> None:
     """
     months = daily.withColumn("month", month_key("date"))
     months.hint("rebalance", F.col("month")).write.mode(mode).partitionBy("month").parquet(path)
+
+
+def replace_months(daily: DataFrame, path: str) -> None:
+    """Replace the months that `daily` has and leave all others in `path` as they are.
+
+    The rows are written to the shared folder first, so they may come from `path` itself, and
+    a failure while they are formed changes nothing. New files are then written aside by Spark
+    and take the place of the old ones of their months when all of them are complete. Without
+    rows nothing is replaced; rows without a date are a month of their own.
+    """
+    months = durable(daily.withColumn("month", month_key("date")))
+    (
+        months.hint("rebalance", F.col("month"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("month")
+        .parquet(path)
+    )

@@ -151,7 +151,8 @@ def test_themes_end_to_end(spark):
 
 def test_user_theme_names(spark):
     names = spark.createDataFrame([("praise", 0, "Fair pay")], "corpus string, topic int, name string")
-    table = exits.analyse_exits(*survey(spark), order="place", theme_names=names).themes.collect()
+    found = exits.analyse_exits(*survey(spark), order="place", theme_names=names)
+    table = found.themes.collect()
     assert {t.theme_name for t in table if (t.corpus, t.topic) == ("praise", 0)} == {"Fair pay"}
     assert all(": " in t.theme_name for t in table if t.corpus == "concern")
 
@@ -163,3 +164,17 @@ def test_too_few_documents_give_no_themes(spark):
     assert [r.assigned_themes for r in few.leavers.collect()] == [[], [], []]
     one_side = exits.analyse_exits(rows.where("place < 12"), lexicon, "place")
     assert {t.corpus for t in one_side.themes.collect()} == {"praise"}
+
+
+def test_two_topics_of_one_name_stay_apart(spark):
+    names = spark.createDataFrame(
+        [("praise", t, "Same") for t in range(4)], "corpus string, topic int, name string"
+    )
+    found = exits.analyse_exits(*survey(spark), order="place", theme_names=names)
+    members = lv.theme_members(found.leavers).where("corpus = 'praise'").collect()
+    by_topic = {t: found.of_theme("praise", t).count() for t in range(4)}
+    assert sum(by_topic.values()) == len(members) > 0
+    assert by_topic == {t: sum(m.topic == t for m in members) for t in range(4)}
+    shares = lv.theme_designations(found.leavers).where("corpus = 'praise'").collect()
+    for topic in {s.topic for s in shares}:
+        assert sum(s.share_pct for s in shares if s.topic == topic) == pytest.approx(100)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from musterline.operators import kpis, scorecard, views
 from musterline.plans.attendance import analyse_days
@@ -112,3 +113,27 @@ def test_daily_rows_are_stored_by_month(spark, frames, tmp_path):
     assert back.count() == frames.daily.count()
     plan = back.where("month = '2024-01'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan
+
+
+def test_a_rerun_of_one_month_leaves_the_others(spark, tmp_path, days_of):
+    import glob
+    import os
+
+    path = str(tmp_path / "daily")
+    first = analyse_days(days_of([("E1", "2026-01-05", "P"), ("E1", "2026-02-05", "P"), ("E2", "2026-03-05", "P")])).daily
+    reports.write_daily(first, path)
+    others = {f: os.path.getmtime(f) for f in glob.glob(f"{path}/month=*/*.parquet") if "2026-02" not in f}
+    # The corrected month: one row less of E1, two of E3; it is formed from the folder itself.
+    more = analyse_days(days_of([("E3", "2026-02-06", "CL"), ("E3", "2026-02-07", "P")])).daily
+    kept_rows = spark.read.parquet(path).drop("month").where("date >= '2026-02-01' AND date < '2026-03-01' AND employee_id <> 'E1'")
+    reports.replace_months(kept_rows.unionByName(more), path)
+    after = spark.read.parquet(path)
+    assert sorted((r.employee_id, str(r.date)) for r in after.collect()) == [
+        ("E1", "2026-01-05"), ("E2", "2026-03-05"), ("E3", "2026-02-06"), ("E3", "2026-02-07")
+    ]
+    assert {f: os.path.getmtime(f) for f in others} == others
+    # No rows: nothing is replaced. A failure while rows are formed: nothing either.
+    reports.replace_months(more.limit(0), path)
+    with pytest.raises(Exception, match="broken"):
+        reports.replace_months(more.withColumn("code", F.raise_error(F.lit("broken")).cast("string")), path)
+    assert spark.read.parquet(path).count() == 4
