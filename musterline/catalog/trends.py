@@ -140,14 +140,29 @@ def _heatmap(metric: str) -> None:
         ),
     )
     def heatmap(spark, sf_dir):
-        table = history(spark, sf_dir).heatmap(metric)
-        return _cells_as_rows(table, ["functional_lead", "team_size", "overall_avg", "trend"])
+        return history(spark, sf_dir).heatmap_rows(metric)
 
 
 for _metric in trends.HEATMAP_METRICS:
     _heatmap(_metric)
 
 
+@query(
+    "heatmap_wide",
+    with_employee(
+        f""", {GROUPED}, {_CELLS.format(column='absenteeism_rate')},
+        leads AS (SELECT functional_lead, count(DISTINCT employee_id) AS team_size
+          FROM employee GROUP BY 1)
+        SELECT functional_lead, team_size, month, value FROM leads JOIN cells USING (functional_lead)""",
+        HISTORY,
+    ),
+)
+def heatmap_wide(spark, sf_dir):
+    """The table with a column per month, as it is written to a report."""
+    table = history(spark, sf_dir).heatmap("Absenteeism Rate").drop("overall_avg", "trend")
+    return _cells_as_rows(table, ["functional_lead", "team_size"])
+
+
 _ALERT = f"""{MONTHLY},
 latest AS (SELECT max(month) AS month, count(*) AS months FROM monthly),
 past AS (SELECT avg(absenteeism_rate) AS a, stddev_samp(absenteeism_rate) AS s

@@ -165,31 +165,29 @@ def attendance_summary(
 def baseline_kpis(view: DataFrame, master: DataFrame) -> DataFrame:
     """KPIs to hold a view against: the other units for a one-unit view, else the company.
 
-    The master rows are read once, summed per unit, and both baselines follow from
-    these sums. The facts of the view are one subquery, so nothing is collected. An
-    empty view gives zeros without a name.
+    Master rows are summed per unit, the view's rows counted per unit, and the two meet by unit:
+    what is left is one row per unit, from which both baselines follow. Nothing is collected. An
+    empty view gives zeros without a name; a unit without a name is in no comparison.
     """
-    facts = view.agg(
-        F.struct(
-            F.count(F.lit(1)).alias("rows"),
-            F.countDistinct("ou_name").alias("units"),
-            F.min("ou_name").alias("unit"),
-        ).alias("facts")
-    ).scalar()
     per_unit = master.groupBy("ou_name").agg(*kpi_sums(), *leave_sums())
     names = [name for name in per_unit.columns if name != "ou_name"]
-    both = per_unit.withColumn("peer", F.col("ou_name") != facts["unit"]).agg(
+    seen = view.groupBy("ou_name").agg(F.count(F.lit(1)).alias("view_rows"))
+    units = per_unit.withColumn("known", F.lit(True)).join(
+        seen.withColumnRenamed("ou_name", "view_unit"),
+        F.col("ou_name").eqNullSafe(F.col("view_unit")) & F.col("known"),
+        "full",
+    )
+    peer = "view_rows IS NULL AND ou_name IS NOT NULL"
+    both = units.agg(
         *[F.expr(f"sum({name})").alias(name) for name in names],
-        *[F.expr(f"sum({name}) FILTER (WHERE peer)").alias(f"peer_{name}") for name in names],
-        F.expr("count(*)").alias("units"),
-        F.expr("count_if(peer)").alias("peer_units"),
+        *[F.expr(f"sum({name}) FILTER (WHERE {peer})").alias(f"peer_{name}") for name in names],
+        F.expr("count(known)").alias("units"),
+        F.expr(f"count_if({peer})").alias("peer_units"),
+        F.expr("coalesce(sum(view_rows), 0) > 0").alias("seen"),
+        F.expr("count_if(view_rows IS NOT NULL AND view_unit IS NOT NULL)").alias("view_units"),
     )
-    against = both.withColumns(
-        {
-            "seen": facts["rows"] > 0,
-            "by_peers": (facts["units"] == 1) & (F.col("units") > 1),
-        }
-    ).selectExpr(
+    by_peers = (F.col("view_units") == 1) & (F.col("units") > 1)
+    against = both.withColumn("by_peers", by_peers).selectExpr(
         *[
             f"CASE WHEN NOT seen OR units = 0 THEN 0 WHEN by_peers THEN peer_{name} ELSE {name} END"
             f" AS {name}"

@@ -166,13 +166,47 @@ def heatmap(
     ).orderBy(worst_first, "functional_lead")
 
 
+def heatmap_rows(trends: DataFrame, employees: DataFrame, metric: str) -> DataFrame:
+    """The heatmap as rows: lead, team size, overall rate, trend, month and value.
+
+    A lead's cells are one map by month and all months one array, which the calendar bounds;
+    months become no columns, so nothing is collected. Leads without employees are left out.
+    """
+    column, more_is_better = _metric(metric)
+    cells = trends.groupBy("functional_lead", "month").agg(F.avg(column).alias("value"))
+    by_lead = cells.groupBy("functional_lead").agg(
+        F.map_from_entries(F.collect_list(F.struct("month", "value"))).alias("cells")
+    )
+    months = trends.agg(F.array_sort(F.collect_set("month"))).scalar()
+    filled = F.transform("months", lambda m: F.coalesce(F.col("cells")[m], F.lit(0.0)))
+    change = F.element_at("values", -1) - F.element_at("values", 1)
+    return (
+        _lead_sums(employees, metric)
+        .join(by_lead, "functional_lead")
+        .withColumn("months", months)
+        .withColumn("values", filled)
+        .withColumn("trend", _label(change, more_is_better, F.size("months") < 2))
+        .select(
+            "functional_lead",
+            "team_size",
+            "overall_avg",
+            "trend",
+            F.inline(F.arrays_zip(F.col("months").alias("month"), F.col("values").alias("value"))),
+        )
+    )
+
+
 def _trend(months: Sequence[str], more_is_better: bool) -> Column:
     if len(months) < 2:
         return F.lit("Stable")
     change = F.col(f"`{months[-1]}`") - F.col(f"`{months[0]}`")
+    return _label(change, more_is_better, F.lit(False))
+
+
+def _label(change: Column, more_is_better: bool, too_few: Column) -> Column:
     better = change > 0 if more_is_better else change < 0
     return (
-        F.when(F.abs(change) < 0.5, F.lit("Stable"))
+        F.when(too_few | (F.abs(change) < 0.5), F.lit("Stable"))
         .when(better, F.lit("Improving"))
         .otherwise(F.lit("Worsening"))
     )

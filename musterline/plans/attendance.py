@@ -51,6 +51,10 @@ class Attendance:
         grouped = durable(trends.grouped_trends(self.daily))
         return trends.heatmap(grouped, self.employees, metric)
 
+    def heatmap_rows(self, metric: str) -> DataFrame:
+        """The heatmap with a row per lead and month, formed without finding months first."""
+        return trends.heatmap_rows(trends.grouped_trends(self.daily), self.employees, metric)
+
     def briefing(self) -> DataFrame:
         return kpis.briefing_facts(
             self.employees,
