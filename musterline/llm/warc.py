@@ -3,7 +3,7 @@
 Records with equal payloads are stored once: the one with the smallest id is a response, the
 others are revisits that refer to it and carry the payload's digest and length only. The reader
 inflates members piece by piece, frames blocks by their content length and verifies
-every digest; a damaged archive raises an error.
+every digest there is; a damaged archive raises an error. It takes archives of other writers too.
 
 Each task writes archives under names of its own in a folder that all executors reach, and
 returns their names. Only archives named by tasks that ended well are read, so a lost
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import sys
 import uuid
 import zlib
@@ -30,9 +31,16 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from musterline.llm.common import by_value, kept, new_folder
+from musterline.operators.skew import add_split, copy_per_split, hot_keys
 
 ARCHIVE_BYTES = 64 << 20
 PIECE = 1 << 16
+# Longest headers of a record or a response.
+MOST_HEAD = 1 << 20
+# Digest algorithms of the format that can be verified.
+ALGORITHMS = ("md5", "sha1", "sha256", "sha384", "sha512")
+# A payload of more rows than this (and a ten-thousandth of all) is split over tasks.
+SPLIT_ROWS = 10_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
@@ -112,10 +120,11 @@ class _Record:
 
     def headers(self) -> dict[str, str]:
         while b"\r\n\r\n" not in self.held:
+            if len(self.held) > MOST_HEAD:
+                raise ValueError("a record has no end of its headers")
             self.held += self._more()
         head, self.held = self.held.split(b"\r\n\r\n", 1)
-        lines = head.decode().split("\r\n")
-        return {"": lines[0]} | dict(line.split(": ", 1) for line in lines[1:])
+        return header_fields(head)
 
     def take(self, length: int) -> Iterator[bytes]:
         while length:
@@ -131,40 +140,151 @@ class _Record:
             raise ValueError("a record does not end where its content length says")
 
 
+def header_fields(head: bytes) -> dict[str, str]:
+    """Fields by lower-case name, the first line under "". Folded lines are put together."""
+    lines: list[str] = []
+    for line in head.decode("utf-8", "replace").split("\r\n"):
+        if line[:1] in (" ", "\t") and len(lines) > 1:
+            lines[-1] += " " + line.strip()
+        else:
+            lines.append(line)
+    pairs = (line.split(":", 1) for line in lines[1:] if ":" in line)
+    return {"": lines[0]} | {name.strip().lower(): value.strip() for name, value in pairs}
+
+
+class Chunks:
+    """Takes the chunk marks of a chunked body off, piece by piece."""
+
+    def __init__(self):
+        self.held, self.left, self.sound, self.ended = b"", 0, True, False
+
+    def feed(self, piece: bytes) -> bytes:
+        out, self.held = [], self.held + piece
+        while self.sound and not self.ended and self.held:
+            if self.left > 2:
+                taken = self.held[: self.left - 2]
+                out.append(taken)
+                self.held, self.left = self.held[len(taken) :], self.left - len(taken)
+            elif self.left:
+                # The line end after a chunk.
+                if len(self.held) < self.left:
+                    break
+                self.sound = self.held[: self.left] == b"\r\n"[2 - self.left :]
+                self.held, self.left = self.held[self.left :], 0
+            elif b"\r\n" in self.held:
+                size, self.held = self.held.split(b"\r\n", 1)
+                try:
+                    number = int(size.split(b";")[0], 16)
+                except ValueError:
+                    self.sound = False
+                    break
+                self.ended, self.left = number == 0, number + 2 if number else 0
+            elif len(self.held) > MOST_HEAD:
+                self.sound = False
+            else:
+                break
+        return b"".join(out)
+
+
+class Digest:
+    """Compares bytes with what a digest field says, if its algorithm is known."""
+
+    def __init__(self, field: str | None):
+        name, _, self.value = (field or "").partition(":")
+        name = name.strip().lower().replace("-", "")
+        self.hash = hashlib.new(name) if self.value and name in ALGORITHMS else None
+
+    def update(self, piece: bytes) -> None:
+        if self.hash is not None:
+            self.hash.update(piece)
+
+    def agrees(self) -> bool:
+        if self.hash is None:
+            return True
+        digest, value = self.hash.digest(), self.value.strip()
+        # Base32 with or without its padding, or hexadecimal.
+        return value.lower() == digest.hex() or value.upper().rstrip("=") == base64.b32encode(
+            digest
+        ).decode().rstrip("=")
+
+
 def _page(name: str | None) -> int | None:
     number = (name or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
+    return int(number) if re.fullmatch(r"-?[0-9]{1,18}", number) else None
+
+
+def _length(field: str | None) -> int | None:
+    return int(field) if re.fullmatch("[0-9]+", field or "") else None
+
 
+def read_records(stream, with_payload: bool = True) -> Iterator[dict]:
+    """The records of an archive in order, each verified by the digests that it has.
 
-def read_records(stream) -> Iterator[dict]:
-    """The records of an archive in order, each verified."""
+    Any archive of versions 0.17 to 1.1 with one gzip member per record: ids of any form, all record
+    types, digests in several algorithms or none, folded headers, chunked bodies. The payload
+    of an HTTP response is its body (chunk marks taken off), of any other record its whole
+    block; a payload digest may be that of either form of a chunked body. Blocks pass through
+    piece by piece and are held only if the payload is asked for.
+    """
     for pieces in members(stream):
         source = _Record(pieces)
         head = source.headers()
-        if head[""] != "WARC/1.1":
+        if not head[""].startswith("WARC/"):
             raise ValueError(f"not a record: {head['']!r}")
-        whole = hashlib.sha1()
-        block = bytearray()
-        for piece in source.take(int(head["Content-Length"])):
+        length = _length(head.get("content-length"))
+        if length is None:
+            raise ValueError(f"no content length in {head.get('warc-record-id')}")
+        kind = head.get("warc-type", "").lower()
+        http = head.get("content-type", "").lower().startswith("application/http")
+        whole = Digest(head.get("warc-block-digest"))
+        sent, plain = (Digest(head.get("warc-payload-digest")) for _ in range(2))
+        sha1, size, payload = hashlib.sha1(), 0, bytearray()
+        fields, chunks, start = None if http else {}, None, b""
+        for piece in source.take(length):
             whole.update(piece)
-            block += piece
+            if fields is None:
+                start += piece
+                if b"\r\n\r\n" not in start:
+                    if len(start) > MOST_HEAD:
+                        fields, piece = {}, start
+                    else:
+                        continue
+                else:
+                    first, piece = start.split(b"\r\n\r\n", 1)
+                    fields = header_fields(first)
+                    if "chunked" in fields.get("transfer-encoding", "").lower():
+                        chunks = Chunks()
+            sent.update(piece)
+            body = chunks.feed(piece) if chunks else piece
+            plain.update(body)
+            sha1.update(body)
+            size += len(body)
+            if with_payload:
+                payload += body
         source.close()
-        if f"sha1:{base64.b32encode(whole.digest()).decode()}" != head["WARC-Block-Digest"]:
-            raise ValueError(f"block digest differs in {head['WARC-Record-ID']}")
-        http, payload = bytes(block).split(b"\r\n\r\n", 1)
-        digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-        kind = head["WARC-Type"]
-        if kind == "response" and base32_sha1(payload) != digest:
-            raise ValueError(f"payload digest differs in {head['WARC-Record-ID']}")
-        length = dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])
+        name = head.get("warc-record-id")
+        if not whole.agrees():
+            raise ValueError(f"block digest differs in {name}")
+        revisit = kind == "revisit"
+        if not revisit and not (sent.agrees() or plain.agrees()):
+            raise ValueError(f"payload digest differs in {name}")
+        if revisit:
+            # The payload is that of the record referred to; its length may be told.
+            size = _length((fields or {}).get("content-length"))
+            digest = head.get("warc-payload-digest", "").partition(":")[2] or None
+        else:
+            digest = base64.b32encode(sha1.digest()).decode()
         yield {
-            "page_id": _page(head["WARC-Record-ID"]),
-            "url": head.get("WARC-Target-URI"),
-            "payload_bytes": int(length["Content-Length"]),
+            "page_id": _page(name),
+            "url": head.get("warc-target-uri", "").removeprefix("<").removesuffix(">") or None,
+            "payload_bytes": size,
             "payload_digest": digest,
             "record_type": kind,
-            "refers_to": _page(head.get("WARC-Refers-To")),
-            "payload": payload if kind == "response" else None,
+            "refers_to": _page(head.get("warc-refers-to")),
+            "record_id": name,
+            "refers_to_id": head.get("warc-refers-to"),
+            "date": head.get("warc-date"),
+            "payload": bytes(payload) if with_payload and not revisit else None,
         }
 
 
@@ -181,15 +301,18 @@ def with_first(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     own = pages.select(
         "page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")
     ).withColumn("sha", F.sha1("payload"))
-    repeated = (
+    repeated = kept(
         own.where(F.octet_length("payload") >= least_bytes)
         .groupBy("sha")
         .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
         .where("n > 1")
-        .drop("n")
     )
+    # Equal payloads may be a third of all rows: they are spread over several tasks.
+    hot = hot_keys(repeated, ["sha"], "n", SPLIT_ROWS)
+    first = copy_per_split(repeated.drop("n"), hot, ["sha"])
     # Small payloads may share a digest with none but equal ones, so the digest is enough.
-    return own.join(repeated, "sha", "left").drop("sha")
+    found = add_split(own, hot, ["sha"], "page_id").join(first, ["sha", "split"], "left")
+    return found.select("page_id", "url", "payload", "first")
 
 
 def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -227,13 +350,16 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) ->
 
 
 def read(archives: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
-    """The records of the named archives, one archive after the other in each task."""
-    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    schema = (
-        "page_id long, url string, payload_bytes long, payload_digest string,"
-        " record_type string, refers_to long"
-    )
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    """The records of the named archives, one archive after the other in each task.
+
+    `archives` has their names under `folder` in a column archive: those that `write` returns, or any
+    list. page_id and refers_to are null where ids are not of the form that `write` gives;
+    record_id and refers_to_id are the ids as they stand.
+    """
+    numbers = ("page_id", "payload_bytes", "refers_to")
+    names = "page_id url payload_bytes payload_digest record_type refers_to record_id refers_to_id date".split()
+    schema = ", ".join(f"{name} {'long' if name in numbers else 'string'}" for name in names)
+    kinds = [pa.int64() if name in numbers else pa.string() for name in names]
     if with_payload:
         names, schema, kinds = [*names, "payload"], schema + ", payload binary", [*kinds, pa.binary()]
 
@@ -248,7 +374,7 @@ def read(archives: DataFrame, folder: str, with_payload: bool = True) -> DataFra
             for name in batch["archive"].to_pylist():
                 rows, size = [], 0
                 with system.open_input_stream(f"{base}/{name}", compression=None) as stream:
-                    for row in read_records(stream):
+                    for row in read_records(stream, with_payload):
                         rows.append(row)
                         size += len(row["payload"] or b"") if with_payload else 0
                         if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:

@@ -92,6 +92,67 @@ def test_damage_is_reported():
             list(warc.read_records(io.BytesIO(gzip.compress(wrong))))
 
 
+def foreign(head, block, version="WARC/1.0"):
+    import gzip
+
+    fields = "".join(f"{line}\r\n" for line in [version, *head, f"content-length: {len(block)}"])
+    return gzip.compress(fields.encode() + b"\r\n" + block + b"\r\n\r\n")
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    body = b"hello wide world"
+    chunked = b"5;x=1\r\nhello\r\nb\r\n wide world\r\n0\r\n\r\n"
+    http = b"HTTP/1.1 200 OK\r\nX-Long: a\r\n  folded\r\nTransfer-Encoding: Chunked\r\n\r\n"
+    sha = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    hexed = lambda kind, b: hashlib.new(kind, b).hexdigest()
+    uuid = "<urn:uuid:0b3f5a1c-0000-4000-8000-00000000000%d>"
+    of_http = "Content-Type: application/http;msgtype=response"
+    archive = b"".join(
+        [
+            foreign(["WARC-Type: warcinfo", "WARC-Record-ID: " + uuid % 1, "Content-Type: application/warc-fields"], b"software: x\r\n"),
+            foreign(["warc-type: request", "warc-record-id: " + uuid % 2], b"GET / HTTP/1.1\r\n\r\n", "WARC/0.18"),
+            foreign(["WARC-TYPE: response", "WARC-Target-URI: <http://x/\r\n   y>", of_http,
+                     "WARC-Payload-Digest: SHA-256:" + hexed("sha256", body), "WARC-Block-Digest: md5:" + hexed("md5", http + chunked)], http + chunked, "WARC/1.1"),
+            foreign(["WARC-Type: response", of_http, "WARC-Payload-Digest: sha1:" + sha(chunked)], http + chunked),
+            foreign(["WARC-Type: response", of_http, "WARC-Payload-Digest: blake3:zz"], b"HTTP/1.0 200\r\n\r\n" + body),
+            foreign(["WARC-Type: response", "Content-Type: text/dns"], b"x. 1 IN A 1.2.3.4"),
+            foreign(["WARC-Type: revisit", of_http, "WARC-Refers-To: " + uuid % 2, "WARC-Payload-Digest: sha1:ABC"], b"HTTP/1.1 304\r\n\r\n"),
+            foreign(["WARC-Type: metadata"], b""),
+        ]
+    )
+    rows = list(warc.read_records(io.BytesIO(archive)))
+    assert [r["record_type"] for r in rows] == "warcinfo request response response response response revisit metadata".split()
+    assert [r["payload"] for r in rows[2:5]] == [body] * 3 and rows[2]["payload_digest"] == sha(body)
+    assert rows[2]["url"] == "http://x/ y" and rows[0]["record_id"] == uuid % 1
+    assert rows[6]["refers_to_id"] == uuid % 2 and rows[6]["payload_bytes"] is None and rows[6]["payload"] is None
+    assert rows[5]["payload"] == b"x. 1 IN A 1.2.3.4" and rows[7]["payload_bytes"] == 0
+    assert all(r["page_id"] is None and r["refers_to"] is None for r in rows)
+    # The same by Spark, without payloads, and wrong digests are found in every form.
+    (tmp_path / "a.warc.gz").write_bytes(archive)
+    names = spark.createDataFrame([("a.warc.gz",)], "archive string")
+    back = warc.read(names, str(tmp_path), with_payload=False).collect()
+    assert [r["payload_bytes"] for r in back] == [r["payload_bytes"] for r in rows]
+    for wrong in ("WARC-Payload-Digest: sha256:" + hexed("sha256", b"else"), "WARC-Block-Digest: md5:" + hexed("md5", b"else")):
+        with pytest.raises(ValueError, match="digest differs"):
+            list(warc.read_records(io.BytesIO(foreign(["WARC-Type: response", of_http, wrong], http + chunked))))
+    with pytest.raises(ValueError, match="not a record"):
+        list(warc.read_records(io.BytesIO(foreign([], b"", "HTTP/1.1 200"))))
+
+
+def test_chunks_in_pieces_of_any_size():
+    text = b"".join(b"%x\r\n%s\r\n" % (n, b"z" * n) for n in (1, 15, 16, 300)) + b"0\r\n\r\n"
+    for size in (1, 2, 3, 7, 1000):
+        chunks = warc.Chunks()
+        out = b"".join(chunks.feed(text[i : i + size]) for i in range(0, len(text), size))
+        assert out == b"z" * 332 and chunks.sound and chunks.ended
+
+
+def test_hot_payloads_are_split(spark, pages, monkeypatch):
+    monkeypatch.setattr(warc, "SPLIT_ROWS", 1)
+    got = warc.with_first(pages).collect()
+    assert Counter((r["page_id"], r["first"]) for r in got)[(9, 2)] == 2 and len(got) == pages.count()
+
+
 URLS = [
     "http://x.com/a",
     "https://Example.COM/en/1",
