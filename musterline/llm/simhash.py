@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from musterline.llm.common import by_value, kept, whole_rows
 from musterline.llm.components import components
+from musterline.operators.skew import add_split, copy_per_split, hot_keys
 
 SEED = 42
 # Fingerprints per value of the chosen bits, before variants: decides how many bits.
@@ -37,6 +38,11 @@ PER_VALUE = 256
 MOST_BITS = 26
 # Variants a task holds at once.
 MOST_VARIANTS = 2_000_000
+# Fingerprints of one value beyond which its variants are formed by several tasks.
+CROWDED = 4_000
+# A component or a fingerprint with more rows than this (and a ten-thousandth of all) is split.
+SPLIT_ROWS = 10_000
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 SLICE = 1 << 16
 
 by_value(sys.modules[__name__])
@@ -87,31 +93,40 @@ def flips(bits: list[int], most: int) -> np.ndarray:
     return np.array(masks, np.uint64)
 
 
-def link_one_value(value: int, numbers: np.ndarray, chosen: int, half: int) -> np.ndarray:
+def link_one_value(
+    value: int, numbers: np.ndarray, chosen: int, half: int, split: int = 0, splits: int = 1
+) -> np.ndarray:
     """Pairs (fingerprint, least of its group) among those with a variant of this value.
 
     A variant of the value keeps the chosen bits as `value` and flips at most what is left of
-    `half` among the other bits. Large groups are worked off in parts of the next bits.
+    `half` among the other bits. Variants are dealt into parts by a hash, at most about
+    `MOST_VARIANTS` in each, and a split works off its share of the parts; equal variants are
+    in one part, so parts and splits change no link.
     """
     numbers = np.unique(numbers.view(np.uint64))
     mask = np.uint64(chosen)
     left = half - np.bitwise_count((numbers & mask) ^ np.uint64(value)).astype(np.int64)
     low = numbers & ~mask
     others = [b for b in range(64) if not chosen >> b & 1]
-    most = sum(math.comb(len(others), n) for n in range(half + 1)) * len(numbers)
-    extra = max(0, math.ceil(math.log2(max(1, most / MOST_VARIANTS))))
-    inner, outer = others[: min(extra, 12)], others[min(extra, 12) :]
-    inner_mask = np.uint64(sum(1 << b for b in inner))
-    masks = [flips(outer, n) for n in range(half + 1)]
+    masks = [flips(others, n) for n in range(half + 1)]
+    owned = [np.flatnonzero(left == n) for n in range(half + 1)]
+    total = sum(len(own) * len(own_masks) for own, own_masks in zip(owned, masks))
+    inner = max(1, math.ceil(total / splits / MOST_VARIANTS))
     parent = np.arange(len(numbers))
-    for part in flips(inner, len(inner)):
-        rest = left - np.bitwise_count((low & inner_mask) ^ part).astype(np.int64)
+    for part in range(split * inner, (split + 1) * inner):
         keys, owners = [], []
-        for n in range(half + 1):
-            own = np.flatnonzero(rest == n)
-            if len(own):
-                keys.append(((low[own] & ~inner_mask)[:, None] ^ masks[n][None, :]).ravel())
-                owners.append(np.repeat(own, len(masks[n])))
+        for own, own_masks in zip(owned, masks):
+            step = max(1, MOST_VARIANTS // len(own_masks))
+            for at in range(0, len(own), step):
+                rows = own[at : at + step]
+                made = (low[rows][:, None] ^ own_masks[None, :]).ravel()
+                held = np.repeat(rows, len(own_masks))
+                if splits * inner > 1:
+                    place = (made * SPREAD) >> np.uint64(32)
+                    here = place % np.uint64(splits * inner) == np.uint64(part)
+                    made, held = made[here], held[here]
+                keys.append(made)
+                owners.append(held)
         if not keys:
             continue
         keys, owners = np.concatenate(keys), np.concatenate(owners)
@@ -171,29 +186,51 @@ def links_of(distinct: DataFrame, radius: int = 4) -> DataFrame:
         F.col("fingerprint").bitwiseAND(F.lit(signed)).bitwiseXOR(F.col("mask")).alias("value"),
     )
 
+    # A value that very many near fingerprints share is worked off by several tasks; each gets
+    # them all and forms its part of their variants.
+    counts = kept(dealt.groupBy("value").agg(F.count("*").alias("n")))
+    hot = hot_keys(counts, ["value"], "n", CROWDED)
+    spread = dealt.join(F.broadcast(hot), "value", "left").select(
+        "fingerprint",
+        "value",
+        F.coalesce("splits", F.lit(1)).alias("splits"),
+        F.explode(F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1)).alias("split"),
+    )
+
     def link(key: tuple, table: pa.Table) -> pa.Table:
         value = key[0].as_py() & ((1 << 64) - 1)
-        pairs = link_one_value(value, table["fingerprint"].to_numpy(), chosen, half)
+        numbers = table["fingerprint"].to_numpy()
+        pairs = link_one_value(value, numbers, chosen, half, key[1].as_py(), key[2].as_py())
         wide, narrow = pairs.max(1), pairs.min(1)
         return pa.table({"a": pa.array(wide, pa.int64()), "b": pa.array(narrow, pa.int64())})
 
-    found = dealt.groupBy("value").applyInArrow(link, "a long, b long")
+    found = spread.groupBy("value", "split", "splits").applyInArrow(link, "a long, b long")
     return found.distinct()
 
 
 def groups(rows: DataFrame, radius: int = 4) -> DataFrame:
-    """(fingerprint, first) per distinct fingerprint: the first (id, text hash) of its group.
+    """(fingerprint, first, n) per distinct fingerprint: the first (id, text hash) of its group
+    and the number of rows with it.
 
     `rows` has doc_id, text_hash and fingerprint and should be cheap to read twice.
     """
     key = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")
-    distinct = kept(rows.groupBy("fingerprint").agg(F.min(key).alias("first")))
+    distinct = kept(
+        rows.groupBy("fingerprint").agg(F.min(key).alias("first"), F.count("*").alias("n"))
+    )
     roots = components(links_of(distinct.select("fingerprint"), radius))
     rooted = distinct.join(
         roots.withColumnRenamed("a", "fingerprint"), "fingerprint", "left"
     ).withColumn("root", F.coalesce("root", "fingerprint"))
-    first = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    return rooted.select("fingerprint", "root").join(first, "root").select("fingerprint", "first")
+    first = kept(
+        rooted.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("members"))
+    )
+    # One component may hold a large part of all fingerprints.
+    hot = hot_keys(first.select("root", "members"), ["root"], "members", SPLIT_ROWS)
+    own = add_split(rooted.select("fingerprint", "root", "n"), hot, ["root"], "fingerprint")
+    return own.join(
+        copy_per_split(first.drop("members"), hot, ["root"]), ["root", "split"]
+    ).select("fingerprint", "first", "n")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -213,7 +250,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     The component's id is the smallest doc_id among documents reachable over links.
     """
     rows = fingerprints(docs, shingle)
-    return rows.join(groups(rows, radius), "fingerprint").select(
+    found = kept(groups(rows, radius))
+    # One fingerprint, such as that of empty texts, may be that of very many rows.
+    hot = hot_keys(found.select("fingerprint", "n"), ["fingerprint"], "n", SPLIT_ROWS)
+    single = copy_per_split(found.drop("n"), hot, ["fingerprint"])
+    dealt = add_split(rows, hot, ["fingerprint"], "text_hash")
+    return dealt.join(single, ["fingerprint", "split"]).select(
         "doc_id",
         as_hex(F.col("fingerprint")).alias("fingerprint"),
         F.col("first.doc_id").alias("component_id"),

@@ -105,6 +105,55 @@ def test_a_crowded_value_is_worked_off_in_parts(monkeypatch):
     monkeypatch.setattr(simhash, "MOST_VARIANTS", 3000)
     parts = simhash.link_one_value(0, numbers & ~0xFF00, 0xFF00, 2)
     assert len(whole) and sorted(map(tuple, whole)) == sorted(map(tuple, parts))
+    # Several tasks, each with all fingerprints and a part of the variants.
+    split = np.concatenate([simhash.link_one_value(0, numbers & ~0xFF00, 0xFF00, 2, i, 4) for i in range(4)])
+    wanted = {(int(a) % (1 << 64), int(b) % (1 << 64)) for a, b in whole}
+    groups = plain_groups({(int(a) % (1 << 64), int(b) % (1 << 64)) for a, b in split})
+    assert groups == plain_groups(wanted)
+
+
+def plain_groups(links):
+    parent = {n: n for link in links for n in link}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in links:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    found = defaultdict(set)
+    for n in parent:
+        found[root(n)].add(n)
+    return sorted(map(sorted, found.values()))
+
+
+def test_many_near_fingerprints_stay_within_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    numbers = np.unique([sum(1 << int(b) for b in rng.choice(40, 3)) for _ in range(8000)]).astype(np.int64)
+    tracemalloc.start()
+    links = simhash.link_one_value(0, numbers, 0b11 << 60, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20 and len(plain_groups({tuple(map(int, link)) for link in links})) == 1
+
+
+def test_crowded_values_large_groups_and_common_fingerprints_are_split(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWDED", 5)
+    monkeypatch.setattr(simhash, "SPLIT_ROWS", 3)
+    base = " ".join(f"w{i}" for i in range(300))
+    rows = [(i, base + f" end{i % 25}") for i in range(60)] + [(100 + i, "") for i in range(20)]
+    rows += [(200 + i, t) for i, t in enumerate(texts(21, 30, 30))]
+    got = simhash.near_duplicates(docs_of(rows)).collect()
+    prints = {i: plain_fingerprint(t, 4) for i, t in rows}
+    roots = plain_components(set(prints.values()), 4)
+    least = defaultdict(list)
+    for i, f in prints.items():
+        least[roots[f]].append(i)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: min(least[roots[f]]) for i, f in prints.items()}
+    assert len(got) == len(rows)
 
 
 def test_one_document_of_each_group_stays(docs_of, odd_rows):
