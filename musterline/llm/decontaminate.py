@@ -8,8 +8,9 @@ verified word for word.
 
 Two passes over the texts: one counts in how many documents the benchmark's pairs occur, one
 collects the matches of rare pairs with the words around them. Both test words against a
-bitmap of fixed size, so what is sent to the tasks does not grow with the benchmark; pairs
-that pass the bitmap by chance are dropped by the exact join.
+bitmap with about `BITS_EACH` bits a pair, so that one word in some thirty passes by chance; its size
+is bounded (32 MB, enough for 8 million pairs). Pairs that pass by chance are dropped by the
+exact join.
 
 Defined cases: null and blank texts have no words; an item without words has no window; an item
 shorter than a window is one window of its length; a null item_id can be hit but is not listed;
@@ -26,8 +27,9 @@ from musterline.llm.common import add_words, kept, lower_ascii, whole_rows
 # Fixed value: what is not a word character once A-Z are lower-cased.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-# Bitmap of 2**20 bits in 2**14 longs: 128 KB whatever the benchmark's size.
-CELLS = 14
+# Bitmaps have at least 2**14 longs (128 KB) and at most 2**22 (32 MB), a power of two.
+LEAST_CELLS, MOST_CELLS = 14, 22
+BITS_EACH = 32
 
 
 def with_words(frame: DataFrame) -> DataFrame:
@@ -49,17 +51,23 @@ def with_tokens(frame: DataFrame, words: str, size: int) -> DataFrame:
     return single.withColumn("tokens", pairs).drop("__single")
 
 
-def bitmap(hashes: DataFrame) -> Column:
-    """All values of the column `hash` as one array of 2**CELLS longs, a scalar subquery."""
+def cells_for(hashes: DataFrame) -> int:
+    """Binary logarithm of the longs that a bitmap of these hashes gets."""
+    longs = max(1, hashes.count() * BITS_EACH // 64)
+    return min(MOST_CELLS, max(LEAST_CELLS, (longs - 1).bit_length()))
+
+
+def bitmap(hashes: DataFrame, size: int) -> Column:
+    """All values of the column `hash` as one array of 2**size longs, a scalar subquery."""
     spark = hashes.sparkSession
     bits = hashes.groupBy(
-        F.col("hash").bitwiseAND(F.lit((1 << CELLS) - 1)).alias("cell")
+        F.col("hash").bitwiseAND(F.lit((1 << size) - 1)).alias("cell")
     ).agg(
         F.bit_or(
             F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col("hash")))
         ).alias("bits")
     )
-    cells = spark.range(1 << CELLS).withColumnRenamed("id", "cell")
+    cells = spark.range(1 << size).withColumnRenamed("id", "cell")
     rows = cells.join(bits, "cell", "left").select(
         F.struct("cell", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("row")
     )
@@ -72,8 +80,8 @@ def _bit(value: Column) -> Column:
     return F.shiftrightunsigned(value, 58).cast("int")
 
 
-def in_bitmap(cells: Column, value: Column) -> Column:
-    cell = F.get(cells, value.bitwiseAND(F.lit((1 << CELLS) - 1)).cast("int"))
+def in_bitmap(cells: Column, value: Column, size: int) -> Column:
+    cell = F.get(cells, value.bitwiseAND(F.lit((1 << size) - 1)).cast("int"))
     moved = F.call_function("shiftrightunsigned", cell, _bit(value))
     return moved.bitwiseAND(F.lit(1).cast("long")) == 1
 
@@ -95,12 +103,14 @@ def rare_tokens(docs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     tokens = with_tokens(texts.select("window"), "window", size).select(
         "window", F.posexplode("tokens").alias("place", "hash")
     )
-    cells = bitmap(tokens.select("hash").distinct())
+    distinct = kept(tokens.select("hash").distinct())
+    longs = cells_for(distinct)
+    cells = bitmap(distinct, longs)
     # The filter is a column of its own: an explode repeats what it is given.
     seen = (
         with_tokens(with_words(docs.select("text")), "w", size)
         .select("tokens", cells.alias("cells"))
-        .select(F.filter("tokens", lambda h: in_bitmap(F.col("cells"), h)).alias("own"))
+        .select(F.filter("tokens", lambda h: in_bitmap(F.col("cells"), h, longs)).alias("own"))
         .select(F.explode(F.array_distinct("own")).alias("hash"))
         .groupBy("hash")
         .agg(F.count("*").alias("documents"))
@@ -118,12 +128,14 @@ def rare_tokens(docs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
 def matches(docs: DataFrame, prefixes: DataFrame, size: int, window: int) -> DataFrame:
     """doc_id, text_hash, n_words and the places of rare tokens with the words around them."""
-    cells = bitmap(prefixes.select("hash").distinct())
+    distinct = prefixes.select("hash").distinct()
+    longs = cells_for(distinct)
+    cells = bitmap(distinct, longs)
     cut = with_tokens(
         with_words(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))), "w", size
     ).withColumn("cells", cells)
     numbered = F.transform(
-        "tokens", lambda h, i: F.when(in_bitmap(F.col("cells"), h), F.struct(h.alias("hash"), i.alias("at")))
+        "tokens", lambda h, i: F.when(in_bitmap(F.col("cells"), h, longs), F.struct(h.alias("hash"), i.alias("at")))
     )
     found = F.filter(numbered, lambda t: t.isNotNull())
     reach = window - size

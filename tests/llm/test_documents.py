@@ -504,3 +504,22 @@ def test_rules_equal_their_sql_on_odd_lines(docs_of, odd_rows):
     names = [c[0] for c in cursor.description]
     mine = rules.judge(docs).select(*names).collect()
     assert sorted(map(repr, map(tuple, mine))) == sorted(map(repr, cursor.fetchall()))
+
+
+def test_the_bitmap_grows_with_the_benchmark(spark, docs_of, odd_rows, monkeypatch):
+    few = spark.range(1000).select(F.xxhash64("id").alias("hash"))
+    many = spark.range(200_000).select(F.xxhash64("id").alias("hash"))
+    assert decontaminate.cells_for(few) == decontaminate.LEAST_CELLS
+    assert decontaminate.cells_for(many) == 17
+    other = spark.range(300_000, 320_000).select(F.xxhash64("id").alias("hash"))
+    cells = decontaminate.bitmap(many, 17)
+    passed = other.where(decontaminate.in_bitmap(cells, F.col("hash"), 17)).count()
+    assert passed < 20_000 / 20 and many.where(~decontaminate.in_bitmap(cells, F.col("hash"), 17)).count() == 0
+    # Any size gives the same result.
+    rows = [(100 + i, t) for i, t in enumerate(texts(31, 80, 40, 12))]
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(texts(32, 40, 25, 12))], "item_id long, text string")
+    look = lambda: sorted(map(str, decontaminate.contamination(docs_of(rows + odd_rows), items).collect()))
+    whole = look()
+    monkeypatch.setattr(decontaminate, "LEAST_CELLS", 0)
+    monkeypatch.setattr(decontaminate, "BITS_EACH", 1)
+    assert look() == whole and any("n_hit=0" not in row for row in whole)
