@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+import pyarrow.fs
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -55,6 +56,12 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def remove_folder(folder: str) -> None:
+    """Remove a folder of intermediate files, in any store that pyarrow.fs opens."""
+    system, path = pyarrow.fs.FileSystem.from_uri(folder)
+    system.delete_dir(path)
+
+
 # Copies that one row of `each_copy` stands for before it is opened.
 COPIES_AT_ONCE = 4096
 

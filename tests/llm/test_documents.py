@@ -517,7 +517,8 @@ def test_the_bitmap_grows_with_the_benchmark(spark, docs_of, odd_rows, monkeypat
     assert passed < 20_000 / 20 and many.where(~decontaminate.in_bitmap(cells, F.col("hash"), 17)).count() == 0
     # Any size gives the same result.
     rows = [(100 + i, t) for i, t in enumerate(texts(31, 80, 40, 12))]
-    items = spark.createDataFrame([(i, t) for i, t in enumerate(texts(32, 40, 25, 12))], "item_id long, text string")
+    parts = [(i, " ".join(t.split()[3:18])) for i, (_, t) in enumerate(rows[:40])]
+    items = spark.createDataFrame(parts, "item_id long, text string")
     look = lambda: sorted(map(str, decontaminate.contamination(docs_of(rows + odd_rows), items).collect()))
     whole = look()
     monkeypatch.setattr(decontaminate, "LEAST_CELLS", 0)

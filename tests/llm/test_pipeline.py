@@ -48,3 +48,12 @@ def test_run_gives_the_last_stage(spark):
     for r in out.select("shard", "slot").collect():
         slots.setdefault(r["shard"], []).append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_run_leaves_the_last_result_only(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(corpus_pipeline, "new_folder", lambda *_: str(tmp_path / "run"))
+    keep = [(f"stage {n}", lambda spark, docs, sf_dir: docs) for n in range(4)]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", keep)
+    out = corpus_pipeline.run(spark, SMALL)
+    assert [p.name for p in (tmp_path / "run").iterdir()] == ["3"]
+    assert out.count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
