@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from musterline.llm import decontaminate, mixing, sharding, simhash, toxicity
-from musterline.llm.common import new_folder, read
+from musterline.llm.common import new_folder, read, remove_folder
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +47,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each result is written as Parquet and read by the next."""
+    """All stages in order; each result is written as Parquet and read by the next.
+
+    A stage's result is removed once that of the next one is complete; the last stays.
+    """
     docs = read(spark, sf_dir, "documents")
     folder = new_folder(spark, "pipeline")
     for number, (_, stage) in enumerate(STAGES):
         out = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if number:
+            remove_folder(f"{folder}/{number - 1}")
     return docs

@@ -745,7 +745,7 @@ def cascade_filter(spark, sf_dir):
     with_employee("SELECT count(*) AS employees FROM employee WHERE FALSE"),
 )
 def cascade_filter_nothing_selected(spark, sf_dir):
-    view = views.cascade_filter(month(spark, sf_dir).employees, units=["OU_0"], leads=[])
+    view = views.cascade_filter(month(spark, sf_dir).employees, units=["OU_none"], leads=["FL_0"])
     return view.agg(F.count(F.lit(1)).alias("employees"))
 
 
