@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from musterline.catalog import sql
 from musterline.catalog.registry import query
 from musterline.catalog.sql import HISTORY, percent, with_daily, with_employee
-from musterline.operators import trends
+from musterline.operators import day_sets, trends, views
 from musterline.plans.attendance import Attendance, analyse_days
+from musterline.session import durable
 from musterline.sources import derived
 
 
@@ -147,6 +148,23 @@ for _metric in trends.HEATMAP_METRICS:
     _heatmap(_metric)
 
 
+@query(
+    "working_days_of_views",
+    with_daily(
+        """SELECT functional_lead, count(DISTINCT date) AS working_days FROM daily
+        WHERE ou_name IN ('BUILDING', 'MACHINERY') GROUP BY functional_lead
+        UNION ALL SELECT 'all', count(DISTINCT date) FROM daily""",
+        HISTORY,
+    ),
+)
+def working_days_of_views(spark, sf_dir):
+    """Distinct days by lead within two units, and over all, from one small table."""
+    sets = durable(history(spark, sf_dir).day_sets())
+    chosen = views.cascade_filter(sets, units=["BUILDING", "MACHINERY"])
+    every = day_sets.working_days(sets).select(F.lit("all").alias("functional_lead"), "working_days")
+    return day_sets.working_days(chosen, "functional_lead").unionByName(every)
+
+
 @query(
     "heatmap_wide",
     with_employee(

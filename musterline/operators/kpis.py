@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from musterline.functions.codes import LEAVE_COLUMNS, MISSING
-from musterline.functions.columns import percent, total
+from musterline.functions.columns import month_start, percent, total
+from musterline.operators.day_sets import day_set, working_days
 
 RATES = ("presence_rate", "leave_rate", "absenteeism_rate")
 TEAM_KEYS = ("functional_lead", "reporting_manager")
@@ -131,7 +132,9 @@ def manager_teams(employees: DataFrame) -> DataFrame:
 
 def period_working_days(daily: DataFrame) -> DataFrame:
     """Distinct dates with a record; 0 on no rows, null dates not counted."""
-    return daily.agg(F.countDistinct("date").alias("period_working_days"))
+    dated = daily.where(F.col("date").isNotNull())
+    months = dated.groupBy(month_start("date").alias("month_start")).agg(day_set().alias("days"))
+    return working_days(months).withColumnRenamed("working_days", "period_working_days")
 
 
 def attendance_summary(
@@ -216,12 +219,12 @@ def view_cards(employees: DataFrame) -> DataFrame:
 
 def capacity(employees: DataFrame, daily: DataFrame) -> DataFrame:
     """Standard capacity = headcount x working days, and the gap to actual mandays."""
-    working_days = period_working_days(daily).scalar()
+    days = period_working_days(daily).scalar()
     sums = employees.agg(
         F.count(F.lit(1)).alias("headcount"), total("mandays").alias("mandays")
     )
     facts = (
-        sums.withColumn("period_working_days", working_days)
+        sums.withColumn("period_working_days", days)
         .withColumn("standard_capacity", F.col("headcount") * F.col("period_working_days"))
         .withColumn("capacity_gap", F.col("standard_capacity") - F.col("mandays"))
     )
@@ -239,7 +242,7 @@ def absence_cost(employees: DataFrame, daily_cost: float = 100.0) -> DataFrame:
 
 def team_rollup(employees: DataFrame, daily: DataFrame, alert_above: float = 7.0) -> DataFrame:
     """Lead -> manager: size, mandays against capacity, absenteeism rate and its flag."""
-    working_days = period_working_days(daily).scalar()
+    days = period_working_days(daily).scalar()
     teams = _with_lead(employees).groupBy(*TEAM_KEYS).agg(
         F.count(F.lit(1)).alias("team_size"),
         total("mandays").alias("mandays"),
@@ -247,7 +250,7 @@ def team_rollup(employees: DataFrame, daily: DataFrame, alert_above: float = 7.0
     )
     rate = percent("total_absenteeism", "mandays")
     return (
-        teams.withColumn("standard_capacity", F.col("team_size") * working_days)
+        teams.withColumn("standard_capacity", F.col("team_size") * days)
         .withColumn("absenteeism_rate", rate)
         .withColumn(
             "status",

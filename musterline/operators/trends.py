@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from musterline.functions.codes import MISSING
 from musterline.functions.columns import fixed, month_key, month_label, month_start, percent, total
+from musterline.operators.day_sets import day_set, days_in
 
 # Heatmap metrics -> trend column, and whether more is better.
 HEATMAP_METRICS = {
@@ -33,7 +34,8 @@ def monthly_trends(daily: DataFrame) -> DataFrame:
     months = (
         daily.where(F.col("date").isNotNull())
         .groupBy(month_start("date").alias("month_start"))
-        .agg(*_sums(), F.countDistinct("date").alias("days_in_data"))
+        .agg(*_sums(), day_set().alias("days"))
+        .withColumn("days_in_data", days_in("days"))
     )
     return (
         _balance(months)

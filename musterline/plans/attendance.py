@@ -9,7 +9,16 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 
 from musterline.functions.codes import AS_OBSERVED, CodeBook
-from musterline.operators import cleaning, days, employees, insights, kpis, trends, views
+from musterline.operators import (
+    cleaning,
+    day_sets,
+    days,
+    employees,
+    insights,
+    kpis,
+    trends,
+    views,
+)
 from musterline.session import durable
 
 
@@ -45,6 +54,11 @@ class Attendance:
     def summary(self, period: str = "Overall") -> DataFrame:
         return kpis.attendance_summary(self.employees, period, self.daily)
 
+    def day_sets(self) -> DataFrame:
+        """Days with a record by unit, lead, manager and month. Small: keep it, and
+        `views.cascade_filter` and `day_sets.working_days` answer for any selection."""
+        return day_sets.day_sets(self.daily)
+
     def heatmap(self, metric: str) -> DataFrame:
         """Lead x month heatmap. The lead-month sums are few; kept, they serve both for
         finding the months and for the cells."""

@@ -134,3 +134,22 @@ def test_briefing_counts(frames):
 def test_every_metric_is_a_multiple_of_a_half(frames):
     sums = frames.employees.select(*[(F.col(c) * 2 % 1).alias(c) for c in LEAVE_COLUMNS])
     assert all(v == 0 for row in sums.collect() for v in row)
+
+
+def test_day_sets_count_distinct_days_of_any_union(spark, days_of):
+    from musterline.operators import day_sets, views
+
+    rows = [("E1", "2026-01-31", "P"), ("E1", "2026-01-31", "CL"), ("E1", None, "P"), ("E1", "2026-02-01", "P")]
+    other = [("E2", "2026-01-31", "P"), ("E2", "2026-01-01", "P"), ("E2", "2025-01-31", "P")]
+    daily = analyse_days(days_of(rows, unit="U1", lead="L1")).daily.unionByName(
+        analyse_days(days_of(other, unit="U2", lead="L1")).daily
+    )
+    sets = day_sets.day_sets(daily)
+    assert day_sets.working_days(sets).first().working_days == 4
+    assert {r.ou_name: r.working_days for r in day_sets.working_days(sets, "ou_name").collect()} == {"U1": 2, "U2": 3}
+    one = views.cascade_filter(sets, units=["U1"])
+    assert day_sets.working_days(one).first().working_days == 2
+    assert day_sets.working_days(sets.limit(0)).first().working_days == 0
+    assert kpis.period_working_days(daily.limit(0)).first().period_working_days == 0
+    plan = kpis.period_working_days(daily)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
