@@ -8,6 +8,7 @@ from musterline.catalog import sql
 from musterline.catalog.registry import query
 from musterline.functions import special
 from musterline.functions import text as tx
+from musterline.operators import answers as an
 from musterline.operators import leavers as lv
 from musterline.operators import sentiment as st
 from musterline.operators import terms as tm
@@ -62,6 +63,11 @@ def wide(spark, sf_dir) -> DataFrame:
     return lv.pivot_answers(derived.exit_answers(spark, sf_dir))
 
 
+def spoken(spark, sf_dir) -> DataFrame:
+    answers = derived.exit_answers(spark, sf_dir)
+    return an.add_feedback(an.gather_answers(answers), an.questions(answers))
+
+
 @query(
     "read_answers_order",
     "SELECT conv_id, min_by(role, turn) AS role, count(*) AS answers FROM conversations GROUP BY conv_id",
@@ -121,7 +127,7 @@ def question_names(spark, sf_dir):
     f"WITH {FEEDBACK} SELECT resignationletterdate, full_feedback FROM feedback",
 )
 def feedback_text(spark, sf_dir):
-    return lv.add_feedback(wide(spark, sf_dir)).select("resignationletterdate", "full_feedback")
+    return spoken(spark, sf_dir).select("resignationletterdate", "full_feedback")
 
 
 @query(
@@ -185,13 +191,12 @@ def sentiment(spark, sf_dir):
 
 def leavers(spark, sf_dir) -> DataFrame:
     """Leavers with key, feedback, tokens and sentiment."""
-    return exits.wide_leavers(derived.exit_answers(spark, sf_dir), lexicon(spark, sf_dir))
+    return exits.scored_leavers(derived.exit_answers(spark, sf_dir), lexicon(spark, sf_dir))
 
 
 def lexicon(spark, sf_dir) -> DataFrame:
-    feedback = lv.add_feedback(wide(spark, sf_dir))
     return derived.token_lexicon(
-        feedback.select(F.explode(tx.words("full_feedback")).alias("token")), derived.BY_LETTERS
+        spoken(spark, sf_dir).select(F.explode(tx.words("full_feedback")).alias("token")), derived.BY_LETTERS
     )
 
 
@@ -469,7 +474,7 @@ def chosen_theme_comments(spark, sf_dir):
     """What the leavers of one theme wrote."""
     chosen = insights(spark, sf_dir).of_theme(exits.PRAISE, 0)
     named = chosen.withColumn("theme", F.filter("assigned", lambda a: a["topic"] == 0)[0]["theme"])
-    return lv.verbatim_comments(named).select(
+    return an.verbatim_comments(named).select(
         "resignationletterdate", "designation", "theme", "all_comments"
     )
 
@@ -516,7 +521,8 @@ def designation_share(spark, sf_dir):
     GROUP BY resignationletterdate""",
 )
 def verbatim_comments(spark, sf_dir):
-    return lv.verbatim_comments(wide(spark, sf_dir)).select("resignationletterdate", "all_comments")
+    gathered = an.gather_answers(derived.exit_answers(spark, sf_dir))
+    return an.verbatim_comments(gathered).select("resignationletterdate", "all_comments")
 
 
 @query(
@@ -529,14 +535,8 @@ def verbatim_comments(spark, sf_dir):
     WHERE regexp_matches({NAME}, 'what|suggestion|comment|addtional')""",
 )
 def proof_view(spark, sf_dir):
-    """The proof table with its leaver, its text columns opened into rows: which there are
-    depends on the data."""
-    table = leavers(spark, sf_dir)
-    proof = lv.proof_view(table, ["resignationletterdate"])
-    shown = ["resignationletterdate", "designation", "resignationreason", "sentiment"]
-    return proof.unpivot(shown, lv.comment_columns(proof), "question", "answer").where(
-        F.col("answer").isNotNull()
-    )
+    """The proof table with its leaver, a row per comment."""
+    return an.proof(leavers(spark, sf_dir), "resignationletterdate")
 
 
 # --- theme operators on a given term-topic table and given mixtures ---

@@ -75,6 +75,19 @@ def questions_of(answers: DataFrame) -> list[tuple[str, str]]:
     return named
 
 
+def first_answers(answers: DataFrame, order: Column | str | None = None) -> DataFrame:
+    """The first non-null `answer` of each leaver to each question, in input order."""
+    usable = usable_answers(answers)
+    if order is None:
+        order = ROW_ORDER if ROW_ORDER in usable.columns else F.monotonically_increasing_id()
+    order = F.col(order) if isinstance(order, str) else order
+    return (
+        usable.withColumn("_place", order)
+        .groupBy(*IDENTIFIERS, QUESTION)
+        .agg(F.min_by(F.col(ANSWER).cast("string"), "_place").alias("answer"))
+    )
+
+
 def pivot_answers(
     answers: DataFrame,
     order: Column | str | None = None,
@@ -86,18 +99,10 @@ def pivot_answers(
     answer per leaver and question is picked on the map side; only then are the
     picked answers pivoted.
     """
-    usable = usable_answers(answers)
-    if order is None:
-        order = ROW_ORDER if ROW_ORDER in usable.columns else F.monotonically_increasing_id()
-    order = F.col(order) if isinstance(order, str) else order
     questions = list(questions) if questions is not None else questions_of(answers)
-    first = (
-        usable.withColumn("_place", order)
-        .groupBy(*IDENTIFIERS, QUESTION)
-        .agg(F.min_by(F.col(ANSWER).cast("string"), "_place").alias("answer"))
-    )
     wide = (
-        first.groupBy(*IDENTIFIERS)
+        first_answers(answers, order)
+        .groupBy(*IDENTIFIERS)
         .pivot(QUESTION, [question for question, _ in questions])
         .agg(F.first("answer"))
     )

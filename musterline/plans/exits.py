@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from musterline.operators import answers as an
 from musterline.operators import leavers as lv
 from musterline.operators import sentiment as st
 from musterline.operators import terms as tm
@@ -22,27 +24,33 @@ THEME_TYPES = {PRAISE: "Praise / Satisfaction", CONCERN: "Concern / Attrition Dr
 class ExitInsights:
     """Themes per corpus and one row per leaver.
 
-    A leaver has `assigned_themes`, the names, and `assigned`, structs of corpus, topic
-    and name: two topics may come to the same name.
+    A leaver has `answers`, a map by question, `assigned_themes`, the names, and `assigned`,
+    structs of corpus, topic and name: two topics may come to the same name.
     """
 
     themes: DataFrame
     leavers: DataFrame
 
+    def wide(self, questions: Sequence[tuple[str, str]]) -> DataFrame:
+        """The leavers with a column per question, as `leavers.questions_of` names them."""
+        named = {name: F.col("answers")[question] for question, name in questions}
+        return self.leavers.withColumns(named).drop("answers") if named else self.leavers
+
     def of_theme(self, corpus: str, topic: int) -> DataFrame:
         """The leavers of one theme, for their comments, proof and designations."""
         return lv.leavers_of_topic(self.leavers, corpus, topic)
 
 
-def wide_leavers(
+def scored_leavers(
     answers: DataFrame,
     lexicon: DataFrame,
     order: Column | str | None = None,
     lemmas: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per leaver with key, feedback text, tokens and sentiment."""
-    wide = lv.add_feedback(lv.add_leaver_key(lv.pivot_answers(answers, order)))
-    scored = st.add_tokens(st.add_sentiment(wide, lv.LEAVER_KEY, lexicon))
+    """One row per leaver with key, `answers`, feedback text, tokens and sentiment."""
+    gathered = lv.add_leaver_key(an.gather_answers(answers, order))
+    spoken = an.add_feedback(gathered, an.questions(answers))
+    scored = st.add_tokens(st.add_sentiment(spoken, lv.LEAVER_KEY, lexicon))
     if lemmas is None:
         return scored
     based = st.lemmatise(scored, lv.LEAVER_KEY, lemmas)
@@ -71,7 +79,7 @@ def analyse_exits(
 
     `theme_names(corpus, topic, name)` replaces the names made from keywords.
     """
-    scored = durable(wide_leavers(answers, lexicon, order, lemmas))
+    scored = durable(scored_leavers(answers, lexicon, order, lemmas))
     docs = corpora_of(scored)
     weights = durable(tm.tfidf_by_split(docs, lv.LEAVER_KEY, (PRAISE, CONCERN)))
     fit = _corpora_large_enough(docs, weights)

@@ -178,3 +178,28 @@ def test_two_topics_of_one_name_stay_apart(spark):
     shares = lv.theme_designations(found.leavers).where("corpus = 'praise'").collect()
     for topic in {s.topic for s in shares}:
         assert sum(s.share_pct for s in shares if s.topic == topic) == pytest.approx(100)
+
+
+def test_answers_as_a_map_say_what_the_columns_say(spark):
+    from musterline.operators import answers as an
+
+    rows = [("a", "What now", "go"), ("a", "Comments", "x"), ("a", "Addtional", " "), ("b", "Scale", "5"), ("a", "Q3", "z"),
+            ("b", "What now", "stay on"), ("b", "comments!", "ok then"), ("c", "Scale", None), ("a", "What now", "later"), ("d", "Only", "")]
+    source = answers(spark, rows).repartition(3)
+    gathered, wide = an.gather_answers(source, "place"), lv.pivot_answers(source, "place")
+    key = lambda f, c: {r.resignationletterdate: r[c] for r in f.collect()}
+    assert key(an.add_feedback(gathered, an.questions(source)), "full_feedback") == key(lv.add_feedback(wide), "full_feedback")
+    assert key(an.verbatim_comments(gathered), "all_comments") == key(lv.verbatim_comments(wide), "all_comments")
+    mood = F.lit("Neutral")
+    long = an.proof(gathered.withColumn("sentiment", mood), "resignationletterdate").collect()
+    assert sorted((r.resignationletterdate, r.question, r.answer) for r in long) == [
+        ("a", "addtional", " "), ("a", "comments", "x"), ("a", "what_now", "go"), ("b", "comments", "ok then"), ("b", "what_now", "stay on"),
+    ]
+
+
+def test_wide_output_of_the_plan(spark):
+    rows, lexicon = survey(spark)
+    found = exits.analyse_exits(rows, lexicon, order="place")
+    table = found.wide(lv.questions_of(rows))
+    assert "what_made_you_go" in table.columns and "answers" not in table.columns
+    assert {r.what_made_you_go for r in table.where("resignationletterdate = 'L99'").collect()} == {"plain words"}
