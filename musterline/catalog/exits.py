@@ -14,7 +14,7 @@ from musterline.operators import sentiment as st
 from musterline.operators import terms as tm
 from musterline.operators import topics as tp
 from musterline.plans import exits
-from musterline.session import shared_folder
+from musterline.session import durable, shared_folder
 from musterline.sources import derived, read_answers
 
 ANSWER_CTES = f"{sql.ANSWERS},\n{sql.FIRST_ANSWERS}"
@@ -147,7 +147,7 @@ def clean_tokens(spark, sf_dir):
         FROM documents""",
 )
 def lemma_tokens(spark, sf_dir):
-    docs = st.add_tokens(derived.feedback_texts(spark, sf_dir), "text")
+    docs = durable(st.add_tokens(derived.feedback_texts(spark, sf_dir), "text").drop("text"))
     lemmas = derived.token_lemmas(docs.select(F.explode("tokens").alias("token")))
     return st.lemmatise(docs, "doc_id", lemmas).select(
         "doc_id", st.cleaned_text().alias("cleaned")

@@ -10,6 +10,8 @@ from musterline.functions.text import STOP_WORDS, content_words, words
 COMPOUND_ALPHA = 15
 POSITIVE_FROM = 0.05
 NEGATIVE_UP_TO = -0.05
+# Maps over which the changed tokens of one document are spread.
+FORM_MAPS = 16
 
 
 def add_tokens(
@@ -23,21 +25,35 @@ def lemmatise(docs: DataFrame, key: str, lemmas: DataFrame) -> DataFrame:
 
     Returns `key` and `tokens` in the old order. Tokens without an entry stay; of several
     entries for one token the first by code point counts.
-    The join takes no hint: Spark broadcasts the table only while its size allows,
-    and splits frequent tokens otherwise.
+    Only the distinct tokens of a document meet the table, and only those with another base form
+    come back, as small maps; the tokens themselves stay where they are, in order. The join
+    takes no hint: Spark broadcasts the table only while its size allows, and splits frequent
+    tokens otherwise.
     """
-    spots = docs.select(key, F.posexplode("tokens").alias("place", "token"))
-    single = lemmas.groupBy("token").agg(F.min("lemma").alias("lemma"))
-    based = spots.join(single, "token", "left").select(
-        key,
-        F.struct("place", F.coalesce("lemma", "token").alias("token")).alias("spot"),
+    single = lemmas.groupBy("token").agg(F.min("lemma").alias("lemma")).where("lemma <> token")
+    distinct = docs.select(key, F.explode(F.array_distinct("tokens")).alias("token"))
+    # Entries of a document in a few maps by hash, as a map is searched from its start.
+    forms = F.transform(
+        F.sequence(F.lit(0), F.lit(FORM_MAPS - 1)),
+        lambda n: F.map_from_entries(
+            F.filter("entries", lambda e: F.pmod(F.hash(e["token"]), F.lit(FORM_MAPS)) == n)
+        ),
     )
-    gathered = based.groupBy(key).agg(F.array_sort(F.collect_list("spot")).alias("spots"))
-    rebuilt = gathered.select(key, F.col("spots.token").alias("tokens"))
+    changed = (
+        distinct.join(single, "token")
+        .groupBy(key)
+        .agg(F.collect_list(F.struct("token", "lemma")).alias("entries"))
+        .select(key, forms.alias("forms"))
+    )
+    based = F.transform(
+        "tokens",
+        lambda t: F.coalesce(F.get("forms", F.pmod(F.hash(t), F.lit(FORM_MAPS)))[t], t),
+    )
+    tokens = F.when(F.col("forms").isNull(), F.col("tokens")).otherwise(based)
     return (
-        docs.select(key)
-        .join(rebuilt, key, "left")
-        .select(key, F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+        docs.select(key, "tokens")
+        .join(changed, key, "left")
+        .select(key, F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"))
     )
 
 
