@@ -38,8 +38,10 @@ PER_VALUE = 256
 MOST_BITS = 26
 # Variants a task holds at once.
 MOST_VARIANTS = 2_000_000
-# Fingerprints of one value beyond which its variants are formed by several tasks.
-CROWDED = 4_000
+# Variants of one value beyond which they are formed by several tasks, and of how many values and by
+# how many tasks at most; any further ones are formed in more parts, one after the other.
+CROWDED = 32_000_000
+MOST_CROWDED, MOST_SPLITS = 10_000, 256
 # A component or a fingerprint with more rows than this (and a ten-thousandth of all) is split.
 SPLIT_ROWS = 10_000
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -183,13 +185,20 @@ def links_of(distinct: DataFrame, radius: int = 4) -> DataFrame:
     masks = F.array(*[F.lit(int(m)) for m in flips(even, half).view(np.int64)])
     dealt = distinct.select("fingerprint", F.explode(masks).alias("mask")).select(
         "fingerprint",
+        "mask",
         F.col("fingerprint").bitwiseAND(F.lit(signed)).bitwiseXOR(F.col("mask")).alias("value"),
     )
 
-    # A value that very many near fingerprints share is worked off by several tasks; each gets
-    # them all and forms its part of their variants.
-    counts = kept(dealt.groupBy("value").agg(F.count("*").alias("n")))
-    hot = hot_keys(counts, ["value"], "n", CROWDED)
+    # A value with very many variants is worked off by several tasks; each gets all its
+    # fingerprints and forms its part of their variants.
+    others = 64 - bits
+    variants = [sum(math.comb(others, k) for k in range(n + 1)) for n in range(half + 1)]
+    weight = F.get(F.array(*map(F.lit, variants)), F.lit(half) - F.bit_count("mask"))
+    counts = kept(
+        dealt.groupBy("value").agg(F.sum(weight.cast("long")).alias("n")).where(F.col("n") > CROWDED)
+    )
+    splits = F.least(F.ceil(F.col("n") / CROWDED), F.lit(MOST_SPLITS)).cast("int")
+    hot = counts.orderBy(F.desc("n"), "value").limit(MOST_CROWDED).select("value", splits.alias("splits"))
     spread = dealt.join(F.broadcast(hot), "value", "left").select(
         "fingerprint",
         "value",

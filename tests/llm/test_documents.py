@@ -141,7 +141,7 @@ def test_many_near_fingerprints_stay_within_memory():
 
 
 def test_crowded_values_large_groups_and_common_fingerprints_are_split(spark, docs_of, monkeypatch):
-    monkeypatch.setattr(simhash, "CROWDED", 5)
+    monkeypatch.setattr(simhash, "CROWDED", 5000)
     monkeypatch.setattr(simhash, "SPLIT_ROWS", 3)
     base = " ".join(f"w{i}" for i in range(300))
     rows = [(i, base + f" end{i % 25}") for i in range(60)] + [(100 + i, "") for i in range(20)]
