@@ -186,3 +186,20 @@ def test_hot_keys_are_few_and_split_evenly(spark):
     sizes = [r["count"] for r in skew.add_split(rows, hot, ["k"], "id").groupBy("split").count().collect()]
     assert len(sizes) == 34 and max(sizes) < 1.3 * 50_000 / 34
     assert skew.copy_per_split(hot.select("k"), hot, ["k"]).count() == 34
+
+
+def test_terms_are_counted_within_their_document(spark):
+    """Documents of a repeated or absent key are added up, all others are counted in their row."""
+    rows = [("all", 1, "aa bb aa bb".split()), ("all", 2, "aa cc".split()), ("all", 2, "aa".split()),
+            ("more", 2, ["aa"]), ("all", None, "dd dd".split()), ("all", None, ["dd"]),
+            ("all", 3, []), ("all", 4, None), ("all", 5, ["issue"])]
+    frame = spark.createDataFrame(rows, "corpus string, k int, tokens array<string>")
+    counts = terms.term_counts(frame, "k")
+    assert sorted(tuple(r) for r in counts.collect() if r.k) == [
+        ("all", 1, "aa", 2), ("all", 1, "aa bb", 2), ("all", 1, "bb", 2), ("all", 1, "bb aa", 1),
+        ("all", 2, "aa", 2), ("all", 2, "aa cc", 1), ("all", 2, "cc", 1), ("more", 2, "aa", 1),
+    ]
+    assert sorted((r.term, r.tf) for r in counts.collect() if r.k is None) == [("dd", 3), ("dd dd", 1)]
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [line for line in plan.splitlines() if "Aggregate [" in line]
+    assert len(grouped) == 1 and "sum(tf" in grouped[0]
