@@ -203,3 +203,18 @@ def test_terms_are_counted_within_their_document(spark):
     plan = counts._jdf.queryExecution().optimizedPlan().toString()
     grouped = [line for line in plan.splitlines() if "Aggregate [" in line]
     assert len(grouped) == 1 and "sum(tf" in grouped[0]
+
+
+def test_only_terms_that_can_be_keywords_are_ranked(spark):
+    masses = [F.col("id").cast("double"), F.lit(1.0), -F.col("id").cast("double"), F.lit(None).cast("double")]
+    frame = spark.range(20_000).select(
+        F.lit("c").alias("corpus"), F.format_string("t%05d", "id").alias("term"),
+        *[m.alias(f"topic_{i}") for i, m in enumerate(masses)],
+    )
+    kept = topics._contenders(frame, ["topic_0", "topic_2"], 5)
+    assert 5 <= kept.where("topic = 0").count() < 1000 and 5 <= kept.where("topic = 1").count() < 1000
+    found = {r.topic: r.keywords for r in topics.topic_keywords(frame).collect()}
+    first = [f"t{i:05d}" for i in range(5)]
+    assert found == {0: [f"t{i:05d}" for i in range(19_999, 19_994, -1)], 1: first, 2: first, 3: first}
+    few = topics.topic_keywords(frame.where("id < 3")).collect()
+    assert {r.topic: r.keywords for r in few}[0] == ["t00002", "t00001", "t00000"]
