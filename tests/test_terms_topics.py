@@ -218,3 +218,10 @@ def test_only_terms_that_can_be_keywords_are_ranked(spark):
     assert found == {0: [f"t{i:05d}" for i in range(19_999, 19_994, -1)], 1: first, 2: first, 3: first}
     few = topics.topic_keywords(frame.where("id < 3")).collect()
     assert {r.topic: r.keywords for r in few}[0] == ["t00002", "t00001", "t00000"]
+
+
+def test_only_the_kept_terms_are_written_before_the_weights(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(terms, "durable", lambda frame: written.append(frame.columns) or frame)
+    terms.tfidf_by_split(docs(spark), "k", ("all",))
+    assert written == [["corpus", "term", "df", "idf"]]
