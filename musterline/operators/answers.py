@@ -40,15 +40,42 @@ def questions(answers: DataFrame) -> Column:
 
 
 def add_feedback(gathered: DataFrame, asked: Column) -> DataFrame:
-    """`full_feedback`: identifiers that are text, then the answers, null as empty."""
+    """`full_feedback`: identifiers that are text, then the answers, null as empty.
+
+    A leaver answers few of all questions: only those given are placed, the others are the
+    blanks between them."""
     kinds = dict(gathered.dtypes)
     known = [F.coalesce(name, F.lit("")) for name in IDENTIFIERS if kinds[name] == "string"]
-    said = F.transform("asked", lambda q: F.coalesce(F.col("answers")[q], F.lit("")))
-    return (
-        gathered.withColumn("asked", asked)
-        .withColumn("full_feedback", F.array_join(F.concat(F.array(*known), said), " "))
-        .drop("asked")
+    said = _bound(F.col("asked"), lambda q: _bound(_placed(q), lambda p: _spaced(p, q)))
+    # Every answer follows a blank; without identifiers the first one does not.
+    text = F.concat(F.array_join(F.array(*known), " "), said) if known else F.substr(said, F.lit(2))
+    return gathered.withColumn("asked", asked).withColumn("full_feedback", text).drop("asked")
+
+
+def _bound(value: Column, then) -> Column:
+    """`then(value)`, with the value formed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _placed(questions: Column) -> Column:
+    """The answers with the places of their questions, in order."""
+    placed = F.transform(
+        F.map_entries("answers"),
+        lambda e: F.struct(
+            F.array_position(questions, e["key"]).cast("int").alias("place"),
+            F.coalesce(e["value"], F.lit("")).alias("answer"),
+        ),
     )
+    return F.array_sort(F.filter(placed, lambda e: e["place"] > 0))
+
+
+def _spaced(placed: Column, questions: Column) -> Column:
+    """One text of all answers, each after a blank."""
+    place = lambda number: F.coalesce(F.get(placed, number)["place"], F.lit(0))
+    blanks = lambda before, at: F.repeat(F.lit(" "), at - before)
+    answers = F.transform(placed, lambda e, i: F.concat(blanks(place(i - 1), e["place"]), e["answer"]))
+    last = blanks(place(F.size(placed) - 1), F.size(questions))
+    return F.concat(F.array_join(answers, ""), last)
 
 
 def is_comment(question: Column) -> Column:

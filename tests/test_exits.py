@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from musterline.functions.text import words
+from musterline.operators import answers as an
 from musterline.operators import leavers as lv
 from musterline.operators import sentiment as st
 from musterline.plans import exits
@@ -203,3 +204,20 @@ def test_wide_output_of_the_plan(spark):
     table = found.wide(lv.questions_of(rows))
     assert "what_made_you_go" in table.columns and "answers" not in table.columns
     assert {r.what_made_you_go for r in table.where("resignationletterdate = 'L99'").collect()} == {"plain words"}
+
+
+def test_feedback_places_only_the_answers_given(spark):
+    """The text of all questions, for any gaps, without looking every question up."""
+    asked = [f"q{i:02d}" for i in range(12)]
+    said = [{}, {"q00": "a", "q11": "b"}, {"q05": None, "q06": "c d"}, {q: q for q in asked}, {"q03": "", "zz": "x"}]
+    rows = [(*[None if n == "gender" else f"{n}{k}" for n in lv.IDENTIFIERS], s) for k, s in enumerate(said)]
+    schema = ", ".join(f"{n} string" for n in lv.IDENTIFIERS) + ", answers map<string,string>"
+    gathered, questions = spark.createDataFrame(rows, schema), F.array(*[F.lit(q) for q in asked])
+    text = lambda known, s: " ".join([*known, *[s.get(q) or "" for q in asked]])
+    found = an.add_feedback(gathered, questions)
+    assert [r.full_feedback for r in found.collect()] == [text([x or "" for x in r[:-1]], r[-1]) for r in rows]
+    numbered = gathered.withColumns({n: F.lit(1) for n in lv.IDENTIFIERS})
+    assert [r.full_feedback for r in an.add_feedback(numbered, questions).collect()] == [text([], s) for s in said]
+    none = an.add_feedback(numbered, F.array().cast("array<string>"))
+    assert {r.full_feedback for r in none.collect()} == {""}
+    assert "array_position" in found._jdf.queryExecution().analyzed().toString()

@@ -225,3 +225,21 @@ def test_only_the_kept_terms_are_written_before_the_weights(spark, monkeypatch):
     monkeypatch.setattr(terms, "durable", lambda frame: written.append(frame.columns) or frame)
     terms.tfidf_by_split(docs(spark), "k", ("all",))
     assert written == [["corpus", "term", "df", "idf"]]
+
+
+def test_a_pass_moves_a_term_once_per_block(spark, table, monkeypatch):
+    """Whatever the blocks, the model is the same, and only terms of a block go to it and come back."""
+    monkeypatch.setattr(topics, "LEAST_BLOCK_WEIGHTS", 7)
+    given, gather = [], topics._gather_terms
+    monkeypatch.setattr(topics, "_gather_terms", lambda f, names: given.append(f.count()) or gather(f, names))
+    masses, mixtures = topics.fit_topics(table, "k", ("all",), passes=2)
+    assert given[0] == given[1] < table.count()
+    monkeypatch.setattr(topics, "LEAST_BLOCK_WEIGHTS", 10**9)
+    whole_masses, whole_mixtures = topics.fit_topics(table, "k", ("all",), passes=2)
+    assert given[2] == masses.count() == whole_masses.count()
+    pick = lambda f: {r.term: [r[f"topic_{i}"] for i in range(4)] for r in f.collect()}
+    one, two = pick(masses), pick(whole_masses)
+    assert one.keys() == two.keys() and all(one[t] == pytest.approx(two[t], rel=1e-9) for t in one)
+    shares = lambda f: {r.k: r.mixture for r in f.collect()}
+    one, two = shares(mixtures), shares(whole_mixtures)
+    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], rel=1e-9) for k in one)
