@@ -243,3 +243,32 @@ def test_a_pass_moves_a_term_once_per_block(spark, table, monkeypatch):
     shares = lambda f: {r.k: r.mixture for r in f.collect()}
     one, two = shares(mixtures), shares(whole_mixtures)
     assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], rel=1e-9) for k in one)
+
+
+def test_a_pass_moves_one_row_per_shelf_and_block(spark, table, monkeypatch):
+    """However many terms a shelf holds, the model is the same."""
+    monkeypatch.setattr(topics, "LEAST_BLOCK_WEIGHTS", 7)
+    whole, _ = topics.fit_topics(table, "k", ("all",), passes=2)
+    monkeypatch.setattr(topics, "LEAST_SHELVES", 0)
+    monkeypatch.setattr(topics, "SHELF_TERMS", 6)
+    shelves = math.ceil(whole.count() / 6)
+    given, gather = [], topics._gather_terms
+    moved = lambda f: [tuple(r) for r in f.select("shelf", "block").collect()]
+    monkeypatch.setattr(topics, "_gather_terms", lambda f, names: given.append(moved(f)) or gather(f, names))
+    packed, _ = topics.fit_topics(table, "k", ("all",), passes=2)
+    blocks = len({block for _, block in given[0]})
+    assert 1 < shelves and 1 < blocks and len(given[0]) <= shelves * blocks < table.count()
+    assert len(set(given[0])) == len(given[0])
+    pick = lambda f: {r.term: [r[f"topic_{i}"] for i in range(4)] for r in f.collect()}
+    one, two = pick(whole), pick(packed)
+    assert one.keys() == two.keys() and all(one[t] == pytest.approx(two[t], rel=1e-9) for t in one)
+
+
+def test_the_model_brings_weights_to_unit_length(spark, table):
+    words, weighted = terms.numbered_weights(docs(spark), "k", ("all",))
+    raw = weighted.select("corpus", "k", "term_id", F.col("raw").alias("weight"))
+    own = topics.fit_topics(raw, "k", ("all",), passes=1, vocabulary=words, unit_length=True)
+    given = topics.fit_topics(table, "k", ("all",), passes=1)
+    pick = lambda f: {r[1]: [*r[2]] if isinstance(r[2], list) else [*r[2:]] for r in f.collect()}
+    for one, two in zip(map(pick, own), map(pick, given)):
+        assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], rel=1e-9) for k in one)
