@@ -272,3 +272,10 @@ def test_the_model_brings_weights_to_unit_length(spark, table):
     pick = lambda f: {r[1]: [*r[2]] if isinstance(r[2], list) else [*r[2:]] for r in f.collect()}
     for one, two in zip(map(pick, own), map(pick, given)):
         assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], rel=1e-9) for k in one)
+
+
+def test_documents_of_known_unique_keys_are_not_looked_up(spark):
+    whole, known = terms.term_counts(docs(spark), "k"), terms.term_counts(docs(spark), "k", unique=True)
+    assert sorted(map(tuple, known.collect())) == sorted(map(tuple, whole.collect()))
+    plan = known._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Union" not in plan
