@@ -221,3 +221,18 @@ def test_feedback_places_only_the_answers_given(spark):
     none = an.add_feedback(numbered, F.array().cast("array<string>"))
     assert {r.full_feedback for r in none.collect()} == {""}
     assert "array_position" in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_words_meet_the_lexicon_with_a_number_for_the_leaver(spark, monkeypatch):
+    class Reached(Exception):
+        pass
+
+    def add_sentiment(docs, key, lexicon):
+        raise Reached(dict(docs.dtypes)[key], sorted(r[key] for r in docs.select(key).collect()))
+
+    monkeypatch.setattr(st, "add_sentiment", add_sentiment)
+    lexicon = spark.createDataFrame([("pay", 1.0)], "token string, valence double")
+    with pytest.raises(Reached) as reached:
+        exits.analyse_exits(answers(spark, [("a", "Why", "pay"), ("a", "How", "x"), ("b", "Why", "pay")]), lexicon, "place")
+    kind, numbers = reached.value.args
+    assert kind == "bigint" and len(numbers) == len(set(numbers)) == 2

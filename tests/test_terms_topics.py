@@ -279,3 +279,24 @@ def test_documents_of_known_unique_keys_are_not_looked_up(spark):
     assert sorted(map(tuple, known.collect())) == sorted(map(tuple, whole.collect()))
     plan = known._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Union" not in plan
+
+
+def test_documents_of_like_size_settle_together(monkeypatch):
+    """Chunks are rows of weights with little filling, and every document settles as it would alone."""
+    generator = np.random.default_rng(1)
+    sizes = np.array([1, 900, 3, 40, 1, 41, 7, 300, 2, 45, 1, 44], dtype=np.int32)
+    weight, beta = generator.random(sizes.sum()) + 0.1, generator.random((4, sizes.sum()))
+    shapes, settle = [], topics._settled_chunk
+    monkeypatch.setattr(topics, "_settled_chunk", lambda w, *rest: shapes.append(w.shape) or settle(w, *rest))
+    found = topics._settled(weight, beta, sizes, 0.25)
+    assert all(len(shape) == 2 for shape in shapes) and max(shape[0] for shape in shapes) >= 3
+    assert sizes.sum() <= sum(rows * longest for rows, longest in shapes) <= 1.2 * sizes.sum()
+    for document, (end, size) in enumerate(zip(np.cumsum(sizes), sizes)):
+        own, gamma = slice(end - size, end), np.ones(4)
+        for _ in range(topics.MIXTURE_STEPS):
+            theta = np.exp(special.digamma(gamma) - special.digamma(gamma.sum()))
+            share = weight[own] / (theta @ beta[:, own] + topics.TINY)
+            last, gamma = gamma, 0.25 + theta * (beta[:, own] @ share)
+            if np.abs(gamma - last).mean() < topics.MIXTURE_TOLERANCE:
+                break
+        assert found[:, document] == pytest.approx(gamma, rel=1e-9)
