@@ -1,6 +1,7 @@
 """TF-IDF and topics against plain numpy, and both with every term split."""
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from musterline.functions import special
-from musterline.operators import skew, terms, topics
+from musterline.operators import skew, term_blocks, terms, topics
 
 TEXTS = {
     1: "alpha beta gamma alpha delta",
@@ -300,3 +301,65 @@ def test_documents_of_like_size_settle_together(monkeypatch):
             if np.abs(gamma - last).mean() < topics.MIXTURE_TOLERANCE:
                 break
         assert found[:, document] == pytest.approx(gamma, rel=1e-9)
+
+
+def weights_of(frame):
+    return sorted(
+        (r.corpus, -1 if r.k is None else r.k, r.term, r.tf, r.df, round(r.idf, 12), round(r.weight, 12))
+        for r in frame.collect()
+    )
+
+
+def test_only_packed_terms_are_shuffled_for_the_weights(spark):
+    """No exchange of the plan has a row per document and term, nor is one keyed by either."""
+    plan = terms.tfidf(docs(spark), "k", ("all",))._jdf.queryExecution().executedPlan().toString()
+    keyed = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert keyed and not any(re.search(r"\b(term|k)#", line) for line in keyed)
+    assert "Window" not in plan and "Generate" not in plan
+
+
+@pytest.mark.parametrize("tokens, shelf", [(1, 1), (7, 5), (10**6, 10**6)])
+def test_blocks_and_shelves_change_no_weight(spark, monkeypatch, tokens, shelf):
+    monkeypatch.setattr(term_blocks, "BLOCK_TOKENS", tokens)
+    monkeypatch.setattr(term_blocks, "SHELF_TERMS", shelf)
+    monkeypatch.setattr(term_blocks, "OUT_ROWS", 3)
+    found = terms.tfidf(docs(spark).coalesce(1), "k", ("all",)).collect()
+    expected = expected_weights()
+    assert {(r.k, r.term) for r in found} == set(expected) and len(found) == len(expected)
+    assert all(r.weight == pytest.approx(expected[r.k, r.term], abs=1e-12) for r in found)
+
+
+@pytest.mark.parametrize("places", [1, 1 << 16])
+def test_weights_of_odd_documents_are_those_of_their_rows(spark, monkeypatch, places):
+    """Repeated and absent keys, words with spaces in them, empty documents, corpora not asked for."""
+    monkeypatch.setattr(terms, "KEY_PLACES", places)
+    monkeypatch.setattr(term_blocks, "BLOCK_TOKENS", 4)
+    rows = [("all", k, t.split()) for k, t in TEXTS.items()]
+    rows += [("more", k, t.split()) for k, t in TEXTS.items() if k < 6]
+    rows += [("all", 3, "alpha beta".split()), ("all", None, "beta beta".split()), ("all", None, ["beta", "omega"]),
+             ("more", 3, "zeta beta".split()), ("all", 20, ["new york", "city", "new", "york"]),
+             ("all", 21, ["new", "york city", " x", "a  b", "ünï"]), ("all", 22, ["new", "york", "city", "ünï"]),
+             ("all", 23, ["new york", "city", "a ", " b", " x"]), ("all", 24, []), ("all", 25, None),
+             ("all", 26, ["issue", "a"]), ("all", 27, ["alpha", None, "beta"]), ("other", 1, ["alpha", "beta"]),
+             ("other", 2, ["alpha", "beta"]), (None, 1, ["alpha"]), (None, 2, ["alpha"])]
+    frame = spark.createDataFrame(rows, "corpus string, k int, tokens array<string>")
+    for options in ({}, {"min_docs": 1, "max_share": 1.0}, {"stop_words": ("alpha",)}):
+        found = terms.tfidf(frame, "k", ("all", "more"), **options)
+        plain = terms.tfidf_by_split(frame, "k", ("all", "more"), **options).drop("term_id", "split", "splits")
+        assert found.dtypes == plain.dtypes
+        assert weights_of(found) == weights_of(plain)
+    assert weights_of(terms.tfidf(frame.where("k > 99"), "k", ("all",))) == []
+
+
+def test_repeated_words_are_sent_once_per_block(spark):
+    """A block keeps its words once, whatever the number of rows, and is far smaller than its text."""
+    rows = spark.range(3000).select(
+        F.lit("all").alias("corpus"), F.col("id").alias("k"),
+        F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: F.concat(F.lit("word"), (i * F.col("id")) % 997)).alias("tokens"),
+        F.lit(1).cast("long").alias("times"), F.lit(True).alias("whole"),
+    )
+    block = term_blocks.cut_into_blocks(rows.coalesce(1)).collect()
+    assert [r.tokens for r in block] == [150_000]
+    packed = sum(len(value) for value in block[0] if isinstance(value, (bytes, bytearray)))
+    assert packed < 2.5 * 150_000
+    assert len(term_blocks._strings(bytes(block[0].spans), bytes(block[0].letters))) == 997
